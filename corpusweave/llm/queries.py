@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, licenses, mixing, spotsigs, token_blocks
+from . import html_extract, langid, licenses, mixing, near_dedup, spotsigs, token_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,5 +51,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_mix_sources, op3_spotsigs, op7_token_blocks, op8_language_id, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_mix_sources, op3_spotsigs, op5_minhash_forest, op7_token_blocks, op8_language_id, op9_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
