@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, licenses, mixing, near_dedup, spotsigs, token_blocks
+from . import decontaminate, html_extract, langid, licenses, mixing, near_dedup, spotsigs, token_blocks, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,28 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_mix_sources, op3_spotsigs, op5_minhash_forest, op7_token_blocks, op8_language_id, op9_license_scan)}
+def op6_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extract,
+        op2_mix_sources,
+        op3_spotsigs,
+        op5_minhash_forest,
+        op6_redirect_filter,
+        op7_token_blocks,
+        op8_language_id,
+        op9_license_scan,
+        op10_decontaminate,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
