@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, licenses, mixing, near_dedup, spotsigs, token_blocks, url_filter
+from . import decontaminate, html_extract, langid, licenses, mixing, near_dedup, pii, spotsigs, token_blocks, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.detect(table(spark, sf_dir, "documents"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["base"])
+    of = lambda kind: F.filter(base, lambda x: x["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return got.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -67,6 +76,7 @@ QUERIES = {
         op1_html_extract,
         op2_mix_sources,
         op3_spotsigs,
+        op4_pii_weak,
         op5_minhash_forest,
         op6_redirect_filter,
         op7_token_blocks,

@@ -16,6 +16,8 @@ first; an empty table writes no block and reads back no row; a text of any lengt
 from __future__ import annotations
 
 import functools
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,20 +36,27 @@ CHECK = 256  # steps of all lanes between two checkpoints
 BITS = 18  # the frequencies of the table add up to 2 to this power
 LOW = 1 << 31
 MAGIC, HEAD = b"RANS", struct.Struct("<4sHHIIII")
-_CACHE = 1 << 19  # words whose ids a worker keeps
+_CACHE = 3 << 18  # words whose ids a worker keeps
+_LIST = 100
+_PIECE = re.compile(rb"[a-z]+|[!-/:-@\[-`{-~]+")
+_ENDS = re.compile(rb"([a-z]+|[a-z\x80-\xff]*[a-z])([!-/:-@\[-`{-~]+)")  # letters, then ASCII punctuation
 
 
 class Encoder:
     """Ids of texts from the tokenizers library.
 
     The tokenizer never joins what white space parts, so each distinct run between ASCII white space is
-    encoded once and its ids are kept; ``whole_words`` is False for tokenizers that do join.
+    encoded once and its ids are kept; ``whole_words`` is False for tokenizers that do join.  It also
+    parts a letter from punctuation after it, and keeps runs of a-z and of ASCII punctuation as they are,
+    so of a new run only what is new is encoded.
     """
 
     def __init__(self, path: str, whole_words: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole_words = Tokenizer.from_file(path), whole_words
+        self.model = self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
@@ -56,18 +65,57 @@ class Encoder:
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, k = int(n.sum()), len(self.known)
-        while self.used + total > len(self.flat):
+        """Adds the ids of new words."""
+        halves = {w: m.groups() for w in words if (m := _ENDS.fullmatch(w))}
+        whole = dict.fromkeys(w for w in words if w not in halves)
+        whole |= dict.fromkeys(x for pair in halves.values() for x in pair if x not in self.known)
+        ids = self._ids(list(whole))
+        self._keep(list(whole), np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32))
+        if halves:
+            at = np.array([self.known[x] for pair in halves.values() for x in pair], np.int64)
+            n = self.count[at]
+            self._keep(list(halves), n.reshape(-1, 2).sum(axis=1), self._gather(at))
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        """The library's ids of each word: by its model alone where normalizing and splitting leave the word as it
+        is, in lists of words that are one piece each, else one by one."""
+        out: dict[bytes, list[int]] = {}
+        letters, rest = [], []
+        for w in words:
+            if _PIECE.fullmatch(w):
+                out[w] = [t.id for t in self.model.tokenize(w.decode())]
+            else:
+                (letters if (t := w.decode("utf-8", "replace")).isalpha() else rest).append((w, t))
+        for i in range(0, len(letters), _LIST):
+            some = letters[i : i + _LIST]
+            e = self.tokenizer.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0]
+            groups: dict[int, list[int]] = {}
+            for piece, token in zip(e.word_ids, e.ids, strict=True):
+                groups.setdefault(piece, []).append(token)
+            if len(groups) == len(some):
+                out |= zip((w for w, _ in some), (groups[k] for k in sorted(groups)), strict=True)
+            else:
+                rest += some
+        out |= zip((w for w, _ in rest), (e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)), strict=True)
+        return [out[w] for w in words]
+
+    def _keep(self, words: list[bytes], n: np.ndarray, ids: np.ndarray) -> None:
+        k = len(self.known)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         while k + len(words) > len(self.start):
             self.start, self.count = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.count))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used : self.used + len(ids)] = ids
         self.start[k : k + len(words)] = self.used + np.cumsum(n) - n
         self.count[k : k + len(words)] = n
         self.known.update(zip(words, range(k, k + len(words)), strict=True))
-        self.used += total
+        self.used += len(ids)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of known words, one after another."""
+        n = self.count[at]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def encode(self, text: str) -> np.ndarray:
         if not self.whole_words:
@@ -84,11 +132,7 @@ class Encoder:
                 places = [None] * len(words)
             self._learn(list(dict.fromkeys(w for w, p in zip(words, places, strict=True) if p is None)))
             places = list(map(known.__getitem__, words))
-        at = np.array(places, np.int64)
-        n = self.count[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(total)]
+        return self._gather(np.array(places, np.int64))
 
 
 @functools.cache
