@@ -31,13 +31,12 @@ from .common import drop_staged, key_splits, new_path, parallelism, range_of, st
 
 END = 1
 BLOCK = 1 << 18  # ids after which a block ends with the document
-LANES = 512
-CHECK = 256  # steps of all lanes between two checkpoints
+LANES = 1024
+CHECK = 128  # steps of all lanes between two checkpoints
 BITS = 18  # the frequencies of the table add up to 2 to this power
 LOW = 1 << 31
 MAGIC, HEAD = b"RANS", struct.Struct("<4sHHIIII")
 _CACHE = 3 << 18  # words whose ids a worker keeps
-_LIST = 100
 _PIECE = re.compile(rb"[a-z]+|[!-/:-@\[-`{-~]+")
 _ENDS = re.compile(rb"([a-z]+|[a-z\x80-\xff]*[a-z])([!-/:-@\[-`{-~]+)")  # letters, then ASCII punctuation
 
@@ -57,6 +56,7 @@ class Encoder:
 
         self.tokenizer, self.whole_words = Tokenizer.from_file(path), whole_words
         self.model = self.tokenizer.model
+        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self._clear()
 
     def _clear(self) -> None:
@@ -77,27 +77,19 @@ class Encoder:
             self._keep(list(halves), n.reshape(-1, 2).sum(axis=1), self._gather(at))
 
     def _ids(self, words: list[bytes]) -> list[list[int]]:
-        """The library's ids of each word: by its model alone where normalizing and splitting leave the word as it
-        is, in lists of words that are one piece each, else one by one."""
-        out: dict[bytes, list[int]] = {}
-        letters, rest = [], []
+        """The library's ids of each word: from its model alone where normalizing and splitting leave the word as
+        it is, else by its steps one after another, or as a whole where special tokens may stand in it."""
+        out = []
         for w in words:
             if _PIECE.fullmatch(w):
-                out[w] = [t.id for t in self.model.tokenize(w.decode())]
+                pieces = (w.decode(),)
+            elif b"<|" in w:
+                out.append(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
+                continue
             else:
-                (letters if (t := w.decode("utf-8", "replace")).isalpha() else rest).append((w, t))
-        for i in range(0, len(letters), _LIST):
-            some = letters[i : i + _LIST]
-            e = self.tokenizer.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0]
-            groups: dict[int, list[int]] = {}
-            for piece, token in zip(e.word_ids, e.ids, strict=True):
-                groups.setdefault(piece, []).append(token)
-            if len(groups) == len(some):
-                out |= zip((w for w, _ in some), (groups[k] for k in sorted(groups)), strict=True)
-            else:
-                rest += some
-        out |= zip((w for w, _ in rest), (e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)), strict=True)
-        return [out[w] for w in words]
+                pieces = (x for x, _ in self.split(self.normalize(w.decode("utf-8", "replace"))))
+            out.append([t.id for x in pieces for t in self.model.tokenize(x)])
+        return out
 
     def _keep(self, words: list[bytes], n: np.ndarray, ids: np.ndarray) -> None:
         k = len(self.known)
@@ -123,15 +115,12 @@ class Encoder:
         raw = text.encode("utf-8", "replace")
         # A-Z may be lowered here, as the tokenizer does so itself, unless that could make a special token
         words = (raw if b"<|" in raw else raw.lower()).split()
-        known = self.known
-        places = list(map(known.get, words))
-        if None in places:
-            if len(known) > _CACHE:
+        if missing := set(words).difference(self.known):
+            if len(self.known) > _CACHE:
                 self._clear()
-                known = self.known
-                places = [None] * len(words)
-            self._learn(list(dict.fromkeys(w for w, p in zip(words, places, strict=True) if p is None)))
-            places = list(map(known.__getitem__, words))
+                missing = set(words)
+            self._learn(list(missing))
+        places = list(map(self.known.__getitem__, words))
         return self._gather(np.array(places, np.int64))
 
 
