@@ -120,4 +120,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = PLAN_ANCHO
 def clean(docs: DataFrame, benchmark: DataFrame, limit: int = PLAN_ANCHORS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     bad = contamination(docs, benchmark, limit).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(staged(bad, "contaminated"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")
+    return docs.join(staged(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")

@@ -113,23 +113,23 @@ def node_of(hashes: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True) if len(hashes) else None
 
 
-_SKETCH = "doc_id {id}, n_shingles long, node long, sig binary"
+_SKETCH = "doc_id {id}, key long, n_shingles long, node long, sig binary"
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sig): node is a 64-bit name of the set, null for an empty one."""
+    """(doc_id, key, n_shingles, node, sig): key is a hash of the text, node a 64-bit name of the set, null for an empty one."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, nodes, sigs = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 h = shingle_hashes(text, width)
                 sizes.append(len(h))
                 nodes.append(node_of(h))
                 sigs.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "node", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(part, _SKETCH.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(part, _SKETCH.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def _labels(nodes: DataFrame) -> DataFrame:
@@ -300,7 +300,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: in
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text); and key, a hash of the
+    text, and class, a name of the class that no id can blur."""
     sketched = staged(sketches(docs, width), "sketches")
     nodes = staged(sketched.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
     labels = staged(_labels(nodes), "labels")
@@ -312,7 +313,26 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         links = links.unionByName(_confirmed(more, docs, sketched, width, percent))
         classes = staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
     drop_staged(nodes, labels, pairs, more)
-    rows = sketched.select("doc_id", "n_shingles", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rows = sketched.select("doc_id", "key", "n_shingles", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     first = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     out = rows.join(first, "class", "left").withColumn("component_id", F.coalesce("first", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key", "class")
+
+
+def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each class, that with the smallest doc_id
+    (of rows that share it, one text, once), and every document without a word."""
+    found = near_duplicates(docs, width, percent).where("n_shingles > 0")
+    stays = staged(found.where("kept").groupBy("doc_id", "class").agg(F.min("key").alias("key"), F.count("*").alias("rows")), "stays")
+    named = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
+    every = found.select("doc_id", "key").distinct()
+    gone = staged(every.join(named(stays), same_id & (F.col("key") == F.col("_key")), "left_anti"), "gone")
+    here = same_id & (F.xxhash64("text") == F.col("_key"))
+    drop, again = named(gone), named(stays.where("rows > 1")).distinct()
+    left = docs.join(drop, here, "left_anti")
+    if again.isEmpty():
+        return left
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c != "doc_id"]))
+    twice = docs.join(again, here, "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return left.join(again, here, "left_anti").unionByName(twice)

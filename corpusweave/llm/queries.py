@@ -41,7 +41,8 @@ def op4_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    got = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return got.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
