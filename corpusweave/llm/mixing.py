@@ -167,7 +167,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, bud
     copies = F.concat(F.transform(F.sequence(F.lit(1), F.greatest(full, F.lit(1)).cast("int")), lambda _: F.lit(None).cast("bigint")), part)
     copies = F.when(full > 0, copies).otherwise(part)
     out = got.select("_row", F.explode(copies).alias("_words"))
-    lead = F.regexp_substr("_row.text", F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_words") - 1, F.lit(r"}[^\x20\x09-\x0D]++")))
+    lead = F.regexp_substr("_row.text", F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_words") - 1, F.lit(r"}+[^\x20\x09-\x0D]++")))
     text = F.when(F.col("_words").isNull(), F.col("_row.text")).otherwise(lead)
     cut = {"text": text} | ({"n_chars": F.when(F.col("_words").isNull(), F.col("_row.n_chars")).otherwise(F.length(lead).cast("long"))} if "n_chars" in names else {})
     return out.select(*[cut.get(x, F.col(f"_row.`{x}`")).alias(x) for x in names])
