@@ -1,9 +1,30 @@
 """Registered queries of the engine's own operators and their SQL."""
 
+from __future__ import annotations
+
+from corpusweave.operators import aggregate, jobs, relational, sampling, textual, windows
+from corpusweave.plans.sql import queries as bound
+from corpusweave.streaming import ledger_queries
+
+MODULES = (relational, aggregate, windows, sampling, textual, jobs)
+
+
+def statements() -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= m.STATEMENTS
+    return out
+
 
 def queries() -> dict:
-    return {}
+    out = bound(statements())
+    for m in (*MODULES, ledger_queries):
+        out |= getattr(m, "QUERIES", {})
+    return out
 
 
 def oracle_sql() -> dict:
-    return {}
+    out = {name: s.oracle() for name, s in statements().items()}
+    for m in (*MODULES, ledger_queries):
+        out |= getattr(m, "ORACLES", {})
+    return out
