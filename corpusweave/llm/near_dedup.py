@@ -38,12 +38,13 @@ TREES = 26
 DEPTHS = (4, 6, 8, 12)  # values of a label that name a region; the next is for regions of over DENSE sets
 FUNCTIONS = 104
 DENSE = 512
-BLOCK = 1024
+BLOCK = 512
 KEPT = 3
 BROADCAST_IDS = 1 << 20
 SEED = 7919
 MARGIN = 5.0  # standard errors below the threshold at which a signature's estimate rules a pair out
 _CHUNK = 1 << 12
+_HELD = 1 << 22  # shingles that a cell keeps at a time
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 63, (FUNCTIONS, 1), dtype=np.uint64)
@@ -222,8 +223,12 @@ def _mixed_regions(labels: DataFrame, classes: DataFrame) -> DataFrame:
     return at.select("tree", "region", "node", "n", "class", F.explode(cells).alias("cell")).select("tree", "region", "node", "n", "class", "cell.*")
 
 
-def _cross_pairs(labels: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different classes that share a region and whose signatures and sizes don't rule a link out."""
+_CELL = ["tree", "region", "left", "right"]
+
+
+def _cross_candidates(labels: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """For each cell the nodes with a partner of another class that signatures and sizes don't rule out, and at
+    each right node its partners, the likeliest first.  A row for each node and cell, not for each pair."""
     dealt = _mixed_regions(labels, classes).join(nodes.select("node", "sig"), "node")
     s = percent / 100
     least = (s - MARGIN * (s * (1 - s) / FUNCTIONS) ** 0.5) * FUNCTIONS
@@ -237,28 +242,74 @@ def _cross_pairs(labels: DataFrame, nodes: DataFrame, classes: DataFrame, percen
         right = np.flatnonzero(side == 1)
         same_block = left < 0 and not (side == 0).any()
         lefts = right if same_block else np.flatnonzero(side == 0)
-        out_a, out_b = [], []
+        partners: dict[int, list[int]] = {}
+        met = np.zeros(len(node), bool)
         for r in right:
             ok = (cls[lefts] != cls[r]) & (100 * np.minimum(n[lefts], n[r]) >= percent * np.maximum(n[lefts], n[r]))
             if same_block:
                 ok &= node[lefts] < node[r]
             at = lefts[ok]
             equal = sig[at] == sig[r]
-            keep = equal.sum(axis=1) >= least
+            score = equal.sum(axis=1)
+            keep = score >= least
             # of the trees where the two share a region, only the first gives the pair
             shared = equal[keep].reshape(-1, FUNCTIONS // depth, depth).all(axis=2)
-            mine = at[keep][shared.argmax(axis=1) == tree] if len(shared) else at[:0]
-            out_a.append(np.minimum(node[mine], node[r]))
-            out_b.append(np.maximum(node[mine], node[r]))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-        return pa.table({"a": cat(out_a), "b": cat(out_b)})
-
-    return dealt.groupBy("tree", "region", "left", "right").applyInArrow(cell, "a long, b long")
-
-
-def _texts(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(node, text) of each node in ``pairs``, from one of its documents."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            first = shared.argmax(axis=1) == tree if len(shared) else np.zeros(0, bool)
+            mine = at[keep][first][np.argsort(-score[keep][first], kind="stable")]
+            if len(mine):
+                partners[r] = node[mine].tolist()
+                met[mine] = met[r] = True
+        rows = np.flatnonzero(met)
+        same = [pa.array([k.as_py()] * len(rows), pa.int64() if i == 1 else pa.int32()) for i, k in enumerate(key)]
+        return pa.table([*same, pa.array(node[rows]), pa.array(cls[rows]), pa.array([partners.get(r, []) for r in rows.tolist()], pa.list_(pa.int64()))], [*_CELL, "node", "class", "partners"])
+
+    return dealt.groupBy(*_CELL).applyInArrow(cell, "tree int, region long, left int, right int, node long, class long, partners array<long>")
+
+
+def _cross_links(candidates: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between classes, for each right node and other class one where there is any; all partners
+    are compared on full shingle sets until then."""
+    texts = staged(_texts(docs, sketched, candidates.select("node").distinct(), width), "texts")
+
+    def cell(_: tuple, table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_pylist()
+        text = dict(zip(nodes, table.column("text").to_pylist(), strict=True))
+        cls = dict(zip(nodes, table.column("class").to_pylist(), strict=True))
+        held: dict[int, set[int]] = {}
+        size = 0
+
+        def hashed(x: int) -> set[int]:
+            nonlocal size
+            if x not in held:
+                if size > _HELD:
+                    held.clear()
+                    size = 0
+                held[x] = set(shingle_hashes(text[x], width).tolist())
+                size += len(held[x])
+            return held[x]
+
+        out = []
+        for x, partners in zip(nodes, table.column("partners").to_pylist(), strict=True):
+            linked: set[int] = set()
+            for y in partners:
+                if cls[y] in linked:
+                    continue
+                p, q = hashed(x), hashed(y)
+                if _alike(p, q, percent) and _alike(shingle_set(text[x], width), shingle_set(text[y], width), percent):
+                    linked.add(cls[y])
+                    out.append((min(x, y), max(x, y)))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return candidates.join(texts, "node").select(*_CELL, "node", "class", "partners", "text").groupBy(*_CELL).applyInArrow(cell, "a long, b long")
+
+
+def _alike(p: set, q: set, percent: int) -> bool:
+    n = len(p & q)
+    return 100 * n >= percent * (len(p) + len(q) - n)
+
+
+def _texts(docs: DataFrame, sketched: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, text) of each node in ``wanted``, from one of its documents."""
     one = staged(sketched.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
     ids = one.select("doc_id").distinct()
     if ids.count() <= BROADCAST_IDS:  # else both sides are shuffled
@@ -279,7 +330,8 @@ def _texts(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, width: int) -
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are alike enough, compared shingle by shingle."""
-    texts = staged(_texts(docs, sketched, pairs, width), "texts")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = staged(_texts(docs, sketched, wanted, width), "texts")
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
@@ -291,9 +343,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: in
             for name, one, two in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
                 if held[0] != name:
                     held = (name, shingle_set(two, width))
-                p, q = shingle_set(one, width), held[1]
-                n = len(p & q)
-                keep.append(100 * n >= percent * (len(p) + len(q) - n))
+                keep.append(_alike(shingle_set(one, width), held[1], percent))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(part, "a long, b long")
@@ -308,9 +358,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     pairs = staged(_neighbours(labels), "pairs")
     links = staged(_confirmed(pairs, docs, sketched, width, percent), "links")
     classes = staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
-    more = staged(_cross_pairs(labels, nodes, classes, percent), "pairs")
+    more = staged(_cross_candidates(labels, nodes, classes, percent), "candidates")
     if not more.isEmpty():
-        links = links.unionByName(_confirmed(more, docs, sketched, width, percent))
+        links = links.unionByName(staged(_cross_links(more, docs, sketched, width, percent), "links"))
         classes = staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
     drop_staged(nodes, labels, pairs, more)
     rows = sketched.select("doc_id", "key", "n_shingles", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
