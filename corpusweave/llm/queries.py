@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, licenses, mixing, near_dedup, pii, spotsigs, token_blocks, url_filter
+from . import decontaminate, html_extract, langid, licenses, mixing, near_dedup, oracles, pii, spotsigs, token_blocks, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +86,8 @@ QUERIES = {
         op10_decontaminate,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_mix_sources": oracles.MIX,
+    "op6_redirect_filter": oracles.URLS,
+    "op10_decontaminate": oracles.CONTAMINATION,
+}
