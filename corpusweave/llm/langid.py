@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 DIM = 1024
 GRAM = 3
 SLOTS = 64  # letters share 64 vectors: one for the gap between words, 26 for a to z, the rest by code point
@@ -41,7 +43,7 @@ class Space:
         for c in range(26):
             self.ascii[97 + c] = self.ascii[65 + c] = 1 + c
         self.wide: dict[int, int] = {}
-        self.bound = np.zeros((4096, dim), np.float32)
+        self.bound = np.zeros((4096, dim), np.int8)
         self.at = np.full(SLOTS**GRAM, -1, np.int32)
         self.used = 0
 
@@ -90,7 +92,7 @@ class Space:
         new = grams[self.at[grams] < 0]
         if len(new):
             if self.used + len(new) > len(self.bound):
-                self.bound = np.concatenate((self.bound, np.zeros((max(len(self.bound), len(new)), self.dim), np.float32)))
+                self.bound = np.concatenate((self.bound, np.zeros((max(len(self.bound), len(new)), self.dim), np.int8)))
             a, b, c = new // SLOTS**2, new // SLOTS % SLOTS, new % SLOTS
             self.bound[self.used : self.used + len(new)] = self.turned[0][a] * self.turned[1][b] * self.turned[2][c]
             self.at[new] = np.arange(self.used, self.used + len(new))
@@ -99,14 +101,11 @@ class Space:
 
     def bundle(self, counted: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         places = self.rows(counted[0])  # may move ``bound``
-        return counted[1].astype(np.float32) @ self.bound[places]
-
-
-_SPACES: dict[tuple[int, int], Space] = {}
+        return counted[1].astype(np.float32) @ self.bound[places].astype(np.float32)
 
 
 def space(dim: int, seed: int) -> Space:
-    return _SPACES.setdefault((dim, seed), Space(dim, seed))
+    return resident(("space", dim, seed), lambda: Space(dim, seed))
 
 
 def fit(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.ndarray]:

@@ -15,7 +15,6 @@ first; an empty table writes no block and reads back no row; a text of any lengt
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, key_splits, new_path, parallelism, range_of, staged
+from .common import drop_staged, key_splits, new_path, parallelism, range_of, resident, staged
 
 END = 1
 BLOCK = 1 << 18  # ids after which a block ends with the document
@@ -36,7 +35,7 @@ CHECK = 128  # steps of all lanes between two checkpoints
 BITS = 18  # the frequencies of the table add up to 2 to this power
 LOW = 1 << 31
 MAGIC, HEAD = b"RANS", struct.Struct("<4sHHIIII")
-_CACHE = 3 << 18  # words whose ids a worker keeps
+_CACHE = 5 << 17  # words whose ids a worker keeps
 _PIECE = re.compile(rb"[a-z]+|[!-/:-@\[-`{-~]+")
 _ENDS = re.compile(rb"([a-z]+|[a-z\x80-\xff]*[a-z])([!-/:-@\[-`{-~]+)")  # letters, then ASCII punctuation
 
@@ -124,9 +123,8 @@ class Encoder:
         return self._gather(np.array(places, np.int64))
 
 
-@functools.cache
 def encoder(path: str, whole_words: bool) -> Encoder:
-    return Encoder(path, whole_words)
+    return resident(("encoder", path, whole_words), lambda: Encoder(path, whole_words))
 
 
 def frequencies(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
