@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.llm import decontaminate, langid, mixing, near_dedup, token_blocks
-from corpusweave.llm.common import new_path
+from corpusweave.llm.common import new_path, unused
 from corpusweave.llm.queries import table, tokenizer_path
 
 
@@ -18,9 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps the documents in which a language can be told, with their columns as they are; the model learns
     from all labelled documents but the held-out quarter."""
     learnt = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    names = docs.columns
-    named = docs.select(*[F.col(c).alias(f"_{c}") if c == "text" else F.col(c) for c in names], F.col("text").alias("text"))
-    return langid.predict(named, learnt).where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(f"_{c}").alias(c) if c == "text" else F.col(c) for c in names])
+    lang, score = unused(docs, "lang_pred", "score")
+    return langid.predict(docs, learnt, keep_text=True, into=(lang, score)).where(F.col(lang) != langid.UNKNOWN).drop(lang, score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

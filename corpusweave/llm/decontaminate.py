@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unused
 
 WINDOW = 13
 SHARE = 20  # a document is contaminated where SHARE times its hit words reach its words
@@ -119,5 +119,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = PLAN_ANCHO
 
 def clean(docs: DataFrame, benchmark: DataFrame, limit: int = PLAN_ANCHORS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, limit).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(staged(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    id_, key_ = unused(docs, "_id", "_key")
+    bad = contamination(docs, benchmark, limit).where("contaminated").select(F.col("doc_id").alias(id_), F.col("key").alias(key_)).distinct()
+    return docs.join(staged(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key_)), "left_anti")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import resident
 
@@ -133,17 +134,19 @@ def fit(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.n
     return {r["lang"]: np.array([x["v"] for x in r["v"]], np.float64) for r in sorted(got, key=lambda r: r["lang"])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """docs without its text, plus lang_pred and score (the cosine, 0 where it is negative)."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, seed: int = SEED, keep_text: bool = False, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of ``docs``, its text only on demand, and those of ``into``: the language and its cosine (0
+    where that is negative)."""
     names = sorted(prototypes)
     unit = np.array([prototypes[k] / max(np.linalg.norm(prototypes[k]), 1e-9) for k in names], np.float32).reshape(len(names), dim)
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [f for f in docs.schema if keep_text or f.name != "text"]
+    schema = StructType([*kept, StructField(into[0], StringType()), StructField(into[1], DoubleType())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = space(dim, seed)
         for b in batches:
             langs, scores = [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            for text in b.column("text").to_pylist():
                 counted = s.counts(text) if text else None
                 if counted is None or not names:
                     langs.append(UNKNOWN)
@@ -154,10 +157,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                 best = int(np.argmax(cos))
                 langs.append(names[best])
                 scores.append(min(1.0, max(0.0, float(cos[best]))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+            own = [c for c, name in zip(b.columns, b.schema.names, strict=True) if keep_text or name != "text"]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.select(*[f"`{c}`" for c in kept], "text").mapInArrow(part, f"{types}, lang_pred string, score double")
+    return docs.mapInArrow(part, schema)
 
 
 def held_out(doc_id):

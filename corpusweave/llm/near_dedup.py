@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_staged, staged
+from .common import connected_components, drop_staged, staged, unused
 
 SHINGLE = 5
 PERCENT = 80
@@ -374,15 +374,16 @@ def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     (of rows that share it, one text, once), and every document without a word."""
     found = near_duplicates(docs, width, percent).where("n_shingles > 0")
     stays = staged(found.where("kept").groupBy("doc_id", "class").agg(F.min("key").alias("key"), F.count("*").alias("rows")), "stays")
-    named = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
+    id_, key_, nth = unused(docs, "_id", "_key", "_nth")
+    named = lambda df: df.select(F.col("doc_id").alias(id_), F.col("key").alias(key_))
+    same_id = F.col("doc_id").eqNullSafe(F.col(id_))
     every = found.select("doc_id", "key").distinct()
-    gone = staged(every.join(named(stays), same_id & (F.col("key") == F.col("_key")), "left_anti"), "gone")
-    here = same_id & (F.xxhash64("text") == F.col("_key"))
+    gone = staged(every.join(named(stays), same_id & (F.col("key") == F.col(key_)), "left_anti"), "gone")
+    here = same_id & (F.xxhash64("text") == F.col(key_))
     drop, again = named(gone), named(stays.where("rows > 1")).distinct()
     left = docs.join(drop, here, "left_anti")
     if again.isEmpty():
         return left
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    twice = docs.join(again, here, "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    order = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c != "doc_id"]))
+    twice = docs.join(again, here, "left_semi").withColumn(nth, order).where(F.col(nth) == 1).drop(nth)
     return left.join(again, here, "left_anti").unionByName(twice)
