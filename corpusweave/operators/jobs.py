@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusweave.functions import algorithms
 from corpusweave.plans.sql import Statement as S
 from corpusweave.sources import files
 from corpusweave.sources.tables import guard, read
@@ -80,8 +81,45 @@ def sink_report_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tally.select(F.col("event_type").alias("k"), line.alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (scan_schema_guard, scan_jsonl_tolerant, scan_multifile_split, scan_archive_members, scan_footer_catalog, sink_parquet, sink_report_md)}
+def scan_bib_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").selectExpr("doc_id", "concat('@article{k', doc_id % 90, ', title = {', source, ' {x}}, year = 2001}\\n@string{s = {y}}\\n@book{k', doc_id % 90, ', a = {b}}') AS text")
+    return algorithms.bib_entries(d)
+
+
+def scan_docx_epub_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").where("n_chars < 2000").selectExpr("doc_id", "text")
+    return files.zipped_units(files.as_docx(d))
+
+
+def scan_api_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.dataSource.register(files.PagedSource)
+    return spark.read.format("corpusweave_paged").option("total", "1050").option("size", "100").load()
+
+
+def sink_append_fsync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two validated batches appended to one table."""
+    e, path = read(spark, sf_dir, "events").select("event_id", "event_type"), files.scratch(spark)
+    for batch in (e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")):
+        batch.where("event_type is not null").write.mode("append").parquet(path)
+    return spark.read.schema(e.schema).parquet(path)
+
+
+def sink_atomic_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table published twice: readers see the second whole, as the committer moves files only when all are there."""
+    p, path = read(spark, sf_dir, "part").select("p_partkey", "p_name"), files.scratch(spark)
+    for version in (p.limit(10), p):
+        version.write.mode("overwrite").parquet(path)
+    return spark.read.schema(p.schema).parquet(path)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (scan_schema_guard, scan_jsonl_tolerant, scan_multifile_split, scan_archive_members, scan_footer_catalog, sink_parquet, sink_report_md, scan_bib_entries, scan_docx_epub_units, scan_api_paged, sink_append_fsync, sink_atomic_publish)
+}
 ORACLES = {
+    "scan_api_paged": "SELECT CAST(range AS BIGINT) AS id, CAST(floor(range / 100) AS INTEGER) AS page FROM range(1050)",
+    "sink_append_fsync": "SELECT event_id, event_type FROM events WHERE event_type IS NOT NULL",
+    "sink_atomic_publish": "SELECT p_partkey, p_name FROM part",
     "scan_jsonl_tolerant": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, false AS bad FROM events",
     "sink_parquet": "SELECT doc_id, lang, n_chars FROM documents",
     "sink_report_md": "SELECT event_type AS k, '| ' || event_type || ' | ' || CAST(count(*) AS VARCHAR) || ' |' AS line FROM events GROUP BY event_type",

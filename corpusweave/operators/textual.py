@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.functions import algorithms
+from corpusweave.functions import algorithms, pairs
 from corpusweave.plans.sql import Statement as S
 from corpusweave.sources.tables import read
 
@@ -112,6 +112,12 @@ TEXTS = {
     "txt_src_cut": S(
         """WITH g AS (SELECT idc, seq, seq - 150 * row_number() OVER (PARTITION BY idc ORDER BY seq) AS island FROM cells WHERE idc < 30), i AS (SELECT idc, island, min(seq) AS s, max(seq) AS e, count(*) AS n FROM g GROUP BY idc, island) SELECT idc, s, e, n FROM i"""
     ),
+    # word boxes on a page: overlaps by tier
+    "txt_layout_findings": S(
+        """WITH b AS (SELECT l_orderkey AS page, l_linenumber AS box, l_quantity AS x0, l_quantity + 8 AS x1, l_discount * 1000 AS y0, l_discount * 1000 + 30 AS y1 FROM lineitem),
+        o AS (SELECT a.page, (least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS area FROM b a JOIN b c ON a.page = c.page AND a.box < c.box AND a.x0 < c.x1 AND c.x0 < a.x1 AND a.y0 < c.y1 AND c.y0 < a.y1)
+        SELECT page, CASE WHEN max(area) > 120 THEN 'hard' WHEN max(area) > 40 THEN 'warn' ELSE 'clean' END AS tier, count(*) AS n FROM o GROUP BY page"""
+    ),
     "heading_detect": S(
         """WITH l AS (SELECT doc_id, explode(split(text, '\\n')) AS line FROM documents) SELECT doc_id, count(*) AS lines_, count(*) FILTER (WHERE length(line) < 40 AND line RLIKE '^[A-Z]' AND NOT line RLIKE '[.]$') AS headings FROM l GROUP BY doc_id""",
         """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines_, count(*) FILTER (WHERE length(line) < 40 AND regexp_matches(line, '^[A-Z]') AND NOT regexp_matches(line, '[.]$')) AS headings FROM l GROUP BY doc_id""",
@@ -119,7 +125,7 @@ TEXTS = {
 }
 
 _COUNTS = {
-    "val_placeholder": "[*#$%&]{3}", "val_brace": "[(){}]", "val_number": "[0-9]+", "val_url": "https?://", "val_newline": "[.]",
+    "val_decoration": "[*#$%&]{3}", "val_bracket": "[()]", "val_number": "[0-9]+", "val_url": "https?://", "val_newline": "[.]",
     "val_quote": "['\\x22]", "val_upper": "[A-Z]", "val_comma": ",",
 }
 #: Pair checks that compare counts of a pattern on both sides.
@@ -136,7 +142,7 @@ PAIR_CHECKS = {
     "val_wrong_language": S("""SELECT conv_id, turn, src RLIKE '[éèçê]' AND NOT tgt RLIKE '[éèçê]' AS switched FROM pairs"""),
 }
 
-STATEMENTS = SCALARS | TEXTS | PAIR_CHECKS
+STATEMENTS = SCALARS | TEXTS | PAIR_CHECKS | pairs.STATEMENTS
 
 
 def _of(table: str, function):
@@ -165,4 +171,5 @@ QUERIES = {
     "scan_html_blocks": _of("pages", algorithms.html_blocks),
     "smp_greedy_cover": _of("events", algorithms.greedy_cover),
     "expansion_fixpoint": _of("documents", algorithms.expand_fixpoint),
+    "txt_tree_scan": lambda spark, sf_dir: algorithms.reachable_files(read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")),
 }

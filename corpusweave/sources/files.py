@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import re
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from html import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def parse_lines(lines: DataFrame, schema: str, column: str = "line") -> DataFrame:
@@ -39,3 +47,68 @@ def write_and_read(df: DataFrame, kind: str, **options: str) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.format(kind).options(**options).save(path)
     return df.sparkSession.read.format(kind).schema(df.schema).options(**options).load(path)
+
+
+def zipped_units(blobs: DataFrame) -> DataFrame:
+    """(doc_id, pos, digest, n_chars): paragraphs of zipped documents (the body member of DOCX, the XHTML members of
+    EPUB), each with a digest of its own text; a blob that is no zip gives no row."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not blob or not zipfile.is_zipfile(io.BytesIO(blob)):
+                    continue
+                with zipfile.ZipFile(io.BytesIO(blob)) as z:
+                    names = [n for n in sorted(z.namelist()) if n == "word/document.xml" or n.endswith((".xhtml", ".html"))]
+                    found = [x for n in names for x in re.findall(r"<(?:w:)?p[ >].*?</(?:w:)?p>", z.read(n).decode("utf-8", "replace"), re.S)]
+                texts = [t for x in found if (t := " ".join(re.sub(r"<[^>]+>", "", x).split()))]
+                rows += [(doc_id, i, hashlib.sha256(t.encode()).hexdigest()[:16], len(t)) for i, t in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["doc_id", "pos", "digest", "n_chars"])
+
+    return blobs.select("doc_id", "blob").mapInArrow(part, "doc_id long, pos long, digest string, n_chars long")
+
+
+def as_docx(docs: DataFrame) -> DataFrame:
+    """(doc_id, blob): each text as a minimal DOCX file with a paragraph for each line."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blobs = []
+            for text in b.column(1).to_pylist():
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("word/document.xml", "".join(f"<w:p><w:t>{escape(x)}</w:t></w:p>" for x in (text or "").split("\n")))
+                blobs.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
+
+    return docs.select("doc_id", "text").mapInArrow(part, "doc_id long, blob binary")
+
+
+class PagedSource(DataSource):
+    """A source that answers page by page with a cursor, as web interfaces do; here a counting one of ``total`` rows.
+
+    Each page is a partition of its own, so pages are fetched in parallel and a lost one is fetched again."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "corpusweave_paged"
+
+    def schema(self) -> str:
+        return "id long, page int"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Pages(int(self.options.get("total", "0")), int(self.options.get("size", "100")))
+
+
+class _Pages(DataSourceReader):
+    def __init__(self, total: int, size: int):
+        self.total, self.size = total, size
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(-(-self.total // self.size))]
+
+    def read(self, partition: InputPartition):
+        page = partition.value
+        for i in range(page * self.size, min(self.total, (page + 1) * self.size)):
+            yield i, page
