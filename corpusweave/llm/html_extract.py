@@ -30,9 +30,10 @@ BOILER = frozenset("nav footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
 CLOSES_P = BLOCK - frozenset("body caption html li td th tr dd dt tbody thead tfoot option optgroup legend summary figcaption title".split())
 CLUTTER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|comment\w*|disqus|respond|reply|replies|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|social\w*|sidebar\w*|side-bar|widget\w*|related|recommend\w*|breadcrumb\w*|menu\w*|nav\w*|navbar|footer\w*|header|masthead|copyright|pagination|pager|toolbar|skip\w*|disclaimer|outbrain|taboola|tags?)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|comment\w*|disqus|respond|reply|replies|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|social\w*|sidebar\w*|side-bar|widget\w*|related|recommend\w*|breadcrumb\w*|menu\w*|nav\w*|navbar|footer\w*|(?:site|page|top|global)-?header|masthead|copyright|pagination|pager|toolbar|skip\w*|disclaimer|outbrain|taboola|tags?)(?=$|[\s_-])",
     re.I,
 )
+HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-?body|post-?content|entry\w*|content|main\w*|story\w*|body-?text|articlebody|prose)(?=$|[\s_-])", re.I)
 ROLES = {"navigation": 1, "banner": 1, "contentinfo": 1, "complementary": 1, "search": 1, "form": 1, "dialog": 1, "alert": 1, "alertdialog": 1, "menu": 1, "menubar": 1, "main": -1, "article": -1}
 
@@ -63,6 +64,10 @@ LABELLED = (
     (18, 0.0, 60, 0.0, 20, 0.0, 0, 0, 0, 0, 1), (14, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (6, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0, 0, 1),
     (8, 0.0, 2, 1.0, 90, 0.0, 1, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 55, 0.0, 1, 0, 0, 0, 1), (11, 0.0, 70, 0.0, 12, 0.0, 0, 1, 0, 0, 1),
     (40, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (2000, 0.0, 2, 1.0, 6, 0.0, 0, 0, 0, 0, 1), (16, 0.1, 60, 0.0, 18, 0.2, 0, 1, 0, 0, 1),
+    (16, 0.0, 20, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (25, 0.0, 18, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (40, 0.0, 30, 0.1, 1, 1.0, 0, 0, 0, 0, 1),
+    (13, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (22, 0.1, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 1), (70, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1),
+    (28, 0.0, 5, 0.0, 4, 0.9, 0, 0, 0, 0, 1), (19, 0.05, 25, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (15, 0.9, 20, 0.0, 1, 1.0, 0, 0, 0, 0, 0),
+    (24, 0.7, 30, 0.1, 2, 0.9, 0, 0, 0, 0, 0), (35, 0.8, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0), (4, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (6, 0.9, 3, 1.0, 5, 0.8, 0, 0, 0, 0, 0),
     (20, 0.9, 18, 0.9, 22, 0.8, 0, 1, 0, 0, 0), (30, 0.8, 4, 1.0, 25, 0.9, 0, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
     (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (5, 0.5, 4, 1.0, 3, 0.7, 0, 0, 0, 0, 0),
@@ -110,7 +115,8 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _mark(name: str, attrs: dict[str, str]) -> int:
-    """1 for an element of clutter, -1 for one of the main text, 0 else; 2 for a hidden one."""
+    """1 for an element of clutter, -1 for one of the main text, 0 else; 2 for a hidden one; 3 for a header,
+    which is clutter unless it is an article's."""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return 2
     if role := ROLES.get(attrs.get("role", "").lower()):
@@ -120,6 +126,8 @@ def _mark(name: str, attrs: dict[str, str]) -> int:
         return 1
     if name in BOILER:
         return 1
+    if name == "header" or HEADER.search(names):
+        return 3
     return -1 if name in ARTICLE or CONTENT.search(names) else 0
 
 
@@ -141,8 +149,8 @@ def blocks(page: str) -> list[list]:
             linked.clear()
 
     def open_(name: str, mark: int) -> None:
-        if name == "header" and not mark and not depth["article"]:
-            mark = 1
+        if mark == 3:
+            mark = 0 if depth["article"] else 1
         stack.append((name, mark))
         if mark == 1:
             depth["clutter"] += 1
