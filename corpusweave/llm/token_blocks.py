@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ CHECK = 128  # steps of all lanes between two checkpoints
 BITS = 18  # the frequencies of the table add up to 2 to this power
 LOW = 1 << 31
 MAGIC, HEAD = b"RANS", struct.Struct("<4sHHIIII")
-_CACHE = 5 << 17  # words whose ids a worker keeps
-_PIECE = re.compile(rb"[a-z]+|[!-/:-@\[-`{-~]+")
+_TEXTS = 64  # texts that are encoded together
+_CACHE = 1 << 19  # words whose ids a worker keeps
+_MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
 _ENDS = re.compile(rb"([a-z]+|[a-z\x80-\xff]*[a-z])([!-/:-@\[-`{-~]+)")  # letters, then ASCII punctuation
 
 
@@ -65,7 +67,7 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Adds the ids of new words."""
-        halves = {w: m.groups() for w in words if (m := _ENDS.fullmatch(w))}
+        halves = {w: m.groups() for w in words if not w.isalpha() and (m := _ENDS.fullmatch(w))}
         whole = dict.fromkeys(w for w in words if w not in halves)
         whole |= dict.fromkeys(x for pair in halves.values() for x in pair if x not in self.known)
         ids = self._ids(list(whole))
@@ -80,7 +82,7 @@ class Encoder:
         it is, else by its steps one after another, or as a whole where special tokens may stand in it."""
         out = []
         for w in words:
-            if _PIECE.fullmatch(w):
+            if w.isalpha() and w.islower() or _MARKS.fullmatch(w):
                 pieces = (w.decode(),)
             elif b"<|" in w:
                 out.append(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
@@ -109,18 +111,24 @@ class Encoder:
         return self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; several texts at a time share the cost of new words and of gathering."""
         if not self.whole_words:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        raw = text.encode("utf-8", "replace")
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        raws = [t.encode("utf-8", "replace") for t in texts]
         # A-Z may be lowered here, as the tokenizer does so itself, unless that could make a special token
-        words = (raw if b"<|" in raw else raw.lower()).split()
+        lists = [(raw if b"<|" in raw else raw.lower()).split() for raw in raws]
+        words = list(chain.from_iterable(lists))
         if missing := set(words).difference(self.known):
             if len(self.known) > _CACHE:
                 self._clear()
                 missing = set(words)
             self._learn(list(missing))
-        places = list(map(self.known.__getitem__, words))
-        return self._gather(np.array(places, np.int64))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ends = np.concatenate(([0], np.cumsum(self.count[at])))[np.cumsum([len(x) for x in lists])]
+        return np.split(self._gather(at), ends[:-1])
 
 
 def encoder(path: str, whole_words: bool) -> Encoder:
@@ -247,14 +255,15 @@ def tokenized(docs: DataFrame, tokenizer: str, whole_words: bool = True) -> Data
             row = ([now], [first], [[d for d, _ in held]], [[len(x) for _, x in held]], [ids.tobytes()])
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
 
-        for b in batches:
-            for k, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for b in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
+            parts, doc_ids, texts = (c.to_pylist() for c in b.columns)
+            for k, doc_id, own in zip(parts, doc_ids, enc.encode_all([t or "" for t in texts]), strict=True):
                 if held and (k != now or n >= BLOCK):
                     yield flush()
                     first = first + n if k == now else 0
                     held, n = [], 0
                 now = k
-                ids = np.append(enc.encode(text or ""), np.uint32(END))
+                ids = np.append(own, np.uint32(END))
                 held.append((doc_id, ids))
                 n += len(ids)
         if held:
