@@ -268,6 +268,7 @@ def tokenized(docs: DataFrame, tokenizer: str, whole_words: bool = True) -> Data
                 n += len(ids)
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     names = ["part", "first", "doc_ids", "lengths", "ids"]
     types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
