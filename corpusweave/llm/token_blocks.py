@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, key_splits, new_path, parallelism, range_of, resident, staged
+from .common import batches_of, drop_staged, key_splits, new_path, parallelism, range_of, resident, staged
 
 END = 1
 BLOCK = 1 << 18  # ids after which a block ends with the document
@@ -36,8 +36,9 @@ CHECK = 128  # steps of all lanes between two checkpoints
 BITS = 18  # the frequencies of the table add up to 2 to this power
 LOW = 1 << 31
 MAGIC, HEAD = b"RANS", struct.Struct("<4sHHIIII")
+_ROWS = 512  # texts that Python gets at once
 _TEXTS = 64  # texts that are encoded together
-_CACHE = 1 << 19  # words whose ids a worker keeps
+_CACHE = 3 << 17  # words whose ids a worker keeps
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
 _ENDS = re.compile(rb"([a-z]+|[a-z\x80-\xff]*[a-z])([!-/:-@\[-`{-~]+)")  # letters, then ASCII punctuation
 
@@ -278,7 +279,8 @@ def tokenized(docs: DataFrame, tokenizer: str, whole_words: bool = True) -> Data
 def write(docs: DataFrame, path: str, tokenizer: str, whole_words: bool = True) -> None:
     """Writes ``docs`` (doc_id, text): path/table has the shared frequencies, path/blocks the coded blocks."""
     spark = docs.sparkSession
-    plain = staged(tokenized(docs, tokenizer, whole_words), "ids")
+    with batches_of(spark, _ROWS):
+        plain = staged(tokenized(docs, tokenizer, whole_words), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << 16, np.int64)
@@ -303,7 +305,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, whole_words: bool = True)
     table_args = (ids, freq)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(*table_args)
+        table = resident(("table", path), lambda: Table(*table_args))
         for b in batches:
             for part, first, doc_ids, lengths, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block = table.encode(np.frombuffer(raw, "<u4"), np.array(lengths, np.int64))
@@ -324,7 +326,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     table_args = read_table(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(*table_args)
+        table = resident(("table", path), lambda: Table(*table_args))
         for b in batches:
             for start, doc_ids, crc, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if zlib.crc32(block) != crc:
