@@ -234,29 +234,60 @@ def within_two(a: str, b: str) -> bool:
 
 
 def matching(adjacent: list[list[int]]) -> int:
-    """Size of a maximum bipartite matching, by augmenting paths."""
+    """Size of a maximum bipartite matching, by augmenting paths on a stack of their own."""
     owner: dict[int, int] = {}
-
-    def place(i: int, seen: set[int]) -> bool:
-        for j in adjacent[i]:
-            if j not in seen:
-                seen.add(j)
-                if j not in owner or place(owner[j], seen):
-                    owner[j] = i
-                    return True
-        return False
-
-    return sum(place(i, set()) for i in range(len(adjacent)))
+    for start in range(len(adjacent)):
+        seen: set[int] = set()
+        path, via, left = [start], [-1], [iter(adjacent[start])]
+        while path:
+            j = next((j for j in left[-1] if j not in seen), None)
+            if j is None:
+                path.pop(), via.pop(), left.pop()
+                continue
+            seen.add(j)
+            if j not in owner:
+                for i, before in zip(reversed(path), reversed(via), strict=True):
+                    owner[j], j = i, before
+                break
+            path.append(owner[j])
+            via.append(j)
+            left.append(iter(adjacent[owner[j]]))
+    return len(owner)
+
+
+def _thirds(n: int) -> tuple[tuple[int, int], ...]:
+    a, b = n // 3, 2 * n // 3
+    return (0, a), (a, b), (b, n)
+
+
+def near_words(words: list[str], others: list[str]) -> list[list[int]]:
+    """For each word the places of the others within two edits.
+
+    Two edits leave one of three parts of the other word as it is, moved by two letters at most, so only words
+    that share such a part are compared."""
+    parts: dict[tuple[int, int, str], list[int]] = {}
+    for j, y in enumerate(others):
+        for k, (a, b) in enumerate(_thirds(len(y))):
+            parts.setdefault((len(y), k, y[a:b]), []).append(j)
+    lengths = {len(y) for y in others}
+    out = []
+    for x in words:
+        near: set[int] = set()
+        for n in lengths.intersection(range(len(x) - 2, len(x) + 3)):
+            for k, (a, b) in enumerate(_thirds(n)):
+                for piece in {x[a + d : b + d] for d in range(max(-2, -a), 3)}:
+                    near.update(parts.get((n, k, piece), ()))
+        out.append([j for j in sorted(near) if within_two(x, others[j])])
+    return out
 
 
-def typo_matching(pairs: DataFrame, most: int = 60) -> DataFrame:
-    """Words of the source that the target lacks, matched with new words of the target within two edits; up to
-    ``most`` distinct words a side."""
+def typo_matching(pairs: DataFrame) -> DataFrame:
+    """Words of the source that the target lacks, matched with new words of the target within two edits."""
 
     def rows(conv, turn, src, tgt):
         a, b = ({w for w in re.findall(r"[a-z]{4,}", (x or "").lower())} for x in (src, tgt))
-        gone, new = sorted(a - b)[:most], sorted(b - a)[:most]
-        return [(conv, turn, len(gone), len(new), matching([[j for j, y in enumerate(new) if within_two(x, y)] for x in gone]))]
+        gone, new = sorted(a - b), sorted(b - a)
+        return [(conv, turn, len(gone), len(new), matching(near_words(gone, new)))]
 
     return flat_map(pairs, ["conv_id", "turn", "src", "tgt"], "conv_id long, turn long, n_missing long, n_new long, n_matched long", rows)
 

@@ -56,3 +56,29 @@ def test_encodings():
 def test_clean_controls_are_not_detected():
     assert al.detected("One, two. Three", "One, two. Three") == []
     assert "empty" in al.detected("One", "")
+
+
+@given(st.lists(st.text("ab", max_size=7), max_size=12), st.lists(st.text("ab", max_size=7), max_size=12))
+def test_near_words_are_all_within_two(a, b):
+    assert al.near_words(a, b) == [[j for j, y in enumerate(b) if al.within_two(x, y)] for x in a]
+
+
+@settings(max_examples=60)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=4, unique=True), max_size=6))
+def test_matching_is_the_best_of_all(adjacent):
+    def best(i, used):
+        return 0 if i == len(adjacent) else max([best(i + 1, used)] + [1 + best(i + 1, used | {j}) for j in adjacent[i] if j not in used])
+
+    assert al.matching(adjacent) == best(0, frozenset())
+
+
+def test_matching_follows_paths_of_any_length():
+    n = 3000
+    assert al.matching([*([i, i + 1] for i in range(n)), [0]]) == n + 1
+
+
+def test_typos_of_all_words_are_matched(spark):
+    word = lambda i: "".join(chr(97 + int(c)) * 4 for c in f"{i:03}")
+    src, tgt = " ".join(map(word, range(150))), " ".join(word(i) + "xy" for i in range(150))
+    got = al.typo_matching(spark.createDataFrame([(1, 0, src, tgt)], "conv_id long, turn long, src string, tgt string")).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 150, 150, 150)]
