@@ -32,9 +32,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP), lambda w: w != "")
 
 
-def _loose(text: Column) -> Column:
-    """As ``words``, with letters above ASCII lowered too, which is faster and keeps all places."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _GAP), lambda w: w != "")
+def _raw(text: Column) -> Column:
+    """The words of a text at their places, as they are written.
+
+    Anchors are looked up by ``lower`` of one such word, which is faster than ``translate`` and the same for words
+    that ``words`` makes equal.  It is never taken of more, as the small form of a Greek sigma hangs on what follows."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), _GAP), lambda w: w != "")
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
@@ -56,8 +59,8 @@ def _listed(table: DataFrame, column: str, limit: int) -> list[str] | None:
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame, limit: int = PLAN_ANCHORS) -> DataFrame:
-    """(word, count) over all documents of the words in ``vocabulary`` (word), with letters lowered."""
-    each = docs.select(F.explode(F.split(F.lower(F.col("text")), _GAP)).alias("word"))
+    """(word, count) over all documents of the words in ``vocabulary`` (word), each lowered on its own."""
+    each = docs.select(F.explode(F.split(F.col("text"), _GAP)).alias("word")).select(F.lower("word").alias("word"))
     listed = _listed(vocabulary, "word", limit)
     each = each.where(_one_of(F.col("word"), listed)) if listed is not None else each.join(vocabulary, "word", "left_semi")
     return each.groupBy("word").count()
@@ -75,15 +78,15 @@ def _places(docs: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     """docs (doc_id, key, text) with n_words and ``places`` of anchor words, each with up to 12 words on either side."""
     listed = _listed(names, "word", limit)
     if listed is not None:
-        loose = docs.select("doc_id", "key", "text", _loose(F.col("text")).alias("w"))
-        at = F.filter(F.transform("w", lambda w, i: F.when(_one_of(w, listed), i)), lambda i: i.isNotNull())
-        found = loose.select("doc_id", "key", "text", F.size("w").cast("long").alias("n_words"), at.alias("at"))
+        raw = docs.select("doc_id", "key", "text", _raw(F.col("text")).alias("w"))
+        at = F.filter(F.transform("w", lambda w, i: F.when(_one_of(F.lower(w), listed), i)), lambda i: i.isNotNull())
+        found = raw.select("doc_id", "key", "text", F.size("w").cast("long").alias("n_words"), at.alias("at"))
     else:
-        each = docs.select("doc_id", "key", F.posexplode(_loose(F.col("text"))).alias("i", "word"))
+        each = docs.select("doc_id", "key", F.posexplode(_raw(F.col("text"))).alias("i", "word")).withColumn("word", F.lower("word"))
         hit = each.join(names, "word", "left_semi").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("i")).alias("at"))
         hit = hit.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "at")
         same = docs["doc_id"].eqNullSafe(hit["_id"]) & docs["key"].eqNullSafe(hit["_key"])
-        n = F.size(_loose(F.col("text"))).cast("long")
+        n = F.size(_raw(F.col("text"))).cast("long")
         found = docs.join(hit, same, "left").select("doc_id", "key", "text", n.alias("n_words"), F.coalesce("at", F.array().cast("array<int>")).alias("at"))
     exact = found.withColumn("w", F.when(F.size("at") > 0, words(F.col("text"))))
     around = F.transform("at", lambda q: F.struct(q.alias("at"), F.least(q, F.lit(WINDOW - 1)).alias("lead"), F.slice("w", F.greatest(q - WINDOW + 2, F.lit(1)), F.least(q, F.lit(WINDOW - 1)) + WINDOW).alias("around")))
