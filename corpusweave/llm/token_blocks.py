@@ -43,6 +43,21 @@ _MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
 _ENDS = re.compile(rb"([a-z]+|[a-z\x80-\xff]*[a-z])([!-/:-@\[-`{-~]+)")  # letters, then ASCII punctuation
 
 
+def _combines(raw: bytes) -> bool:
+    """Whether first bytes of U+0300 to U+037F occur; all that composes with an ASCII letter is there."""
+    return b"\xcc" in raw or b"\xcd" in raw
+
+
+def _lowered(raw: bytes) -> list[bytes]:
+    """The words of a text.  A-Z may be lowered here, as the tokenizer does so itself, unless that could make a
+    special token, or a letter that the tokenizer, which composes before it lowers, would leave in two parts."""
+    if b"<|" in raw:
+        return raw.split()
+    if _combines(raw):
+        return [w if _combines(w) else w.lower() for w in raw.split()]
+    return raw.lower().split()
+
+
 class Encoder:
     """Ids of texts from the tokenizers library.
 
@@ -119,8 +134,7 @@ class Encoder:
         if not self.whole_words:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         raws = [t.encode("utf-8", "replace") for t in texts]
-        # A-Z may be lowered here, as the tokenizer does so itself, unless that could make a special token
-        lists = [(raw if b"<|" in raw else raw.lower()).split() for raw in raws]
+        lists = [_lowered(raw) for raw in raws]
         words = list(chain.from_iterable(lists))
         if missing := set(words).difference(self.known):
             if len(self.known) > _CACHE:
