@@ -6,8 +6,10 @@ components over these edges carry a block to every alias without a rule of its o
 component is explicitly allowed.  DataFrame functions only.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule and no alias, and is
-allowed; repeated rows give equal results; null html has no link; relative links other than from the
-root, and links to the page itself, are no edges; extra columns are ignored.
+allowed; repeated rows give equal results; null html has no link; relative links are
+resolved against the page's URL, or against its first base tag with an address, and lose their dot segments;
+absolute ones stay as they are; links of schemes without ``://``, and links to the page itself, are no edges;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SCHEME = r"\A[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def _host(url: Column) -> Column:
@@ -55,21 +58,52 @@ def _node(url: Column) -> Column:
     return F.xxhash64(scheme, _host(url), F.when(rest == "", F.lit("/")).otherwise(rest))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+
+
 def _attribute(tag: Column, name: str) -> Column:
     raw = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return F.replace(F.trim(F.regexp_replace(raw, r"""^["']|["']$""", "")), F.lit("&amp;"), F.lit("&"))
+    return F.replace(_stripped(F.regexp_replace(raw, r"""\A["']|["']\z""", "")), F.lit("&amp;"), F.lit("&"))
+
+
+def _merged(path: Column) -> Column:
+    """A path from the root without its dot segments."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, ends), "/"))
+
+
+def _resolved(target: Column, base: Column) -> Column:
+    """The URL that ``target`` names in a page whose URL is ``base``."""
+    root = F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*+)", 1)
+    path = F.regexp_extract(target, r"(?s)\A([^?#]*+)", 1)
+    rest = F.regexp_extract(target, r"(?s)\A[^?#]*+(.*)", 1)
+    folder = F.regexp_extract(_path(base), r"(?s)\A(.*/)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    return (
+        F.when(target.rlike(_SCHEME), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)\A(.*?:)//", 1), target))
+        .when((target == "") | target.startswith("#"), base)
+        .when(target.startswith("?"), F.concat(root, _path(base), target))
+        .otherwise(F.concat(root, _merged(F.when(target.startswith("/"), path).otherwise(F.concat(folder, path))), rest))
+    )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, target) of the canonical links and the redirects by refresh in ``pages`` (url, html)."""
     tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*+>"), F.lit(0))
     marked = F.filter(tags, lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b|http-equiv\s*=\s*[\"']?refresh"))
-    rows = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(marked).alias("tag"))
+    named = F.transform(F.regexp_extract_all("html", F.lit(r"(?i)<base\b[^>]*+>"), F.lit(0)), lambda t: _attribute(t, "href"))
+    base = F.coalesce(F.get(F.filter(named, lambda x: x != ""), F.lit(0)), F.lit(""))
+    rows = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", base.alias("base"), F.explode(marked).alias("tag"))
     refresh = F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?i)url\s*=\s*[\"']?([^\"']+)", 1)
-    target = F.when(F.col("tag").startswith("<l") | F.col("tag").startswith("<L"), _attribute(F.col("tag"), "href")).otherwise(F.trim(refresh))
-    root = F.regexp_extract("url", r"(?s)\A(.*?://[^/?#]*+)", 1)
-    full = F.when(target.startswith("//"), F.concat(F.regexp_extract("url", r"(?s)\A(.*?:)//", 1), target)).when(target.startswith("/"), F.concat(root, target)).otherwise(target)
-    return rows.select("url", full.alias("target")).where(F.col("target").contains("://") & F.col("url").contains("://"))
+    target = F.when(F.col("tag").startswith("<l") | F.col("tag").startswith("<L"), _attribute(F.col("tag"), "href")).otherwise(_stripped(refresh))
+    links = rows.select("url", target.alias("target"), _resolved(F.col("base"), F.col("url")).alias("base"))
+    names_page = (F.col("target") != "") & ~F.col("target").startswith("#") & (F.col("target").rlike(_SCHEME + "//") | ~F.col("target").rlike(_SCHEME))
+    return links.where(names_page & F.col("url").contains("://")).select("url", _resolved(F.col("target"), F.col("base")).alias("target")).where(F.col("target").contains("://"))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None = None) -> DataFrame:

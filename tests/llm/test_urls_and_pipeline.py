@@ -58,3 +58,43 @@ def test_pipeline(spark, sf_dir):
     kept = {r["doc_id"] for r in near_dedup.near_duplicates(first).where("kept").collect()}
     assert {r["doc_id"] for r in second.collect()} == kept and second.columns == docs.columns
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_relative_links_are_resolved(spark):
+    link = '<head>{}<link rel="canonical" href="{}"></head>'
+    page = "http://h.edu/de/a/5?q=1#f"
+    cases = [
+        (page, "", "7", "http://h.edu/de/a/7"),
+        (page, "", "../8", "http://h.edu/de/8"),
+        (page, "", "./x/../y/.", "http://h.edu/de/a/y/"),
+        (page, "", "../../../z?u=http://o.edu/../b#t", "http://h.edu/z?u=http://o.edu/../b#t"),
+        (page, "", "..", "http://h.edu/de/"),
+        (page, "", "?id=3&amp;k", "http://h.edu/de/a/5?id=3&k"),
+        (page, "", "/en/../9", "http://h.edu/9"),
+        (page, "", "\n http://o.edu/k\n", "http://o.edu/k"),
+        (page, "", "//o.edu/k", "http://o.edu/k"),
+        (page, "", "https://o.edu/a/../b", "https://o.edu/a/../b"),
+        ("http://h.edu", "", "7", "http://h.edu/7"),
+        ("http://h.edu?q", "", "?id=3", "http://h.edu?id=3"),
+        (page, "<base target=x><base href='/b/c'>", "7", "http://h.edu/b/7"),
+        (page, "<base href='http://o.edu/k/'>", "../7", "http://o.edu/7"),
+        (page, "", "mailto:a@b", None),
+        (page, "", "javascript:go('http://o.edu')", None),
+        (page, "", "#top", None),
+        (page, "", "", None),
+    ]
+    for url, base, target, want in cases:
+        got = url_filter.page_links(spark.createDataFrame([(url, link.format(base, target))], "url string, html string")).collect()
+        assert [r["target"] for r in got] == ([want] if want else []), target
+
+
+def test_blocks_reach_aliases_by_relative_links(spark):
+    rows = [
+        (1, "http://x.example.com/en/5", '<link rel=canonical href="../a/b">'),
+        (2, "http://x.example.com/a/b", None),
+        (3, "http://x.example.com/a/c?k", "<meta http-equiv=refresh content='0; url=b'>"),
+        (4, "http://x.example.com/en/6", '<link rel=canonical href="../d">'),
+        (5, "http://x.example.com/d", '<link rel=canonical href="en/7">'),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
