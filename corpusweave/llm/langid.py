@@ -26,27 +26,44 @@ from .common import resident
 
 DIM = 1024
 GRAM = 3
-SLOTS = 64  # letters share 64 vectors: one for the gap between words, 26 for a to z, the rest by code point
+SLOTS = 64  # a worker's first letters, a to z among them, have n-grams in a table; those with later letters in a dict
 SEED = 20240229
 UNKNOWN = "und"
 _CHUNK = 1 << 18  # characters of a text that are counted at once
+_ROWS = 1 << 15  # n-gram vectors that a worker keeps
+_SLICE = 1 << 12  # n-grams that are bundled at once
+_EXACT = 1 << 24  # single precision adds up to here without rounding
+_WIDE = np.int64(1) << np.int64(60)
 
 
 class Space:
-    """Letter vectors and the n-gram vectors bound so far; one for each Python worker."""
+    """Letter vectors and the n-gram vectors bound so far, at most _ROWS; one for each Python worker.
+
+    Each letter has its own vector, drawn from a generator seeded by its code point, so workers agree; a
+    worker numbers letters as it meets them, and its numbers never leave it."""
 
     def __init__(self, dim: int = DIM, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.letters = rng.integers(0, 2, (SLOTS, dim), dtype=np.int8) * 2 - 1
-        self.turned = [np.roll(self.letters, k, axis=1) for k in range(GRAM - 1, -1, -1)]
-        self.dim = dim
-        self.ascii = np.zeros(128, np.uint8)
-        for c in range(26):
-            self.ascii[97 + c] = self.ascii[65 + c] = 1 + c
+        self.dim, self.seed = dim, seed
+        self.letters: list[np.ndarray] = [self._vector(0)]  # the gap between words
+        self.slot_of: dict[int, int] = {}
+        self.ascii = np.zeros(128, np.int32)
+        for c in range(97, 123):
+            self.ascii[c] = self.ascii[c - 32] = self._slot(c)
         self.wide: dict[int, int] = {}
-        self.bound = np.zeros((4096, dim), np.int8)
-        self.at = np.full(SLOTS**GRAM, -1, np.int32)
-        self.used = 0
+        self.bound = np.zeros((_ROWS, dim), np.int8)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at, self.far, self.used = np.full(SLOTS**GRAM, -1, np.int32), {}, 0
+
+    def _vector(self, code: int) -> np.ndarray:
+        return np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1
+
+    def _slot(self, code: int) -> int:
+        if code not in self.slot_of:
+            self.slot_of[code] = len(self.letters)
+            self.letters.append(self._vector(code))
+        return self.slot_of[code]
 
     def slots(self, text: str) -> np.ndarray:
         """A slot for each character; 0 for what isn't a letter."""
@@ -58,51 +75,100 @@ class Space:
             for c in kinds.tolist():
                 if c not in self.wide:
                     ch = chr(c).lower()[0]
-                    self.wide[c] = 0 if not ch.isalpha() else int(self.ascii[ord(ch)]) if ord(ch) < 128 else 27 + ord(ch) % (SLOTS - 27)
-            out = out.copy()
-            out[high] = np.array([self.wide[c] for c in kinds.tolist()], np.uint8)[back]
+                    self.wide[c] = self._slot(ord(ch)) if ch.isalpha() else 0
+            out[high] = np.array([self.wide[c] for c in kinds.tolist()], np.int32)[back]
         return out
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """n-grams of the text and their counts; None without a letter.  Runs of non-letters are one gap."""
-        kinds, sums, rest, any_letter = [], [], np.zeros(1, np.uint8), False
+        """n-grams of the text, by this worker's numbers, and their counts; None without a letter.  Runs of
+        non-letters are one gap."""
+        kinds, sums, rest, any_letter = [], [], np.zeros(1, np.int32), False
         for i in range(0, len(text), _CHUNK):
             s = np.concatenate((rest, self.slots(text[i : i + _CHUNK])))
             any_letter |= bool(s.any())
             keep = np.ones(len(s), bool)
             keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-            s = s[keep].astype(np.int64)
+            s = s[keep]
             last = i + _CHUNK >= len(text)
             if last and s[-1]:
-                s = np.append(s, 0)
+                s = np.append(s, np.int32(0))
             if len(s) >= GRAM:
-                code = (s[:-2] * SLOTS + s[1:-1]) * SLOTS + s[2:]
-                k, n = np.unique(code, return_counts=True)
+                k, n = np.unique(self._codes(s), return_counts=True)
                 kinds.append(k)
                 sums.append(n)
-            rest = s[-(GRAM - 1) :].astype(np.uint8)
+            rest = s[-(GRAM - 1) :]
         if not any_letter:
             return None
-        if len(kinds) == 1:
-            return kinds[0], sums[0]
-        k, back = np.unique(np.concatenate(kinds), return_inverse=True)
-        return k, np.bincount(back, np.concatenate(sums)).astype(np.int64)
-
-    def rows(self, grams: np.ndarray) -> np.ndarray:
-        """Places of the n-grams' vectors in ``bound``, binding those not met before."""
-        new = grams[self.at[grams] < 0]
-        if len(new):
-            if self.used + len(new) > len(self.bound):
-                self.bound = np.concatenate((self.bound, np.zeros((max(len(self.bound), len(new)), self.dim), np.int8)))
-            a, b, c = new // SLOTS**2, new // SLOTS % SLOTS, new % SLOTS
-            self.bound[self.used : self.used + len(new)] = self.turned[0][a] * self.turned[1][b] * self.turned[2][c]
-            self.at[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-        return self.at[grams]
+        return (kinds[0], sums[0]) if len(kinds) == 1 else merged(kinds, sums)
+
+    def _codes(self, s: np.ndarray) -> np.ndarray:
+        a, b, c = s[:-2], s[1:-1], s[2:]
+        near = (a * SLOTS + b) * SLOTS + c
+        if s.max() < SLOTS:
+            return near
+        a, b, c = (x.astype(np.int64) for x in (a, b, c))
+        return np.where(np.maximum(np.maximum(a, b), c) < SLOTS, near, _WIDE | a << 40 | b << 20 | c)
+
+    def _rows(self, grams: np.ndarray) -> np.ndarray:
+        """Places in ``bound`` of at most _SLICE n-grams, binding those not met before."""
+        wide = np.flatnonzero(grams >= SLOTS**GRAM)
+        places = self.at[np.where(grams < SLOTS**GRAM, grams, 0)] if len(wide) else self.at[grams]
+        if len(wide):
+            places[wide] = [self.far.get(g, -1) for g in grams[wide].tolist()]
+        new = np.flatnonzero(places < 0)
+        if not len(new):
+            return places
+        if self.used + len(new) > _ROWS:
+            self._clear()
+            return self._rows(grams)
+        g = grams[new].astype(np.int64)
+        far = g >= _WIDE
+        parts = [np.where(far, (g >> k) & 0xFFFFF, g // SLOTS**i % SLOTS) for i, k in ((2, 40), (1, 20), (0, 0))]
+        vectors = np.ones((len(new), self.dim), np.int8)
+        for i, slots in enumerate(parts):
+            kinds, back = np.unique(slots, return_inverse=True)
+            turned = np.roll(np.array([self.letters[k] for k in kinds.tolist()]), GRAM - 1 - i, axis=1)
+            vectors *= turned[back]
+        own = np.arange(self.used, self.used + len(new), dtype=np.int32)
+        self.bound[own[0] : own[-1] + 1] = vectors
+        self.at[g[~far]] = own[~far]
+        self.far.update(zip(g[far].tolist(), own[far].tolist(), strict=True))
+        self.used += len(new)
+        places[new] = own
+        return places
 
     def bundle(self, counted: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        places = self.rows(counted[0])  # may move ``bound``
-        return counted[1].astype(np.float32) @ self.bound[places].astype(np.float32)
+        """The sum of the n-grams' vectors, in whole numbers."""
+        grams, n = counted
+        kind, total = np.float32 if int(n.sum()) < _EXACT else np.float64, np.zeros(self.dim)
+        for i in range(0, len(grams), _SLICE):
+            total += n[i : i + _SLICE].astype(kind) @ self.bound[self._rows(grams[i : i + _SLICE])].astype(kind)
+        return total
+
+
+def merged(kinds: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, back = np.unique(np.concatenate(kinds), return_inverse=True)
+    return k, np.rint(np.bincount(back, np.concatenate(sums))).astype(np.int64)
+
+
+class _Sum:
+    """One language's bundle in a partition: counts wait until they are many."""
+
+    def __init__(self, dim: int):
+        self.vector, self.kinds, self.sums, self.waiting = np.zeros(dim, np.int64), [], [], 0
+
+    def add(self, own: Space, counted: tuple[np.ndarray, np.ndarray]) -> None:
+        self.kinds.append(counted[0])
+        self.sums.append(counted[1])
+        self.waiting += len(counted[0])
+        if self.waiting > 1 << 18:
+            self.settle(own)
+
+    def settle(self, own: Space) -> np.ndarray:
+        if self.kinds:
+            self.vector += np.rint(own.bundle(merged(self.kinds, self.sums))).astype(np.int64)
+            self.kinds, self.sums, self.waiting = [], [], 0
+        return self.vector
 
 
 def space(dim: int, seed: int) -> Space:
@@ -112,8 +178,8 @@ def space(dim: int, seed: int) -> Space:
 def fit(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.ndarray]:
     """Prototypes of all rows (text, lang), over the whole table.
 
-    Each partition gives one summed n-gram count table for each language (at most 64**3 entries), and
-    those are added up; the driver gets one vector of ``dim`` numbers for each language.
+    Each partition gives one vector of whole numbers for each language, and those are added up, so prototypes
+    don't hang on the partitions; the driver gets one vector of ``dim`` numbers for each language.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +188,11 @@ def fit(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.n
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if counted := s.counts(text):
                     if lang not in sums:
-                        sums[lang] = np.zeros(SLOTS**GRAM, np.int64)
-                    sums[lang][counted[0]] += counted[1]
-        for lang, n in sums.items():
-            grams = np.flatnonzero(n)
-            vector = s.bundle((grams, n[grams]))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(np.rint(vector.astype(np.float64)).astype(np.int64))], ["lang", "i", "v"])
+                        sums[lang] = _Sum(dim)
+                    sums[lang].add(s, counted)
+        for lang, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(own.settle(s))], ["lang", "i", "v"])
+        pa.default_memory_pool().release_unused()
 
     rows = labelled.select("text", "lang").where("text is not null and lang is not null").mapInArrow(part, "lang string, i int, v long")
     got = rows.groupBy("lang", "i").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v")).collect()
@@ -138,7 +203,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     """The columns of ``docs``, its text only on demand, and those of ``into``: the language and its cosine (0
     where that is negative)."""
     names = sorted(prototypes)
-    unit = np.array([prototypes[k] / max(np.linalg.norm(prototypes[k]), 1e-9) for k in names], np.float32).reshape(len(names), dim)
+    unit = np.array([prototypes[k] / max(np.linalg.norm(prototypes[k]), 1e-9) for k in names], np.float64).reshape(len(names), dim)
     kept = [f for f in docs.schema if keep_text or f.name != "text"]
     schema = StructType([*kept, StructField(into[0], StringType()), StructField(into[1], DoubleType())])
 
@@ -159,6 +224,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                 scores.append(min(1.0, max(0.0, float(cos[best]))))
             own = [c for c, name in zip(b.columns, b.schema.names, strict=True) if keep_text or name != "text"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(part, schema)
 

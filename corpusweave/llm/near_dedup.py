@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_staged, staged, unused
+from .common import batches_of, connected_components, drop_staged, staged, unused
 
 SHINGLE = 5
 PERCENT = 80
@@ -44,6 +44,7 @@ BROADCAST_IDS = 1 << 20
 SEED = 7919
 MARGIN = 5.0  # standard errors below the threshold at which a signature's estimate rules a pair out
 _CHUNK = 1 << 12
+_ROWS = 1024  # rows that Python gets at once
 _HELD = 1 << 22  # shingles that a cell keeps at a time
 
 _rng = np.random.default_rng(SEED)
@@ -352,6 +353,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: in
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text); and key, a hash of the
     text, and class, a name of the class that no id can blur."""
+    with batches_of(docs.sparkSession, _ROWS):
+        return _near_duplicates(docs, width, percent)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sketched = staged(sketches(docs, width), "sketches")
     nodes = staged(sketched.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
     labels = staged(_labels(nodes), "labels")

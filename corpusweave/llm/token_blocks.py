@@ -19,11 +19,12 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,88 +37,147 @@ CHECK = 128  # steps of all lanes between two checkpoints
 BITS = 18  # the frequencies of the table add up to 2 to this power
 LOW = 1 << 31
 MAGIC, HEAD = b"RANS", struct.Struct("<4sHHIIII")
-_ROWS = 512  # texts that Python gets at once
-_TEXTS = 64  # texts that are encoded together
-_CACHE = 3 << 17  # words whose ids a worker keeps
-_MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
-_ENDS = re.compile(rb"([a-z]+|[a-z\x80-\xff]*[a-z])([!-/:-@\[-`{-~]+)")  # letters, then ASCII punctuation
+_ROWS = 1024  # texts that Python gets, and encodes, at once
+_CACHE = 3 << 17  # pieces whose ids a worker keeps; beyond, those met in one batch only go
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
 
 
-def _combines(raw: bytes) -> bool:
-    """Whether first bytes of U+0300 to U+037F occur; all that composes with an ASCII letter is there."""
-    return b"\xcc" in raw or b"\xcd" in raw
+def _byte_classes() -> np.ndarray:
+    """The class of each byte of UTF-8.  Letters are a-z and U+00C0 to U+024F; bytes that follow are letters as well,
+    so what they belong to hangs on the first.  A run with _OTHER bytes is left whole."""
+    kinds = np.full(256, _OTHER, np.uint8)
+    kinds[33:127] = _MARK
+    kinds[[*b"'<"]] = _OTHER
+    kinds[[*b"0123456789"]] = _DIGIT
+    kinds[[*b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+    kinds[[*b" \t\n\v\f\r"]] = _SPACE
+    return kinds
 
 
-def _lowered(raw: bytes) -> list[bytes]:
-    """The words of a text.  A-Z may be lowered here, as the tokenizer does so itself, unless that could make a
-    special token, or a letter that the tokenizer, which composes before it lowers, would leave in two parts."""
-    if b"<|" in raw:
-        return raw.split()
-    if _combines(raw):
-        return [w if _combines(w) else w.lower() for w in raw.split()]
-    return raw.lower().split()
+_CLASS = _byte_classes()
+_LOWER = np.array([*bytes(range(256)).lower()], np.uint8)
+_MARKS = re.compile(r"[!-/:-@\[-`{-~]+")
+
+
+def _odd(text: str) -> bool:
+    """Whether lowering A-Z first could make a special token of it, or leave a letter in two parts that the
+    tokenizer composes before it lowers: U+0300 to U+037F holds all that composes with an ASCII letter."""
+    raw = text.encode("utf-8", "replace")
+    return b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+
+
+def _pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """The pieces of texts that stand one after another in ``raw`` up to ``ends``, and the number of each text's.
+
+    White space parts pieces, and so do changes between letters, ASCII punctuation and single digits."""
+    low = _LOWER[raw]
+    kind = _CLASS[low]
+    kind[1:][(low[:-1] == 0xC3) & ((low[1:] == 0x97) | (low[1:] == 0xB7))] = _OTHER  # the signs among the letters
+    kept = kind != _SPACE
+    fresh = np.ones(len(raw) + 1, bool)  # bytes that begin a run
+    np.logical_not(kept[:-1], out=fresh[1:-1])
+    fresh[ends] = True
+    fresh, kind, data = fresh[:-1][kept], kind[kept], low[kept]
+    cut = fresh.copy()
+    cut[1:] |= kind[1:] != kind[:-1]
+    cut |= kind == _DIGIT
+    if len(other := np.flatnonzero(kind == _OTHER)):
+        run = np.cumsum(fresh, dtype=np.int32)
+        whole = np.zeros(int(run[-1]) + 1, bool)
+        whole[run[other]] = True
+        cut &= fresh | ~whole[run]
+    starts = np.flatnonzero(cut).astype(np.int32)
+    offsets = np.append(starts, np.int32(len(data)))
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(kept)))[ends]
+    return found, np.diff(np.searchsorted(starts, upto), prepend=0)
+
+
+class _Numbers(dict):
+    """Numbers of pieces; asked for a new one, it gives it the next number and lists it."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+
+class _Letters(dict):
+    """What normalizing and splitting make of single letters."""
+
+    def __init__(self, steps: Callable):
+        self.steps = steps
+
+    def __missing__(self, letter: str) -> str:
+        self[letter] = got = "".join(x for x, _ in self.steps(letter))
+        return got
 
 
 class Encoder:
     """Ids of texts from the tokenizers library.
 
-    The tokenizer never joins what white space parts, so each distinct run between ASCII white space is
-    encoded once and its ids are kept; ``whole_words`` is False for tokenizers that do join.  It also
-    parts a letter from punctuation after it, and keeps runs of a-z and of ASCII punctuation as they are,
-    so of a new run only what is new is encoded.
-    """
+    ``parted`` says that the tokenizer parts a text at white space and between letters, single digits and other marks,
+    and takes letters in lower case; then each distinct piece is encoded once and its ids are kept.  Else whole
+    texts are encoded."""
 
-    def __init__(self, path: str, whole_words: bool):
+    def __init__(self, path: str, parted: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole_words = Tokenizer.from_file(path), whole_words
+        self.tokenizer, self.parted = Tokenizer.from_file(path), parted
         self.model = self.tokenizer.model
-        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        normalize, split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.steps = lambda text: split(normalize(text))
+        self.letters = _Letters(self.steps)
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.start, self.count = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.known = _Numbers()
+        self.flat, self.start, self.count, self.met = np.empty(1 << 16, np.uint32), *(np.empty(1 << 14, t) for t in (np.int64, np.int64, np.int32))
         self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Adds the ids of new words."""
-        halves = {w: m.groups() for w in words if not w.isalpha() and (m := _ENDS.fullmatch(w))}
-        whole = dict.fromkeys(w for w in words if w not in halves)
-        whole |= dict.fromkeys(x for pair in halves.values() for x in pair if x not in self.known)
-        ids = self._ids(list(whole))
-        self._keep(list(whole), np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32))
-        if halves:
-            at = np.array([self.known[x] for pair in halves.values() for x in pair], np.int64)
-            n = self.count[at]
-            self._keep(list(halves), n.reshape(-1, 2).sum(axis=1), self._gather(at))
-
-    def _ids(self, words: list[bytes]) -> list[list[int]]:
-        """The library's ids of each word: from its model alone where normalizing and splitting leave the word as
-        it is, else by its steps one after another, or as a whole where special tokens may stand in it."""
-        out = []
+        self._keep([self.known[" "]], np.array([1]), np.array([END]))  # a document's end
+
+    def _forget(self) -> None:
+        """Keeps the pieces met in several batches, if those are few enough."""
+        words, k = list(self.known), len(self.known)
+        stays = np.flatnonzero(self.met[:k] > 1)
+        stays = stays[stays > 0]
+        n, ids, met = self.count[stays], self._gather(stays), self.met[stays] // 2
+        self._clear()
+        if len(stays) < _CACHE // 2:
+            at = [self.known[words[i]] for i in stays.tolist()]
+            self._keep(at, n, ids)
+            self.met[at] = met
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """The library's ids of each piece: from its model alone where normalizing and splitting leave the piece
+        as it is or go letter by letter, else by its steps one after another."""
+        out, tokenize, letter = [], self.model.tokenize, self.letters.__getitem__
         for w in words:
-            if w.isalpha() and w.islower() or _MARKS.fullmatch(w):
-                pieces = (w.decode(),)
-            elif b"<|" in w:
-                out.append(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
-                continue
+            if w.isascii() and (w.isalnum() or _MARKS.fullmatch(w) and "'" not in w):
+                out.append([t.id for t in tokenize(w)])
+            elif w.isalpha() and max(w) <= "\u024f" and "\u0130" not in w:  # the capital i with a dot becomes two characters
+                out.append([t.id for t in tokenize("".join(map(letter, w)))])
             else:
-                pieces = (x for x, _ in self.split(self.normalize(w.decode("utf-8", "replace"))))
-            out.append([t.id for x in pieces for t in self.model.tokenize(x)])
+                out.append([t.id for x, _ in self.steps(w) for t in tokenize(x)])
         return out
 
-    def _keep(self, words: list[bytes], n: np.ndarray, ids: np.ndarray) -> None:
+    def _keep(self, at: list, n: np.ndarray, ids: np.ndarray) -> None:
+        """Takes the ids, one after another, of the pieces ``at``, the last that got numbers."""
+        self.known.new.clear()
         k = len(self.known)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while k + len(words) > len(self.start):
-            self.start, self.count = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.count))
+        while k > len(self.start):
+            self.start, self.count, self.met = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.count, self.met))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k : k + len(words)] = self.used + np.cumsum(n) - n
-        self.count[k : k + len(words)] = n
-        self.known.update(zip(words, range(k, k + len(words)), strict=True))
+        own = slice(k - len(at), k)
+        self.start[own] = self.used + np.cumsum(n) - n
+        self.count[own] = n
+        self.met[own] = 0
         self.used += len(ids)
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
@@ -126,28 +186,50 @@ class Encoder:
         ends = np.cumsum(n)
         return self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; several texts at a time share the cost of new words and of gathering."""
-        if not self.whole_words:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        raws = [t.encode("utf-8", "replace") for t in texts]
-        lists = [_lowered(raw) for raw in raws]
-        words = list(chain.from_iterable(lists))
-        if missing := set(words).difference(self.known):
-            if len(self.known) > _CACHE:
-                self._clear()
-                missing = set(words)
-            self._learn(list(missing))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        ends = np.concatenate(([0], np.cumsum(self.count[at])))[np.cumsum([len(x) for x in lists])]
-        return np.split(self._gather(at), ends[:-1])
-
-
-def encoder(path: str, whole_words: bool) -> Encoder:
-    return resident(("encoder", path, whole_words), lambda: Encoder(path, whole_words))
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of texts, one after another, each with the end id.
+
+        Arrow numbers the distinct pieces, so Python sees each piece of the batch once."""
+        if not self.parted:
+            return self._whole(texts.to_pylist())
+        texts = pa.concat_arrays([texts]) if texts.offset else texts
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        if ((raw == 0xCC) | (raw == 0xCD)).any() or ((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)).any():
+            plain = texts.to_pylist()
+            if odd := [i for i, t in enumerate(plain) if _odd(t)]:
+                return self._around(plain, odd)
+        found, per = _pieces(raw, offsets[1:] - offsets[0])
+        coded = found.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) + len(words) > _CACHE:
+            self._forget()
+        own = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if new := list(self.known.new):
+            ids = self._ids(new)
+            self._keep(new, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.met[own] += 1
+        at = np.insert(own[np.asarray(coded.indices)] if len(words) else np.empty(0, np.int64), np.cumsum(per), self.known[" "])
+        ends = np.cumsum(self.count[at])[np.cumsum(per + 1) - 1]
+        return self._gather(at), np.diff(ends, prepend=0)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.array([len(x) for x in each], np.int64)
+
+    def _around(self, texts: list[str], odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_all: the library takes the odd texts as they are."""
+        rest = sorted(set(range(len(texts))).difference(odd))
+        own, theirs = self.encode_all(pa.array([texts[i] for i in rest], pa.string())), self._whole([texts[i] for i in odd])
+        parts: list = [None] * len(texts)
+        for places, (ids, lengths) in ((rest, own), (odd, theirs)):
+            for i, part in zip(places, np.split(ids, np.cumsum(lengths)[:-1]), strict=True) if places else ():
+                parts[i] = part
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+
+def encoder(path: str, parted: bool) -> Encoder:
+    return resident(("encoder", path, parted), lambda: Encoder(path, parted))
 
 
 def frequencies(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,30 +250,34 @@ class Table:
     def __init__(self, ids: np.ndarray, freq: np.ndarray):
         self.ids, self.freq = ids, freq
         self.cum = np.cumsum(freq) - freq
+        self.place = np.zeros(int(ids[-1]) + 1 if len(ids) else 1, np.int64)
+        self.place[ids] = np.arange(len(ids))
         self.slot = np.repeat(np.arange(len(ids), dtype=np.uint32), freq.astype(np.int64))
         self.limit = freq << np.uint64(63 - BITS)
 
     def encode(self, ids: np.ndarray, lengths: np.ndarray) -> bytes:
         """A block of the ids of whole documents."""
-        sym = np.searchsorted(self.ids, ids)
+        sym = self.place[ids]
         steps = -(-len(ids) // LANES)
         padded = np.zeros(steps * LANES, np.int64)
         padded[: len(ids)] = sym
-        rows = padded.reshape(steps, LANES)
+        freq, cum, limit = (x[padded].reshape(steps, LANES) for x in (self.freq, self.cum, self.limit))
         live = LANES - (steps * LANES - len(ids))  # lanes in use in the last step
         x = np.full(LANES, LOW, np.uint64)
         words: list[np.ndarray] = []
         segments, size = [], []
-        bits, low32, thirty2 = np.uint64(BITS), np.uint64(0xFFFFFFFF), np.uint64(32)
         for s in range(steps - 1, -1, -1):
             k = live if s == steps - 1 else LANES
-            r = rows[s, :k]
-            f, y = self.freq[r], x[:k]
-            full = y >= self.limit[r]
-            words.append((y[full] & low32).astype(np.uint32))
-            y = np.where(full, y >> thirty2, y)
+            f, y = freq[s, :k], x[:k]
+            full = np.flatnonzero(y >= limit[s, :k])
+            moved = y[full]
+            words.append(moved.astype(np.uint32))  # the low 32 bits
+            y[full] = moved >> np.uint64(32)
             q = y // f
-            x[:k] = (q << bits) + (y - q * f) + self.cum[r]
+            y -= q * f
+            q <<= np.uint64(BITS)
+            y += q
+            y += cum[s, :k]
             if s % CHECK == 0:
                 segments.append((s, x.copy()))
         words.reverse()
@@ -232,9 +318,8 @@ class Table:
             r = self.slot[slot]
             out[s * lanes : s * lanes + k] = r
             y = self.freq[r] * (y >> bits) + slot - self.cum[r]
-            need = y < low
-            m = int(need.sum())
-            if m:
+            need = np.flatnonzero(y < low)
+            if m := len(need):
                 y[need] = (y[need] << thirty2) | words[at : at + m].astype(np.uint64)
                 at += m
             x[:k] = y
@@ -251,7 +336,7 @@ class Table:
         return lengths, np.concatenate(ids) if ids else np.empty(0, np.uint32)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, whole_words: bool = True) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, parted: bool = True) -> DataFrame:
     """Blocks of plain ids: (part, first, doc_ids, lengths, ids as u32 LE): first counts the ids before, in the part.
 
     Texts are shuffled once, by ranges of doc_id."""
@@ -263,25 +348,29 @@ def tokenized(docs: DataFrame, tokenizer: str, whole_words: bool = True) -> Data
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, held, n, first, now = encoder(tokenizer, whole_words), [], 0, 0, None
+        enc, held, docs_, sizes, n, first, now = encoder(tokenizer, parted), [], [], [], 0, 0, None
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate([x for _, x in held]).astype("<u4")
-            row = ([now], [first], [[d for d, _ in held]], [[len(x) for _, x in held]], [ids.tobytes()])
+            row = ([now], [first], [docs_], [sizes], [np.concatenate(held).astype("<u4").tobytes()])
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
 
-        for b in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
-            parts, doc_ids, texts = (c.to_pylist() for c in b.columns)
-            for k, doc_id, own in zip(parts, doc_ids, enc.encode_all([t or "" for t in texts]), strict=True):
-                if held and (k != now or n >= BLOCK):
+        for b in batches:
+            parts, doc_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, lengths = enc.encode_all(pc.fill_null(b.column(2), ""))
+            ends, cut = np.cumsum(lengths).tolist(), 0
+            for i, (k, doc_id, size) in enumerate(zip(parts, doc_ids, lengths.tolist(), strict=True)):
+                if docs_ and (k != now or n >= BLOCK):
+                    held.append(ids[cut : ends[i] - size])
+                    cut = ends[i] - size
                     yield flush()
                     first = first + n if k == now else 0
-                    held, n = [], 0
+                    held, docs_, sizes, n = [], [], [], 0
                 now = k
-                ids = np.append(own, np.uint32(END))
-                held.append((doc_id, ids))
-                n += len(ids)
-        if held:
+                docs_.append(doc_id)
+                sizes.append(size)
+                n += size
+            held.append(ids[cut:])
+        if docs_:
             yield flush()
         pa.default_memory_pool().release_unused()
 
@@ -290,11 +379,11 @@ def tokenized(docs: DataFrame, tokenizer: str, whole_words: bool = True) -> Data
     return ordered.mapInArrow(run, "part int, first long, doc_ids array<long>, lengths array<long>, ids binary")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, whole_words: bool = True) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, parted: bool = True) -> None:
     """Writes ``docs`` (doc_id, text): path/table has the shared frequencies, path/blocks the coded blocks."""
     spark = docs.sparkSession
     with batches_of(spark, _ROWS):
-        plain = staged(tokenized(docs, tokenizer, whole_words), "ids")
+        plain = staged(tokenized(docs, tokenizer, parted), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << 16, np.int64)
@@ -357,8 +446,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select("start", "doc_ids", "crc32", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, whole_words: bool = True) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, parted: bool = True) -> DataFrame:
     """Writes ``docs`` into the shared folder and reads the files back, without the ids themselves."""
     path = new_path(docs.sparkSession, "tokens")
-    write(docs, path, tokenizer, whole_words)
+    write(docs, path, tokenizer, parted)
     return read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", "ids_crc32")

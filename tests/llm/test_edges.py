@@ -75,10 +75,12 @@ def test_contamination_in_greek_capitals_and_abbreviations(spark):
 
 def test_tokens_of_capitals_with_combining_marks():
     import numpy as np
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     whole, own = Tokenizer.from_file(tokenizer_path()), token_blocks.Encoder(tokenizer_path(), True)
     marks = "\u0308 \u030a \u030c \u0331 \u0323\u0331 \u0340 \u0344 \u0301".split()
     texts = ["H\u0331asan, T\u0308A! ÉCOLE Ünder", *(f"{x}{m}an {x}{m}AN, ({x}{m}) A{x}{m}. Über" for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks)]
-    for text, got in zip(texts, own.encode_all(texts), strict=True):
-        assert np.array_equal(got, whole.encode(text, add_special_tokens=False).ids), ascii(text)
+    ids, lengths = own.encode_all(pa.array(texts))
+    for text, got in zip(texts, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+        assert np.array_equal(got[:-1], whole.encode(text, add_special_tokens=False).ids), ascii(text)
