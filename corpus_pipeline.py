@@ -14,9 +14,13 @@ from corpusweave.llm.common import new_path, unused
 from corpusweave.llm.queries import table, tokenizer_path
 
 
+ROWS = 1024  # rows that Python gets at once, so that long texts don't add up in memory
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which a language can be told, with their columns as they are; the model learns
     from all labelled documents but the held-out quarter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     learnt = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     lang, score = unused(docs, "lang_pred", "score")
     return langid.predict(docs, learnt, keep_text=True, into=(lang, score)).where(F.col(lang) != langid.UNKNOWN).drop(lang, score)
