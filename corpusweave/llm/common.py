@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 _OWN: list[str] = []
 
@@ -18,10 +19,13 @@ _OWN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests on one machine) is a temporary folder made and set.
+    Where the session has none, a temporary folder is made and set, if all runs on this machine; on a cluster
+    that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="corpusweave-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -96,8 +100,10 @@ def parallelism(spark: SparkSession) -> int:
 def key_splits(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending values of the integer column ``key`` that cut it into even ranges.
 
-    Each is a value that occurs.  One pass over that column alone; the size is ``parts``, whatever the input.
+    Each is a value that occurs; a column of another type is an error.  One pass over that column alone; the size is ``parts``, whatever the input.
     """
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be an integer column, not {df.schema[key].dataType.simpleString()}")
     if parts < 2:
         return []
     at = [i / parts for i in range(1, parts)]
@@ -131,8 +137,7 @@ def words_ascii_space(text: Column) -> Column:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of the undirected graph with the edges (a, b): component is its smallest node.
 
-    Alternates large-star and small-star steps, so a hub of any degree is spread over its neighbours'
-    rows, and each step is staged.  Self loops and nulls are left out; an empty graph gives no row.
+    Alternates large-star and small-star steps, each staged.  Self loops and nulls are left out; an empty graph gives no row.
     """
     spark = edges.sparkSession
     pairs = staged(
@@ -159,13 +164,19 @@ def _digest(pairs: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _lowest(both: DataFrame) -> DataFrame:
+    """The smallest neighbour of each node.  Staged, so that the join with it is of two shuffled tables and can
+    split the edges of a hub."""
+    return staged(both.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = _lowest(both).select("u", F.least("m", "u").alias("m"))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
-    low = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    low = _lowest(pairs)
     moved = pairs.join(low, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()

@@ -2,22 +2,26 @@
 
 Each distinct shingle set has TREES labels, sequences of minhash values.  A tree orders the labels; sets
 whose labels share a long common prefix are candidates.  A region is a group of labels with the same
-prefix; its depth starts at DEPTHS[0] values and grows only where the region is dense.  Links are confirmed on
-the full shingle sets, and linked sets form classes.
+prefix of DEPTH values; where it is dense, longer prefixes part it.  Links are confirmed on the full shingle
+sets, and linked sets form classes.
 
 Two rounds find them.  The first takes the neighbours in each tree's order and each region's smallest node,
 a number of candidates in proportion to the sets.  Regions whose members then are one class are done.  In
 the others the second round compares each member outside the region's main class with all members of other
-classes, by signatures first, in blocks.  So no partner is left out for the size of a group, and a group of
-many near copies, already one class, never has its pairs spelt out.
+classes, by signatures first.  A mixed region of over DENSE members is not compared as a whole: each member goes
+to BRANCHES longer prefixes, of its region and DEPTH more values each, and so on for LEVELS levels; what is
+dense even then (all but equal texts, in many classes) is compared in blocks.  So no partner is left out for
+the size of a group, and a group of many near copies, already one class, never has its pairs spelt out.
 
-The forest misses a pair of likeness s with probability (1 - s ** DEPTHS[0]) ** TREES, 1e-6 at 0.8.
+Of pairs of likeness s, the forest misses (1 - p) ** TREES, with p = s ** DEPTH in regions that aren't dense: 1e-6 at
+0.8.  Each dense level multiplies p by 1 - (1 - s ** DEPTH) ** BRANCHES, 0.88 at 0.8: 1e-5 where all is dense.
+A signature's estimate rules a pair out MARGIN standard errors below the threshold: 3e-7 of pairs at 0.8.
 
 Defined results: null texts, empty texts and texts without words have no shingle, are linked with nothing
 and kept; texts with fewer words than a shingle have their whole sequence as the one shingle; equal sets are
-one node from the start, whatever their number; rows with equal ids are each judged by their own text,
-and a class is named by its smallest id (null ids count only where a class has no other); extra columns are
-ignored; an empty table gives no row.
+one node from the start, whatever their number (two sets share a node only if 128 bits of their digests agree);
+rows with equal ids are each judged by their own text, and a class is named by its smallest id (null ids count
+only where a class has no other); extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -35,9 +39,10 @@ from .common import batches_of, connected_components, drop_staged, staged, unuse
 SHINGLE = 5
 PERCENT = 80
 TREES = 26
-DEPTHS = (4, 6, 8, 12)  # values of a label that name a region; the next is for regions of over DENSE sets
-FUNCTIONS = 104
+DEPTH = 4  # values of a label that name a region
+FUNCTIONS = TREES * DEPTH
 DENSE = 512
+BRANCHES, LEVELS = 4, 3
 BLOCK = 512
 KEPT = 3
 BROADCAST_IDS = 1 << 20
@@ -54,7 +59,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(1023, _BASE, np.uint64))), dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def _mix64(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(32))
@@ -83,7 +88,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
     start = np.cumsum(n) - n
     place = np.arange(len(data)) - np.repeat(start, n)
-    return _mixed(np.add.reduceat(data * _POW[place], start) + n.astype(np.uint64) * _BASE)
+    return _mix64(np.add.reduceat(data * _POW[place], start) + n.astype(np.uint64) * _BASE)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -95,8 +100,8 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     k = min(width, len(w))
     out = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
-        out = _mixed(out * _BASE + h[i : len(h) - k + 1 + i])
-    return np.unique(_mixed(out + np.uint64(min(len(w), width))))
+        out = _mix64(out * _BASE + h[i : len(h) - k + 1 + i])
+    return np.unique(_mix64(out + np.uint64(min(len(w), width))))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -110,105 +115,184 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def node_of(hashes: np.ndarray) -> int | None:
-    """A 64-bit name of a shingle set; None for the empty one."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True) if len(hashes) else None
+def names_of(hashes: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """Two 64-bit names of a shingle set; None for the empty one."""
+    if not len(hashes):
+        return None, None
+    raw = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-_SKETCH = "doc_id {id}, key long, n_shingles long, node long, sig binary"
+_SKETCH = "doc_id {id}, key long, n_shingles long, node long, other long, sig binary"
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, n_shingles, node, sig): key is a hash of the text, node a 64-bit name of the set, null for an empty one."""
+def _named(docs: DataFrame, width: int) -> DataFrame:
+    """_SKETCH for each row: key is a hash of the text, node and other name the set, null for an empty one."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, nodes, sigs = [], [], []
+            sizes, nodes, others, sigs = [], [], [], []
             for text in b.column(2).to_pylist():
                 h = shingle_hashes(text, width)
+                node, other = names_of(h)
                 sizes.append(len(h))
-                nodes.append(node_of(h))
+                nodes.append(node)
+                others.append(other)
                 sigs.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (sizes, nodes, others)), pa.array(sigs, pa.binary())], names)
+        pa.default_memory_pool().release_unused()
 
+    names = ["doc_id", "key", "n_shingles", "node", "other", "sig"]
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(part, _SKETCH.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
-def _labels(nodes: DataFrame) -> DataFrame:
-    """A row for each node and tree: the hashes of the label's prefixes of each depth, as d0, d1, ...
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, n_shingles, node, sig), staged; node names the set, null for an empty one.
+
+    Where two sets share their first name, the second one parts them."""
+    named = staged(_named(docs, width), "sketches")
+    per = named.where("node is not null").groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    clash = staged(per.where("lo <> hi").select("node"), "clash")
+    if not clash.isEmpty():
+        both = named.join(clash.withColumnRenamed("node", "_clash"), F.col("node") == F.col("_clash"), "left")
+        named = both.withColumn("node", F.when(F.col("_clash").isNotNull(), F.xxhash64("node", "other")).otherwise(F.col("node")))
+    return named.select("doc_id", "key", "n_shingles", "node", "sig")
+
+
+def _values(sig: np.ndarray, tree: int, n: int) -> np.ndarray:
+    """The first ``n`` values of each signature's label in a tree: its own, then those of the next trees."""
+    return sig[:, (tree * DEPTH + np.arange(n)) % FUNCTIONS].astype(np.uint64)
 
-    A label has its tree's own DEPTHS[0] functions, then those of the next trees."""
+
+def _prefix(start: np.ndarray, values: np.ndarray, tree: int) -> pa.Array:
+    """Names of the prefixes with these values; the last five bits are the tree."""
+    h = start
+    for i in range(values.shape[1]):
+        h = _mix64(h * _BASE + values[:, i])
+    return pa.array(((h & ~np.uint64(31)) | np.uint64(tree)).view(np.int64))
+
+
+def _sigs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+
+
+def _labels(nodes: DataFrame) -> DataFrame:
+    """(node, region, order) for each node and tree: the label's first DEPTH values by name, and 16 bits of each of
+    the next four, so that order sorts by the length of the common prefix."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shifts = np.array([48, 32, 16, 0], np.uint64)
         for b in batches:
-            n = b.num_rows
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(n, FUNCTIONS)
+            sig = _sigs(b.column(1))
             for tree in range(TREES):
-                values = sig[:, (tree * DEPTHS[0] + np.arange(DEPTHS[-1])) % FUNCTIONS].astype(np.uint64)
-                h, keys = np.full(n, tree + 1, np.uint64), []
-                for i in range(DEPTHS[-1]):
-                    h = _mixed(h * _BASE + values[:, i])
-                    if i + 1 in DEPTHS:
-                        keys.append(pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(n, tree, np.int32)), *keys], ["node", "n", "tree", *_KEYS])
+                values = _values(sig, tree, DEPTH + 4)
+                order = ((values[:, DEPTH:] >> np.uint64(16)) << shifts).sum(axis=1, dtype=np.uint64)
+                region = _prefix(np.full(len(sig), tree + 1, np.uint64), values[:, :DEPTH], tree)
+                yield pa.RecordBatch.from_arrays([b.column(0), region, pa.array(order.view(np.int64))], ["node", "region", "order"])
 
-    return nodes.select("node", "n", "sig").mapInArrow(part, "node long, n long, tree int, " + ", ".join(f"{k} long" for k in _KEYS))
+    return nodes.select("node", "sig").mapInArrow(part, "node long, region long, order long")
 
 
-_KEYS = [f"d{i}" for i in range(len(DEPTHS))]
+def _members(labels: DataFrame) -> DataFrame:
+    """(region, size, hub, node, order) of regions of two or more; hub is the smallest node.
 
+    Sizes are counted before the shuffle and staged, so that large regions can be split in the join."""
+    sizes = labels.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
+    return staged(labels.join(staged(sizes, "sizes"), "region"), "members")
 
-def _small_regions(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of regions of two or more, each at the depth that its density asks for, as (tree, region, order,
-    node); and for members of dense regions the smallest node there as candidate, as (tree, node, other).
 
-    Sizes come from counts that combine before the shuffle.  What is still dense at the last depth is split by
-    node, so no region that reaches one task has much more than DENSE members."""
-    rest, found, hubs = labels, [], []
-    for i, key in enumerate(_KEYS):
-        sizes = rest.groupBy(F.col(key).alias("region")).agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
-        here = rest.join(sizes, rest[key] == sizes["region"])
-        order = F.array(*_KEYS[i + 1 :]).cast("array<bigint>").alias("order")
-        found.append(here.where(F.col("size") <= DENSE).select("tree", "region", order, "node"))
-        dense = staged(here.where(F.col("size") > DENSE), "dense")
+def _small_regions(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of regions of two or more, each at the depth that its density asks for, as (region, order, node); and
+    for members of dense regions the smallest node there as candidate, as (node, other).
+
+    What is still dense at the last depth is split by node, so no region that reaches one task has much more
+    than DENSE members."""
+    here, found, hubs = members, [], []
+    for bits in (32, 64, None):
+        found.append(here.where(F.col("size") <= DENSE).select("region", "order", "node"))
+        dense = here.where(F.col("size") > DENSE)
         if dense.isEmpty():
             break
-        hubs.append(dense.where("node != hub").select("tree", "node", F.col("hub").alias("other")))
-        if i + 1 == len(_KEYS):
+        hubs.append(dense.where("node != hub").select("node", F.col("hub").alias("other")))
+        if bits is None:
             part = F.pmod("node", F.ceil(F.col("size") / DENSE))
-            found.append(dense.select("tree", F.xxhash64("region", part).alias("region"), order, "node"))
-        rest = dense.select(*labels.columns)
+            found.append(dense.select(F.xxhash64("region", part).alias("region"), "order", "node"))
+            break
+        deeper = dense.select("node", F.xxhash64("region", F.shiftrightunsigned("order", 64 - bits) if bits < 64 else F.col("order")).alias("region"), "order")
+        here = _members(staged(deeper, "deeper"))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    none = labels.select("tree", "node", F.col("node").alias("other")).limit(0)
+    none = members.select("node", F.col("node").alias("other")).limit(0)
     for h in hubs:
         none = none.unionByName(h)
     return every, none
 
 
-def _neighbours(labels: DataFrame) -> DataFrame:
+def _neighbours(members: DataFrame) -> DataFrame:
     """(a, b): for each node the KEPT candidates that it meets in most trees, of its neighbours in the
     trees' orders and the first nodes of its regions."""
-    members, hubs = _small_regions(labels)
-    w = Window.partitionBy("tree", "region").orderBy("order", "node")
-    met = members.withColumns({"before": F.lag("node").over(w), "first": F.first("node").over(w)})
-    met = met.select("tree", "node", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).where("other != node")
-    counted = met.unionByName(hubs).groupBy("node", "other").agg(F.countDistinct("tree").alias("trees"))
+    small, hubs = _small_regions(members)
+    w = Window.partitionBy("region").orderBy("order", "node")
+    met = small.withColumns({"before": F.lag("node").over(w), "first": F.first("node").over(w)})
+    met = met.select("node", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).where("other != node")
+    counted = met.unionByName(hubs).groupBy("node", "other").agg(F.count("*").alias("trees"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("trees").desc(), "other"))
     return counted.withColumn("nth", best).where(F.col("nth") <= KEPT).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _mixed_regions(labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of the first depth's regions whose members are not all one class, dealt into cells.
+def _mixed(rows: DataFrame) -> DataFrame:
+    """rows (region, node, class) of regions with several classes, and main, n_main, size: the region's largest class,
+    its members and all.  Counts are staged, so that large regions can be split in the join."""
+    per = rows.groupBy("region", "class").agg(F.count("*").alias("n_class"))
+    tops = per.groupBy("region").agg(F.max(F.struct("n_class", "class")).alias("top"), F.sum("n_class").alias("size"), F.count("*").alias("n_classes")).where("n_classes > 1")
+    tops = staged(tops.select("region", F.col("top.class").alias("main"), F.col("top.n_class").alias("n_main"), "size"), "tops")
+    return staged(rows.join(tops, "region"), "mixed")
+
+
+def _branches(dense: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """(region, node, class): each member of a dense region in BRANCHES longer prefixes."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig, region = _sigs(b.column(3)), b.column(0).to_numpy().view(np.uint64)
+            trees = (region & np.uint64(31)).astype(np.int64)
+            for branch in range(BRANCHES):
+                at = ((trees + 1 + (level * BRANCHES + branch)) % TREES)[:, None] * DEPTH + np.arange(DEPTH)
+                values = np.take_along_axis(sig, at, axis=1).astype(np.uint64)
+                h = region * _BASE + np.uint64(branch + 1)
+                for i in range(DEPTH):
+                    h = _mix64(h * _BASE + values[:, i])
+                deeper = (h & ~np.uint64(31)) | trees.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(deeper.view(np.int64)), b.column(1), b.column(2)], ["region", "node", "class"])
+
+    rows = dense.select("region", "node", "class").join(nodes.select("node", "sig"), "node")
+    return rows.select("region", "node", "class", "sig").mapInArrow(part, "region long, node long, class long")
+
+
+def _mixed_regions(members: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the regions whose members are not all one class, dealt into cells, each region at the depth that its
+    density asks for; tree is that of a region of DEPTH values, else -1, and deep has a bit for each tree in
+    which the node's region was dense.
 
     A cell has a block of members on the left and one of members outside the region's main class on the
     right; together the cells hold each pair of different classes once."""
-    key = _KEYS[0]
-    rows = labels.select("tree", F.col(key).alias("region"), "node", "n").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    per = rows.groupBy("tree", "region", "class").agg(F.count("*").alias("n_class"))
-    tops = per.groupBy("tree", "region").agg(F.max(F.struct("n_class", "class")).alias("top"), F.sum("n_class").alias("size"), F.count("*").alias("n_classes")).where("n_classes > 1")
-    at = rows.join(tops.select("tree", "region", F.col("top.class").alias("main"), F.col("top.n_class").alias("n_main"), "size"), ["tree", "region"])
+    rows = members.select("region", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    here = _mixed(rows)
+    tree = F.col("region").bitwiseAND(F.lit(31)).cast("int")
+    shallow = here.where(F.col("size") <= DENSE).withColumn("tree", tree)
+    dense = staged(here.where(F.col("size") > DENSE), "dense")
+    names = ["region", "node", "class", "main", "n_main", "size", "tree"]
+    every, level, first = shallow.select(*names), 0, dense
+    while not dense.isEmpty():
+        if level == LEVELS:
+            every = every.unionByName(dense.withColumn("tree", F.lit(-1)).select(*names))
+            break
+        here = _mixed(staged(_branches(dense, nodes, level), "branches"))
+        every = every.unionByName(here.where(F.col("size") <= DENSE).withColumn("tree", F.lit(-1)).select(*names))
+        dense, level = staged(here.where(F.col("size") > DENSE), "dense"), level + 1
+    deep = first.groupBy("node").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), tree)).alias("deep")) if level else None
+    at = every.join(staged(deep, "deep"), "node", "left").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long"))) if level else every.withColumn("deep", F.lit(0).cast("long"))
     blocks_main = F.ceil(F.col("n_main") / BLOCK).cast("int")
     blocks_rest = F.ceil((F.col("size") - F.col("n_main")) / BLOCK).cast("int")
     cell = lambda left, right, side: F.struct(F.lit(left).alias("left") if isinstance(left, int) else left.cast("int").alias("left"), right.cast("int").alias("right"), F.lit(side).alias("side"))
@@ -221,25 +305,24 @@ def _mixed_regions(labels: DataFrame, classes: DataFrame) -> DataFrame:
         F.filter(F.transform(F.sequence(own, blocks_rest - 1), lambda j: cell(-1 - own, j, 0)), lambda c: c["right"] > own),
     )
     cells = F.when(F.col("class") == F.col("main"), main).otherwise(rest)
-    return at.select("tree", "region", "node", "n", "class", F.explode(cells).alias("cell")).select("tree", "region", "node", "n", "class", "cell.*")
+    return at.select("tree", "region", "node", "deep", "class", F.explode(cells).alias("cell")).select("tree", "region", "node", "deep", "class", "cell.*")
 
 
 _CELL = ["tree", "region", "left", "right"]
 
 
-def _cross_candidates(labels: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _cross_candidates(members: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """For each cell the nodes with a partner of another class that signatures and sizes don't rule out, and at
     each right node its partners, the likeliest first.  A row for each node and cell, not for each pair."""
-    dealt = _mixed_regions(labels, classes).join(nodes.select("node", "sig"), "node")
+    dealt = _mixed_regions(members, nodes, classes).join(nodes.select("node", "n", "sig"), "node")
     s = percent / 100
     least = (s - MARGIN * (s * (1 - s) / FUNCTIONS) ** 0.5) * FUNCTIONS
-    depth = DEPTHS[0]
 
     def cell(key: tuple, table: pa.Table) -> pa.Table:
         tree, left = key[0].as_py(), key[2].as_py()
         side = table.column("side").to_numpy()
-        node, n, cls = (table.column(c).to_numpy() for c in ("node", "n", "class"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+        node, n, cls, deep = (table.column(c).to_numpy() for c in ("node", "n", "class", "deep"))
+        sig, trees = _sigs(table.column("sig")), np.arange(TREES)
         right = np.flatnonzero(side == 1)
         same_block = left < 0 and not (side == 0).any()
         lefts = right if same_block else np.flatnonzero(side == 0)
@@ -253,9 +336,9 @@ def _cross_candidates(labels: DataFrame, nodes: DataFrame, classes: DataFrame, p
             equal = sig[at] == sig[r]
             score = equal.sum(axis=1)
             keep = score >= least
-            # of the trees where the two share a region, only the first gives the pair
-            shared = equal[keep].reshape(-1, FUNCTIONS // depth, depth).all(axis=2)
-            first = shared.argmax(axis=1) == tree if len(shared) else np.zeros(0, bool)
+            # of the trees where the two share a region that isn't dense, only the first gives the pair
+            shared = equal[keep].reshape(-1, TREES, DEPTH).all(axis=2) & ((deep[r] >> trees) & 1 == 0)
+            first = shared.argmax(axis=1) == tree if tree >= 0 else np.ones(len(shared), bool)
             mine = at[keep][first][np.argsort(-score[keep][first], kind="stable")]
             if len(mine):
                 partners[r] = node[mine].tolist()
@@ -270,7 +353,7 @@ def _cross_candidates(labels: DataFrame, nodes: DataFrame, classes: DataFrame, p
 def _cross_links(candidates: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links between classes, for each right node and other class one where there is any; all partners
     are compared on full shingle sets until then."""
-    texts = staged(_texts(docs, sketched, candidates.select("node").distinct(), width), "texts")
+    texts = staged(_texts(docs, sketched, candidates.select("node").distinct()), "texts")
 
     def cell(_: tuple, table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_pylist()
@@ -309,30 +392,23 @@ def _alike(p: set, q: set, percent: int) -> bool:
     return 100 * n >= percent * (len(p) + len(q) - n)
 
 
-def _texts(docs: DataFrame, sketched: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, text) of each node in ``wanted``, from one of its documents."""
-    one = staged(sketched.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    ids = one.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:  # else both sides are shuffled
-        ids = F.broadcast(ids)
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    picked = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            names = [node_of(shingle_hashes(t, width)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(texts, pa.string())], ["_id", "_node", "text"])
-
-    named = picked.mapInArrow(part, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _node long, text string")
-    # ids may repeat; the right text is the one that makes the node
-    return named.join(one, (named["_node"] == one["node"]) & named["_id"].eqNullSafe(one["doc_id"])).select("node", "text").dropDuplicates(["node"])
+def _texts(docs: DataFrame, sketched: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of each node in ``wanted``, from one of its documents, which its id and its text's hash name."""
+    rows = sketched.join(wanted, "node", "left_semi").groupBy("node", "doc_id", "key").agg(F.count("*").alias("rows"))
+    one = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "rows")).alias("d")).select("node", F.col("d.doc_id").alias("_id"), F.col("d.key").alias("_key"), F.col("d.rows").alias("rows")), "wanted")
+    size = one.agg(F.count("*").alias("n"), F.max("rows").alias("rows")).first()
+    names = one.select("node", "_id", "_key")
+    if size["n"] <= BROADCAST_IDS:  # the size is checked; beyond it both sides are shuffled
+        names = F.broadcast(names)
+    text = docs.select("doc_id", "text").join(names, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
+    text = text.select("node", "text")
+    return text.dropDuplicates(["node"]) if (size["rows"] or 0) > 1 else text
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are alike enough, compared shingle by shingle."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = staged(_texts(docs, sketched, wanted, width), "texts")
+    texts = staged(_texts(docs, sketched, wanted), "texts")
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
@@ -358,19 +434,22 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
 
 def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    sketched = staged(sketches(docs, width), "sketches")
+    sketched = sketches(docs, width)
     nodes = staged(sketched.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
     labels = staged(_labels(nodes), "labels")
-    pairs = staged(_neighbours(labels), "pairs")
+    members = _members(labels)
+    drop_staged(labels)
+    pairs = staged(_neighbours(members), "pairs")
     links = staged(_confirmed(pairs, docs, sketched, width, percent), "links")
     classes = staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
-    more = staged(_cross_candidates(labels, nodes, classes, percent), "candidates")
+    more = staged(_cross_candidates(members, nodes, classes, percent), "candidates")
     if not more.isEmpty():
         links = links.unionByName(staged(_cross_links(more, docs, sketched, width, percent), "links"))
         classes = staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
-    drop_staged(nodes, labels, pairs, more)
+    drop_staged(nodes, members, pairs, more)
     rows = sketched.select("doc_id", "key", "n_shingles", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    first = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
+    # staged, so that the join can split a class of many documents
+    first = staged(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first")), "first")
     out = rows.join(first, "class", "left").withColumn("component_id", F.coalesce("first", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key", "class")
 

@@ -114,14 +114,23 @@ def test_components(spark, docs):
     assert {i: got[i]["n_shingles"] for i in ids} == {i: len(sets[i]) for i in ids}
 
 
-def test_dense_regions_reach_the_same_classes(spark, docs, monkeypatch):
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_dense_regions_reach_the_same_classes(spark, docs, monkeypatch, levels):
     want = {r["doc_id"]: r["component_id"] for r in collected(near_dedup.near_duplicates(docs, 2))}
     monkeypatch.setattr(near_dedup, "DENSE", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 1)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     assert {r["doc_id"]: r["component_id"] for r in collected(near_dedup.near_duplicates(docs, 2))} == want
 
 
+def test_sets_that_share_a_name_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "names_of", lambda h: (7, int(h[0] >> np.uint64(1))) if len(h) else (None, None))
+    rows = [(i, t) for i, t in enumerate(["a b c d", "e f g h", "a b  c d", "", "i j"])]
+    got = {r["doc_id"]: r["component_id"] for r in collected(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2))}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+
+
 def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
