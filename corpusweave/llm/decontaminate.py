@@ -1,9 +1,14 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-A window is 13 consecutive words of a benchmark item (an item of fewer words is one window).  A document
-that holds a window holds each of its words, so with containment 1 the prefix that has to be joined is the
-window's single rarest word, by counts over all documents.  Where that word stands in a document, the
-window can only lie at one place: bounds on position and length come first, then the words are compared.
+A window is 13 consecutive words of a benchmark item (an item of fewer words is one window).  Its words are
+ordered by rarity over all documents.  A document holds a window only if it holds every word of it, so of a set
+of n words, n - n + 1 = 1 have to be joined: the prefix is the single rarest word, the anchor.  Where that
+stands in a document, the window can only lie at one place: bounds on position and length come first, then
+the words are compared.
+
+The texts are split once for the join.  Anchors are broadcast in blocks of at most BLOCK words, so what is
+broadcast has a bound; a benchmark of more anchors takes more passes over the texts, and nothing else changes.
+No word of a document is shuffled but those at anchors, and no anchor, however common, meets in one task.
 
 Words: A-Z lower-cased, runs of ASCII letters and digits and of all characters above ASCII.  DataFrame
 functions only.
@@ -15,29 +20,31 @@ text); equal items with different ids each count; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, unused
 
 WINDOW = 13
 SHARE = 20  # a document is contaminated where SHARE times its hit words reach its words
-PLAN_ANCHORS = 20_000  # so many anchor words may stand in the plan; more are joined
+BLOCK = 100_000  # words that are broadcast at a time
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
 def words(text: Column) -> Column:
     """The words of a text, exactly."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP), lambda w: w != "")
-
+    return _split(F.translate(text, _UPPER, _LOWER))
 
-def _raw(text: Column) -> Column:
-    """The words of a text at their places, as they are written.
 
-    Anchors are looked up by ``lower`` of one such word, which is faster than ``translate`` and the same for words
-    that ``words`` makes equal.  It is never taken of more, as the small form of a Greek sigma hangs on what follows."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _GAP), lambda w: w != "")
+def _split(text: Column) -> Column:
+    """The words of a text at their places, as they are written; none for null."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(_GAPS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _GAP))
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
@@ -48,64 +55,69 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", "w", length.alias("length"), starts).select("item_id", "length", F.slice("w", F.col("at"), F.col("length")).alias("window"))
 
 
-def _one_of(column: Column, kept: list[str] | None) -> Column:
-    return column.isin(kept) if kept else F.lit(False)
+def _blocks(table: DataFrame, column: str, size: int) -> list[DataFrame]:
+    """The distinct values of ``column`` in tables of about ``size`` rows."""
+    distinct = table.select(column).distinct()
+    n = -(-distinct.count() // size)
+    if n < 2:
+        return [distinct]
+    return [distinct.where(F.pmod(F.xxhash64(column), F.lit(n)) == i) for i in range(n)]
 
 
-def _listed(table: DataFrame, column: str, limit: int) -> list[str] | None:
-    """The values, where no more than ``limit``; else None."""
-    got = [r[0] for r in table.select(column).limit(limit + 1).collect()]
-    return got if len(got) <= limit else None
+def word_counts(docs: DataFrame, vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(word, count) over all documents of the words in ``vocabulary`` (word), each lowered on its own.
 
-
-def word_counts(docs: DataFrame, vocabulary: DataFrame, limit: int = PLAN_ANCHORS) -> DataFrame:
-    """(word, count) over all documents of the words in ``vocabulary`` (word), each lowered on its own."""
+    lower makes words equal that translate makes equal, and is faster.  It is taken of one word, never of more, as
+    the small form of a Greek sigma hangs on what follows."""
     each = docs.select(F.explode(F.split(F.col("text"), _GAP)).alias("word")).select(F.lower("word").alias("word"))
-    listed = _listed(vocabulary, "word", limit)
-    each = each.where(_one_of(F.col("word"), listed)) if listed is not None else each.join(vocabulary, "word", "left_semi")
-    return each.groupBy("word").count()
+    parts = [each.join(F.broadcast(b), "word").groupBy("word").count() for b in _blocks(vocabulary, "word", block)]
+    return staged(_union(parts), "counts")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def anchors(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, length, window, anchor, before): each window with its rarest word and the words before that."""
-    order = Window.partitionBy("item_id", "window").orderBy(F.coalesce("count", F.lit(0)), "word", "before")
-    each = wins.distinct().select("item_id", "length", "window", F.posexplode("window").alias("before", "anchor")).withColumn("word", F.lower("anchor"))
-    ranked = each.join(counts, "word", "left").withColumn("nth", F.row_number().over(order))
-    return ranked.where("nth = 1").select("item_id", "length", "window", "anchor", "before", "word")
-
-
-def _places(docs: DataFrame, names: DataFrame, limit: int) -> DataFrame:
-    """docs (doc_id, key, text) with n_words and ``places`` of anchor words, each with up to 12 words on either side."""
-    listed = _listed(names, "word", limit)
-    if listed is not None:
-        raw = docs.select("doc_id", "key", "text", _raw(F.col("text")).alias("w"))
-        at = F.filter(F.transform("w", lambda w, i: F.when(_one_of(F.lower(w), listed), i)), lambda i: i.isNotNull())
-        found = raw.select("doc_id", "key", "text", F.size("w").cast("long").alias("n_words"), at.alias("at"))
-    else:
-        each = docs.select("doc_id", "key", F.posexplode(_raw(F.col("text"))).alias("i", "word")).withColumn("word", F.lower("word"))
-        hit = each.join(names, "word", "left_semi").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("i")).alias("at"))
-        hit = hit.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "at")
-        same = docs["doc_id"].eqNullSafe(hit["_id"]) & docs["key"].eqNullSafe(hit["_key"])
-        n = F.size(_raw(F.col("text"))).cast("long")
-        found = docs.join(hit, same, "left").select("doc_id", "key", "text", n.alias("n_words"), F.coalesce("at", F.array().cast("array<int>")).alias("at"))
-    exact = found.withColumn("w", F.when(F.size("at") > 0, words(F.col("text"))))
-    around = F.transform("at", lambda q: F.struct(q.alias("at"), F.least(q, F.lit(WINDOW - 1)).alias("lead"), F.slice("w", F.greatest(q - WINDOW + 2, F.lit(1)), F.least(q, F.lit(WINDOW - 1)) + WINDOW).alias("around")))
-    return exact.select("doc_id", "key", "n_words", F.when(F.size("at") > 0, around).alias("places"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = PLAN_ANCHORS) -> DataFrame:
+    """(item_id, length, window, anchor, before, word): each window with its rarest word, the number of words
+    before that, and the word as ``lower`` writes it.
+
+    Counts are joined to the distinct words of an item, so a common word is no more than a row for each item."""
+    known = F.map_from_entries(F.collect_list(F.struct("word", F.coalesce("count", F.lit(0).cast("long")).alias("count"))))
+    each = wins.select("item_id", F.explode("window").alias("w")).select("item_id", F.lower("w").alias("word")).distinct()
+    per = each.join(counts, "word", "left").groupBy("item_id").agg(known.alias("counts")).withColumnRenamed("item_id", "_item")
+    ranked = F.array_min(F.transform("window", lambda w, i: F.struct(F.element_at("counts", F.lower(w)).alias("count"), F.lower(w).alias("word"), i.alias("before"))))
+    both = wins.distinct().join(per, F.col("item_id").eqNullSafe(F.col("_item"))).select("item_id", "length", "window", ranked.alias("r"))
+    return both.select("item_id", "length", "window", F.element_at("window", F.col("r.before") + 1).alias("anchor"), F.col("r.before").alias("before"), F.col("r.word").alias("word"))
+
+
+def _places(docs: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """(doc_id, key, n_words, at, lead, around, word): places of anchor words in docs (doc_id, key, text), each with
+    up to 12 words on either side, ``lead`` of them before it."""
+    each = docs.select("doc_id", "key", _split(F.col("text")).alias("w"))
+    each = each.select("doc_id", "key", "w", F.posexplode("w").alias("at", "raw")).withColumn("word", F.lower("raw"))
+    lead = F.least(F.col("at"), F.lit(WINDOW - 1))
+    near = F.slice("w", F.col("at") - lead + 1, lead + WINDOW)
+    around = F.transform(near, lambda w: F.translate(w, _UPPER, _LOWER))
+    parts = [each.join(F.broadcast(b), "word").select("doc_id", "key", F.size("w").alias("n_words"), "at", lead.alias("lead"), around.alias("around"), "word") for b in _blocks(found, "word", block)]
+    return staged(_union(parts), "places")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, key, n_words, n_hit, item_ids, contaminated) of every row of ``docs`` (doc_id, text)."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     wins = staged(windows(benchmark), "windows")
-    vocabulary = wins.select(F.explode("window").alias("word")).select(F.lower("word").alias("word")).distinct()
-    found = staged(anchors(wins, word_counts(keyed, vocabulary, limit)), "anchors")
-    placed = staged(_places(keyed, found.select("word").distinct(), limit), "places")
-    one = placed.where("places is not null").select("doc_id", "key", "n_words", F.explode("places").alias("p")).select("doc_id", "key", "n_words", "p.*")
-    at = one.withColumn("anchor", F.element_at("around", F.col("lead") + 1))
+    vocabulary = wins.select(F.explode("window").alias("word")).select(F.lower("word").alias("word"))
+    found = staged(anchors(wins, word_counts(keyed, vocabulary, block)), "anchors")
+    at = _places(keyed, found, block)
     start = F.col("at") - F.col("before")
     fits = (F.col("before") <= F.col("lead")) & (start + F.col("length") <= F.col("n_words"))
     same = F.slice("around", F.col("lead") - F.col("before") + 1, F.col("length")) == F.col("window")
-    hits = at.join(found, "anchor").where(fits).where(same).select("doc_id", "key", "item_id", F.struct(start.alias("s"), (start + F.col("length")).alias("e")).alias("span"))
+    # both sides are staged, so that the join can split the places of a common word
+    hits = at.join(found, "word").where(fits).where(same).select("doc_id", "key", "item_id", F.struct(start.alias("s"), (start + F.col("length")).alias("e")).alias("span"))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -113,15 +125,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = PLAN_ANCHO
         lambda a: a["n"],
     )
     per = hits.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans"), F.collect_set("item_id").alias("item_ids"))
-    per = per.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), covered.alias("n_hit"), "item_ids")
-    out = placed.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    per = staged(per.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), covered.alias("n_hit"), "item_ids"), "hits")
+    sized = keyed.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    out = sized.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     none = F.array().cast(per.schema["item_ids"].dataType)
     return out.select("doc_id", "key", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, limit: int = PLAN_ANCHORS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     id_, key_ = unused(docs, "_id", "_key")
-    bad = contamination(docs, benchmark, limit).where("contaminated").select(F.col("doc_id").alias(id_), F.col("key").alias(key_)).distinct()
+    bad = contamination(docs, benchmark, block).where("contaminated").select(F.col("doc_id").alias(id_), F.col("key").alias(key_)).distinct()
     return docs.join(staged(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key_)), "left_anti")

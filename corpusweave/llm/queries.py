@@ -36,8 +36,9 @@ def op4_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["base"])
     of = lambda kind: F.filter(base, lambda x: x["kind"] == kind)
-    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return got.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    total = F.size("spans").cast("long").alias("n_spans")  # with those that the method adds
+    return got.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), total)
 
 
 def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

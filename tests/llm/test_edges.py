@@ -68,7 +68,7 @@ def test_contamination_in_greek_capitals_and_abbreviations(spark):
     texts = ["ΟΔΟΣ.ΑΘΗΝΑ", "Α.Σ. one", "ΤΙΣ'ΟΔΟΣ:Σ two", "AΣ.BΣ"]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     bench = spark.createDataFrame([*enumerate(texts[:3]), (3, "aΣ bΣ")], BENCH)
-    for limit in (decontaminate.PLAN_ANCHORS, 0):
+    for limit in (decontaminate.BLOCK, 3):
         got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench, limit).collect()}
         assert {i: (r["item_ids"], r["n_hit"] == r["n_words"]) for i, r in got.items()} == {i: ([i], True) for i in range(4)}
 

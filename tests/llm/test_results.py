@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -203,7 +204,7 @@ def test_contamination(spark, docs, sf_dir):
         for at in range(len(w) - size + 1) if w else ():
             wins[tuple(w[at : at + size])].add(item)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (decontaminate.PLAN_ANCHORS, 0):
+    for limit in (decontaminate.BLOCK, 3):
         got = {r["doc_id"]: r for r in collected(decontaminate.contamination(docs, bench, limit))}
         for r in docs.collect():
             w, hit, found = words(r["text"]), set(), set()
@@ -233,3 +234,77 @@ def test_articles_of_the_pages(spark, sf_dir):
         inner = r["html"].partition("<article>")[2].partition("</article>")[0].partition("<footer>")[0]
         want = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", inner))).split())
         assert main_text(r["html"]) == want
+
+
+def test_long_text_of_many_matches(spark):
+    n = 125_000
+    start = time.monotonic()
+    got = pii.detect(spark.createDataFrame([(1, "x@y.zz " * n)], "doc_id long, text string")).selectExpr("size(spans) AS n", "spans[0].end AS first", "spans[124999].start AS last").first()
+    assert tuple(got) == (n, 6, 7 * (n - 1)) and time.monotonic() - start < 60
+
+
+LOOSE_SPANS = {
+    "mail me: john.doe [at] example [dot] com now": [("email", "john.doe [at] example [dot] com")],
+    "from host 10[.]20[.]30[.]40 seen": [("ip", "10[.]20[.]30[.]40")],
+    "card XXXX-XXXX-XXXX-1234 paid": [("card", "XXXX-XXXX-XXXX-1234")],
+    "my card 4111.1111.1111.1111 ok": [("card", "4111.1111.1111.1111")],
+    "call (555) 123-4567 now": [("phone", "(555) 123-4567")],
+    'api_key = "a8f5f167f44f4964e6c998dee827110c" x': [("secret", "a8f5f167f44f4964e6c998dee827110c")],
+    "commit a8f5f167f44f4964e6c998dee827110c": [],
+    "hash a8f5f167f44f4964e6c998dee827110c.": [],
+    "isbn 978-3-16-148410-0": [],
+    "see the_quick_brown_fox_jumps_over_2_dogs": [],
+    "on 2024-01-02 10:11:12, 555-123-4567": [],
+    "token é😀 x@y.zz (at) home": [("email", "x@y.zz")],
+}
+
+
+def test_the_method_adds_loose_spans_of_each_kind(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = list(LOOSE_SPANS)
+    planted = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] - 10**9: r["spans"] for r in pii.detect(docs.unionByName(planted)).where("doc_id >= 1000000000").collect()}
+    for i, t in enumerate(texts):
+        assert [(s["kind"], t[s["start"] : s["end"]]) for s in got[i]] == LOOSE_SPANS[t], t
+
+
+def test_reliabilities_are_recovered():
+    rng, sure, counts = np.random.default_rng(5), (0.95, 0.9, 0.8, 0.7, 0.6), defaultdict(int)
+    truth = []
+    for _ in range(20_000):
+        kind = pii.KINDS[int(rng.integers(0, 2))]
+        y = 1 if rng.random() < (0.7 if kind == "email" else 0.3) else -1
+        votes = tuple(0 if rng.random() < 0.2 else y if rng.random() < s else -y for s in sure)
+        counts[kind, votes] += 1
+        truth.append((kind, votes, y))
+    post, found = pii.reliabilities([(*k, n) for k, n in counts.items()])
+    assert all(abs(found[j] - s) < 0.03 for j, s in zip(pii.LABELERS, sure, strict=True))
+    assert np.mean([(post[k, v] > 0.5) == (y > 0) for k, v, y in truth]) > 0.93
+
+
+def test_licenses_by_plain_search(spark):
+    rows = [(1, "MIT License, GNU GPL"), (2, "x apache license y mit license z Apache; License"), (3, None), (4, "SPDX-License-Identifier: BSD-3-Clause OR ISC\nall"), (5, "the all rights reserved")]
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) for r in licenses.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (4, 1, 0, 0, "mit", "gpl,mit", 1.0)
+    assert got[2] == (9, 3, 1, 7, "apache,mit", "apache,mit", 1.0)
+    assert got[3] == (0, 0, None, None, "", "", 0.0)
+    assert got[4][1:4] == (0, None, None) and got[4][4:] == ("", "bsd,isc", 1.0)
+    assert got[5][1] == 0 and got[5][5:] == ("proprietary", 0.7)
+
+
+def test_bundles_by_hand():
+    s, text = langid.Space(64), "Straße русский 漢字 Ελλάδα naïve "
+    code = lambda ch: s._vector(0 if ch == " " else ord(ch)).astype(int)
+    line = " "
+    for ch in (c if c.isalpha() else " " for c in text.lower()):
+        line += "" if ch == " " == line[-1] else ch
+    want = sum(np.roll(code(line[i]), 2) * np.roll(code(line[i + 1]), 1) * code(line[i + 2]) for i in range(len(line) - 2))
+    assert (want == s.bundle(s.counts(text))).all()
+
+
+def test_language_ties_and_empty_models(spark):
+    df = spark.createDataFrame([(1, "abc abc", "x"), (2, "abc abc", "w"), (3, "12", "x"), (4, "abc", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(df.select("doc_id", "text"), langid.fit(df)).collect()}
+    assert got[1] == got[2] == ("w", 1.0) and got[3] == ("und", 0.0) and got[4][0] == "w"
+    none = langid.fit(df.where("lang = 'none'"))
+    assert none == {} and {r["lang_pred"] for r in langid.predict(df.select("doc_id", "text"), none).collect()} == {"und"}

@@ -1,7 +1,11 @@
+import random
+import re
+from collections import Counter
+
 import duckdb
 
 import corpus_pipeline
-from corpusweave.llm import langid, near_dedup, queries, url_filter
+from corpusweave.llm import decontaminate, langid, mixing, near_dedup, queries, url_filter
 from corpusweave.llm.common import connected_components, key_splits, range_of
 
 PAGES = "page_id long, url string, html string"
@@ -98,3 +102,62 @@ def test_blocks_reach_aliases_by_relative_links(spark):
     ]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_links_that_are_none_and_references(spark):
+    page = "http://h.edu/de/a/5"
+    cases = [
+        ('<!-- <link rel=canonical href="/x"> -->', None),
+        ('<script>var a = \'<link rel=canonical href="/x">\'</script>', None),
+        ('<link rel=canonical data-href="/x">', None),
+        ('<!-- > --><link rel="canonical" href="/x?a=1&amp;b=2&#38;c&#x3d;3">', "http://h.edu/x?a=1&b=2&c=3"),
+        ("<link href='/\u00e9&#233;&#x1F600;' rel='canonical'>", "http://h.edu/\u00e9\u00e9\U0001f600"),
+    ]
+    for html, want in cases:
+        got = url_filter.page_links(spark.createDataFrame([(page, html)], "url string, html string")).collect()
+        assert [r["target"] for r in got] == ([want] if want else []), html
+
+
+def test_generated_pages_with_links_against_sql(spark, tmp_path):
+    rng = random.Random(4)
+    hosts, paths = ["a.example.com", "example.com", "b.example.net", "c.org", "d.edu", "e.info"], ["/en/7", "/en/5", "/de/8", "/de/1", "/es/2", "/fr/3"]
+    urls = [f"http://{h}{p}{k}" for h in hosts for p in paths for k in range(4)]
+    rows = []
+    for i, u in enumerate(urls):
+        t = rng.choice(urls)
+        kind = rng.random()
+        html = f'<link rel="canonical" href="{t}">' if kind < 0.4 else f'<meta http-equiv="refresh" content="0;url={t}">' if kind < 0.6 else "<p>x" if kind < 0.8 else None
+        rows.append((i, u, html))
+    df = spark.createDataFrame(rows, PAGES)
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(c.execute(queries.ORACLE_SQL["op6_redirect_filter"]).fetchall())
+    got = sorted(tuple(r) for r in queries.QUERIES["op6_redirect_filter"](spark, str(tmp_path)).collect())
+    assert got == want and {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, sf_dir):
+    for docs in (odd, none):
+        got, rows = docs, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, got, sf_dir)
+            assert name == "tokens" or got.columns == docs.columns
+            assert rows or got.count() == 0
+    ids = [r["doc_id"] for r in got.collect()]
+    assert ids == []
+
+
+def test_last_stages_by_brute_force(spark, docs, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    clean = corpus_pipeline.decontaminate_benchmark(spark, docs, sf_dir)
+    bad = {r["doc_id"] for r in decontaminate.contamination(docs, bench).where("contaminated").collect()}
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - bad and bad
+    mixed = corpus_pipeline.mix_sources(spark, clean, sf_dir)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_amounts(clean).collect()}
+    words = Counter()
+    for r in mixed.collect():
+        words[r["doc_id"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    assert all(words[i] == n for i, n in taken.items())
+    tokens = Counter(r["doc_id"] for r in corpus_pipeline.write_tokens(spark, mixed, sf_dir).collect())
+    assert tokens == Counter(r["doc_id"] for r in mixed.collect())
