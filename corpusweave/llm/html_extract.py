@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat text blocks at block-level tags.  Each block has its number of words and its
-link density, those of the block before and after it, its kind, and marks of the elements around it.
-A decision tree, trained on the small labelled table below, keeps or drops each block.
+link density, those of the block before and after it, its kind, and a hint of the elements around it.
+A decision tree, trained on the small labelled table below, keeps or drops each block.  It splits by words and
+link densities first; where these leave it open, as for notices and comments, the hint of the markup decides.
 
 Defined results: null or empty html and pages without kept blocks give an empty text; unclosed and
 stray end tags are tolerated; scripts, styles, templates, comments and form controls never give text;
@@ -40,63 +41,80 @@ ROLES = {"navigation": 1, "banner": 1, "contentinfo": 1, "complementary": 1, "se
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "heading", "item", "article", "clutter")
-#: The labelled table: one row for each block, its FEATURES and whether an editor counted it as main text.
+FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "heading", "item", "hint")
+TEXT = 6  # the first features: words and link densities
+TEXT_LEVELS = 2  # levels of the tree that split by these alone
+#: The labelled table: one row for each block, its FEATURES and whether an editor counted it as main text.  hint: 1
+#: in an element of the article, -1 in one of clutter, else 0.  Invented after pages of news sites, blogs and forums.
 LABELLED = (
-    (120, 0.0, 9, 0.0, 80, 0.0, 0, 0, 1, 0, 1), (80, 0.02, 120, 0.0, 60, 0.0, 0, 0, 1, 0, 1), (35, 0.1, 80, 0.0, 42, 0.0, 0, 0, 1, 0, 1),
-    (1, 0.0, 40, 0.0, 3, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 1, 0.0, 0, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 1),
-    (8, 0.0, 4, 0.0, 90, 0.0, 1, 0, 1, 0, 1), (4, 0.0, 60, 0.1, 55, 0.0, 1, 0, 1, 0, 1), (5, 1.0, 60, 0.0, 70, 0.0, 0, 0, 1, 0, 1),
-    (12, 0.2, 30, 0.0, 14, 0.1, 0, 1, 1, 0, 1), (6, 0.0, 12, 0.0, 9, 0.0, 0, 1, 1, 0, 1), (9, 1.0, 12, 1.0, 9, 1.0, 0, 1, 1, 0, 1),
-    (4000, 0.0, 7, 0.0, 12, 0.0, 0, 0, 1, 0, 1), (7, 0.0, 1, 1.0, 3000, 0.0, 1, 0, 1, 0, 1), (15, 0.0, 5, 0.0, 8, 0.0, 0, 0, 1, 0, 1),
-    (10, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1, 0, 1), (15, 0.0, 40, 0.0, 1, 1.0, 0, 0, 1, 0, 1), (18, 0.0, 3, 0.0, 0, 0.0, 0, 0, 1, 0, 1),
-    (21, 0.0, 70, 0.0, 1, 0.0, 0, 0, 1, 0, 1), (5, 0.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0, 1), (30, 0.0, 5, 1.0, 2, 1.0, 0, 0, 1, 0, 1),
-    (8, 0.5, 1, 1.0, 1, 1.0, 0, 0, 1, 0, 1), (2, 1.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0, 1), (12, 0.0, 1, 1.0, 2, 1.0, 1, 0, 1, 0, 1),
-    (60, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0, 1), (4, 0.0, 2, 1.0, 3, 0.9, 1, 0, 1, 0, 1), (7, 0.4, 0, 0.0, 3, 1.0, 0, 0, 1, 0, 1),
-    (6, 0.9, 3, 1.0, 5, 0.8, 0, 0, 1, 0, 1), (20, 0.9, 18, 0.9, 22, 0.8, 0, 1, 1, 0, 1), (3, 0.0, 2, 0.0, 1, 1.0, 0, 0, 1, 0, 1),
-    (20, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 0), (50, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 1, 0), (9, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (6, 0.0, 90, 0.0, 11, 0.0, 0, 0, 1, 1, 0), (60, 0.0, 80, 0.0, 45, 0.0, 0, 0, 1, 1, 0), (25, 0.1, 60, 0.0, 20, 0.0, 0, 0, 1, 1, 0),
-    (2, 1.0, 90, 0.0, 2, 1.0, 0, 1, 1, 1, 0), (4, 0.0, 60, 0.0, 30, 0.0, 1, 0, 1, 1, 0), (110, 0.0, 4, 0.0, 90, 0.0, 0, 0, 1, 1, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 7, 0.0, 0, 1, 0, 1, 0),
-    (7, 0.0, 1, 1.0, 8, 0.0, 0, 0, 0, 1, 0), (12, 0.0, 200, 0.0, 0, 0.0, 0, 0, 0, 1, 0), (9, 0.3, 40, 0.0, 0, 0.0, 0, 0, 0, 1, 0),
-    (45, 0.0, 90, 0.0, 50, 0.0, 0, 0, 0, 1, 0), (60, 0.0, 12, 0.0, 50, 0.0, 0, 0, 0, 1, 0), (100, 0.0, 12, 0.0, 90, 0.0, 0, 0, 0, 1, 0),
-    (30, 0.1, 20, 0.2, 20, 0.2, 0, 0, 0, 1, 0), (3, 0.0, 0, 0.0, 20, 0.0, 1, 0, 0, 1, 0), (400, 0.0, 12, 0.0, 30, 0.0, 0, 0, 0, 1, 0),
-    (90, 0.0, 10, 0.0, 85, 0.0, 0, 0, 0, 0, 1), (60, 0.05, 90, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (25, 0.1, 70, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (18, 0.0, 60, 0.0, 20, 0.0, 0, 0, 0, 0, 1), (14, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (6, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0, 0, 1),
-    (8, 0.0, 2, 1.0, 90, 0.0, 1, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 55, 0.0, 1, 0, 0, 0, 1), (11, 0.0, 70, 0.0, 12, 0.0, 0, 1, 0, 0, 1),
-    (40, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (2000, 0.0, 2, 1.0, 6, 0.0, 0, 0, 0, 0, 1), (16, 0.1, 60, 0.0, 18, 0.2, 0, 1, 0, 0, 1),
-    (16, 0.0, 20, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (25, 0.0, 18, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (40, 0.0, 30, 0.1, 1, 1.0, 0, 0, 0, 0, 1),
-    (13, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (22, 0.1, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 1), (70, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (28, 0.0, 5, 0.0, 4, 0.9, 0, 0, 0, 0, 1), (19, 0.05, 25, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (15, 0.9, 20, 0.0, 1, 1.0, 0, 0, 0, 0, 0),
-    (24, 0.7, 30, 0.1, 2, 0.9, 0, 0, 0, 0, 0), (35, 0.8, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0), (4, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (6, 0.9, 3, 1.0, 5, 0.8, 0, 0, 0, 0, 0),
-    (20, 0.9, 18, 0.9, 22, 0.8, 0, 1, 0, 0, 0), (30, 0.8, 4, 1.0, 25, 0.9, 0, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (5, 0.5, 4, 1.0, 3, 0.7, 0, 0, 0, 0, 0),
-    (2, 0.0, 1, 1.0, 3, 1.0, 1, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 0.9, 1, 0, 0, 0, 0), (7, 0.4, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
+    (120, 0.0, 9, 0.0, 80, 0.0, 0, 0, 1, 1), (80, 0.02, 120, 0.0, 60, 0.0, 0, 0, 1, 1), (35, 0.1, 80, 0.0, 42, 0.0, 0, 0, 1, 1),
+    (1, 0.0, 40, 0.0, 3, 0.0, 0, 0, 1, 1), (3, 0.0, 1, 0.0, 0, 0.0, 0, 0, 1, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1),
+    (8, 0.0, 4, 0.0, 90, 0.0, 1, 0, 1, 1), (4, 0.0, 60, 0.1, 55, 0.0, 1, 0, 1, 1), (5, 1.0, 60, 0.0, 70, 0.0, 0, 0, 1, 1),
+    (12, 0.2, 30, 0.0, 14, 0.1, 0, 1, 1, 1), (6, 0.0, 12, 0.0, 9, 0.0, 0, 1, 1, 1), (9, 1.0, 12, 1.0, 9, 1.0, 0, 1, 1, 0),
+    (4000, 0.0, 7, 0.0, 12, 0.0, 0, 0, 1, 1), (7, 0.0, 1, 1.0, 3000, 0.0, 1, 0, 1, 1), (15, 0.0, 5, 0.0, 8, 0.0, 0, 0, 1, 1),
+    (10, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1, 1), (15, 0.0, 40, 0.0, 1, 1.0, 0, 0, 1, 1), (18, 0.0, 3, 0.0, 0, 0.0, 0, 0, 1, 1),
+    (21, 0.0, 70, 0.0, 1, 0.0, 0, 0, 1, 1), (5, 0.0, 0, 0.0, 1, 1.0, 0, 0, 1, 1), (30, 0.0, 5, 1.0, 2, 1.0, 0, 0, 1, 1),
+    (8, 0.5, 1, 1.0, 1, 1.0, 0, 0, 1, 1), (2, 1.0, 1, 1.0, 1, 1.0, 0, 0, 1, 1), (12, 0.0, 1, 1.0, 2, 1.0, 1, 0, 1, 1),
+    (60, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 1), (4, 0.0, 2, 1.0, 3, 0.9, 1, 0, 1, 1), (7, 0.4, 0, 0.0, 3, 1.0, 0, 0, 1, 1),
+    (6, 0.9, 3, 1.0, 5, 0.8, 0, 0, 1, 1), (20, 0.9, 18, 0.9, 22, 0.8, 0, 1, 1, 1), (3, 0.0, 2, 0.0, 1, 1.0, 0, 0, 1, 1),
+    (20, 0.0, 1, 1.0, 1, 1.0, 0, 0, -1, 0), (50, 0.0, 3, 0.0, 0, 0.0, 0, 0, -1, 0), (9, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0),
+    (6, 0.0, 90, 0.0, 11, 0.0, 0, 0, -1, 0), (60, 0.0, 80, 0.0, 45, 0.0, 0, 0, -1, 0), (25, 0.1, 60, 0.0, 20, 0.0, 0, 0, -1, 0),
+    (2, 1.0, 90, 0.0, 2, 1.0, 0, 1, -1, 0), (4, 0.0, 60, 0.0, 30, 0.0, 1, 0, -1, 0), (110, 0.0, 4, 0.0, 90, 0.0, 0, 0, -1, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, -1, 0), (2, 1.0, 1, 1.0, 7, 0.0, 0, 1, -1, 0),
+    (7, 0.0, 1, 1.0, 8, 0.0, 0, 0, -1, 0), (12, 0.0, 200, 0.0, 0, 0.0, 0, 0, -1, 0), (9, 0.3, 40, 0.0, 0, 0.0, 0, 0, -1, 0),
+    (45, 0.0, 90, 0.0, 50, 0.0, 0, 0, -1, 0), (60, 0.0, 12, 0.0, 50, 0.0, 0, 0, -1, 0), (100, 0.0, 12, 0.0, 90, 0.0, 0, 0, -1, 0),
+    (30, 0.1, 20, 0.2, 20, 0.2, 0, 0, -1, 0), (3, 0.0, 0, 0.0, 20, 0.0, 1, 0, -1, 0), (400, 0.0, 12, 0.0, 30, 0.0, 0, 0, -1, 0),
+    (90, 0.0, 10, 0.0, 85, 0.0, 0, 0, 0, 1), (60, 0.05, 90, 0.0, 70, 0.0, 0, 0, 0, 1), (25, 0.1, 70, 0.0, 60, 0.0, 0, 0, 0, 1),
+    (18, 0.0, 60, 0.0, 20, 0.0, 0, 0, 0, 1), (14, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 1), (6, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 2, 1.0, 90, 0.0, 1, 0, 0, 1), (5, 0.0, 60, 0.0, 55, 0.0, 1, 0, 0, 1), (11, 0.0, 70, 0.0, 12, 0.0, 0, 1, 0, 1),
+    (40, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 1), (2000, 0.0, 2, 1.0, 6, 0.0, 0, 0, 0, 1), (16, 0.1, 60, 0.0, 18, 0.2, 0, 1, 0, 1),
+    (16, 0.0, 20, 0.0, 1, 1.0, 0, 0, 0, 1), (25, 0.0, 18, 0.0, 2, 1.0, 0, 0, 0, 1), (40, 0.0, 30, 0.1, 1, 1.0, 0, 0, 0, 1),
+    (13, 0.0, 35, 0.0, 3, 1.0, 0, 0, 0, 1), (22, 0.1, 2, 1.0, 1, 1.0, 0, 0, 0, 1), (70, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1),
+    (28, 0.0, 5, 0.0, 4, 0.9, 0, 0, 0, 1), (19, 0.05, 25, 0.0, 0, 0.0, 0, 0, 0, 1), (15, 0.9, 20, 0.0, 1, 1.0, 0, 0, 0, 0),
+    (24, 0.7, 30, 0.1, 2, 0.9, 0, 0, 0, 0), (35, 0.8, 40, 0.0, 30, 0.0, 0, 0, 0, 0), (4, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (6, 0.9, 3, 1.0, 5, 0.8, 0, 0, 0, 0),
+    (20, 0.9, 18, 0.9, 22, 0.8, 0, 1, 0, 0), (30, 0.8, 4, 1.0, 25, 0.9, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0),
+    (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 1, 1.0, 0, 0, 0, 0), (5, 0.5, 4, 1.0, 3, 0.7, 0, 0, 0, 0),
+    (2, 0.0, 1, 1.0, 3, 1.0, 1, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 0.9, 1, 0, 0, 0), (7, 0.4, 0, 0.0, 3, 1.0, 0, 0, 0, 0),
+    (10, 1.0, 50, 0.0, 60, 0.0, 0, 0, 1, 1), (12, 0.9, 5, 0.0, 30, 0.1, 0, 0, 1, 1), (11, 0.8, 40, 0.0, 0, 0.0, 0, 0, 1, 1), (13, 1.0, 30, 0.1, 25, 0.0, 0, 1, 1, 1),
+    (7, 1.0, 6, 1.0, 8, 1.0, 0, 1, 1, 0), (5, 1.0, 7, 1.0, 4, 1.0, 0, 1, 1, 0), (11, 0.0, 1, 1.0, 6, 0.0, 0, 0, 0, 0), (14, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0),
 )
 
 
-def train(table: np.ndarray, depth: int = 6, least: int = 1) -> tuple:
-    """A CART tree by Gini impurity: a leaf (keep,) or (feature, threshold, below, above).  Ties go to the first split."""
+def train(table: np.ndarray, depth: int = 8, text_levels: int = TEXT_LEVELS, least: int = 12) -> tuple:
+    """A CART tree by Gini impurity: a leaf (keep,) or (feature, threshold, below, above).  Ties go to the first split.
+
+    The first ``text_levels`` levels split by words and link densities into parts of ``least`` rows or more; what
+    these leave open, all features decide."""
     x, y = table[:, :-1], table[:, -1]
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0):
         return (bool(share >= 0.5),)
     best = None
-    for f in range(x.shape[1]):
+    for f in range(TEXT if text_levels else x.shape[1]):
         values = np.unique(x[:, f])
         for t in (values[:-1] + values[1:]) / 2:
             low = x[:, f] <= t
             n = low.sum()
-            if min(n, len(y) - n) < least:
+            if min(n, len(y) - n) < (least if text_levels else 1):
                 continue
             p, q = y[low].mean(), y[~low].mean()
             gini = n * p * (1 - p) + (len(y) - n) * q * (1 - q)
             if best is None or gini < best[0] - 1e-12:
                 best = (gini, f, float(t), low)
     if best is None:
-        return (bool(share >= 0.5),)
+        return train(table, depth, 0, least) if text_levels else (bool(share >= 0.5),)
     _, f, t, low = best
-    return (f, t, train(table[low], depth - 1, least), train(table[~low], depth - 1, least))
+    deeper = max(0, text_levels - 1)
+    return (f, t, train(table[low], depth - 1, deeper, least), train(table[~low], depth - 1, deeper, least))
+
+
+def written(tree: tuple, indent: str = "") -> str:
+    """The tree in words."""
+    if len(tree) == 1:
+        return f"{indent}{'keep' if tree[0] else 'drop'}\n"
+    name = FEATURES[tree[0]]
+    return f"{indent}{name} <= {tree[1]:g}:\n{written(tree[2], indent + '  ')}{indent}{name} > {tree[1]:g}:\n{written(tree[3], indent + '  ')}"
 
 
 @cache
@@ -132,13 +150,13 @@ def _mark(name: str, attrs: dict[str, str]) -> int:
 
 
 def blocks(page: str) -> list[list]:
-    """Flat text blocks in page order: [text, words, linked words, heading, item, article, clutter]."""
+    """Flat text blocks in page order: [text, words, linked words, heading, item, hint]."""
     out: list[list] = []
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements and their marks
     depth = {"a": 0, "clutter": 0, "article": 0, "silent": 0, "heading": 0, "item": 0, "p": 0}
-    state: list[int] = [0, 0, 0, 0]
+    state: list[int] = [0, 0, 0]
 
     def flush() -> None:
         if text:
@@ -186,7 +204,7 @@ def blocks(page: str) -> list[list]:
     def take(raw: str) -> None:
         if raw and not depth["silent"]:
             if not text:
-                state[:] = [min(depth["heading"], 1), min(depth["item"], 1), min(depth["article"], 1), min(depth["clutter"], 1)]
+                state[:] = [min(depth["heading"], 1), min(depth["item"], 1), -1 if depth["clutter"] else min(depth["article"], 1)]
             piece = entities.unescape(raw) if "&" in raw else raw
             text.append(piece)
             if depth["a"]:
@@ -249,7 +267,7 @@ def main_text(page: str | None, tree: tuple | None = None) -> str:
     for i, b in enumerate(found):
         before, after = found[i - 1] if i else edge, found[i + 1] if i + 1 < len(found) else edge
         density = [x[2] / x[1] if x[1] else 0.0 for x in (b, before, after)]
-        if keeps(tree, (b[1], density[0], before[1], density[1], after[1], density[2], b[3], b[4], b[5], b[6])):
+        if keeps(tree, (b[1], density[0], before[1], density[1], after[1], density[2], b[3], b[4], b[5])):
             kept.append(b[0])
     return " ".join(kept)
 

@@ -1,8 +1,9 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
 A signature is an anchor with the next CHAIN content words; a text's fingerprint is its set of
-signatures, written as sorted 40-bit hashes in hexadecimal.  Likeness is the Jaccard coefficient of two
-sets; sets whose lengths alone rule out the asked likeness are never compared.
+signatures, written as sorted 40-bit hashes in hexadecimal.  Likeness is the pruned Jaccard coefficient of two
+sets: sets are partitioned by length, only those of one or neighbouring partitions are compared, a
+comparison that can't reach the least likeness is broken off, and what lies under that is given as 0.
 
 Defined results: null and empty texts have the empty fingerprint; a text without any complete signature
 has one signature, of all its words (of the whole text where it has no word); two empty fingerprints
@@ -13,8 +14,8 @@ are ordered by text; null ids come first.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ COMMON = ANCHORS | frozenset(
 )
 CHAIN = 2
 WIDTH = 10  # hexadecimal digits of a signature
+LEAST = 0.05  # likenesses under this are given as 0
+_STEP = 64  # signatures that are compared at once
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -62,28 +65,27 @@ def split(mark: str) -> list[str]:
     return [mark[i : i + WIDTH] for i in range(0, len(mark), WIDTH)]
 
 
-def jaccard(a: list[str], b: list[str], least: float = 0.0) -> float:
-    """Jaccard coefficient of two sets; 0 without comparing where their lengths rule ``least`` out."""
-    if not a or not b:
-        return 1.0 if not a and not b else 0.0
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
-    both = len(set(a).intersection(b))
-    got = both / (len(a) + len(b) - both)
-    return got if got >= least else 0.0
-
+def length_partition(n: int, least: float) -> int:
+    """Number of the partition of sets of length ``n``, so wide that sets of likeness ``least`` lie in one or neighbours."""
+    return int(math.log(n) / -math.log(least) + 1e-9) if n else -1
 
-def length_partition(n: int, bounds: list[int]) -> int:
-    return bisect_left(bounds, n)
 
+def jaccard(a: list[str], b: list[str], least: float = LEAST) -> float:
+    """Jaccard coefficient of two sets of distinct signatures; 0 where it lies under ``least``.
 
-def length_bounds(longest: int, least: float) -> list[int]:
-    """Upper lengths of partitions so wide that sets of likeness ``least`` lie in one or in neighbours."""
-    out, n = [], 1
-    while n < longest:
-        out.append(n)
-        n = max(n + 1, int(n / least))
-    return [*out, n]
+    Sets more than a length partition apart are not compared, and a comparison ends as soon as what is left of the
+    shorter set can't reach ``least`` any more."""
+    if not a or not b:
+        return 1.0 if not a and not b else 0.0
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if length_partition(len(long), least) - length_partition(len(short), least) > 1:
+        return 0.0
+    other, both, need = set(long), 0, least * (len(a) + len(b)) / (1 + least) - 1e-9
+    for i in range(0, len(short), _STEP):
+        if both + len(short) - i < need:
+            return 0.0
+        both += len(other.intersection(short[i : i + _STEP]))
+    return both / (len(a) + len(b) - both) if both >= need else 0.0
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     need = F.col("n_signatures") - F.ceil(F.col("n_signatures") * F.lit(least) - 1e-9) + 1
     ordered = rows.join(rare, "sig").groupBy("fingerprint", "n_signatures").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("s"))
     prefix = ordered.select("fingerprint", "n_signatures", F.explode(F.slice("s", F.lit(1), need.cast("int"))).alias("p")).select(
-        "fingerprint", "n_signatures", F.col("p.sig").alias("sig"), F.floor(F.log(F.col("n_signatures").cast("double")) / F.lit(-1) / F.log(F.lit(least))).alias("size_class")
+        "fingerprint", "n_signatures", F.col("p.sig").alias("sig"), F.floor(F.log(F.col("n_signatures").cast("double")) / F.lit(-math.log(least)) + 1e-9).alias("size_class")
     )
     a = prefix.select(F.col("fingerprint").alias("mark_a"), F.col("n_signatures").alias("n_a"), "sig", F.explode(F.array(*[F.col("size_class") + k for k in (0, 1)])).alias("size_class"))
     b = prefix.select(F.col("fingerprint").alias("mark_b"), F.col("n_signatures").alias("n_b"), "sig", "size_class")

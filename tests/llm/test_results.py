@@ -4,12 +4,12 @@ import hashlib
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from corpusweave.llm import decontaminate, langid, licenses, mixing, near_dedup, pii, queries, spotsigs, token_blocks
+from corpusweave.llm import decontaminate, html_extract, langid, licenses, mixing, near_dedup, pii, queries, spotsigs, token_blocks
 from corpusweave.llm.html_extract import main_text
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -45,6 +45,17 @@ def test_mixed_corpus_has_the_words_it_says(spark, docs):
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in mixing.mix(docs).collect()) == want
 
 
+def chains(text):
+    """The signatures by a plain search from each anchor."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    out = set()
+    for i, w in enumerate(words):
+        content = [x for x in words[i + 1 :] if x not in spotsigs.COMMON][:2]
+        if w in spotsigs.ANCHORS and len(content) == 2:
+            out.add((w, *content))
+    return out or ({(" ".join(words) or text,)} if text else set())
+
+
 def test_edited_fingerprints(spark, docs, sf_dir):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     got = {r["doc_id"]: r for r in collected(spotsigs.edited_likeness(docs))}
@@ -53,13 +64,26 @@ def test_edited_fingerprints(spark, docs, sf_dir):
         new = text[: len(text) - k] + after[:k]
         assert got[doc_id]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
         assert got[doc_id]["edited_fingerprint"] == spotsigs.fingerprint(new)
-        assert got[doc_id]["near_next"] == spotsigs.jaccard(spotsigs.signatures(text), spotsigs.signatures(after))
+        assert got[doc_id]["fingerprint"] == spotsigs.fingerprint(text)
+        for name, other in (("near_edited", new), ("near_next", after)):
+            a, b = chains(text), chains(other)
+            want = 1.0 if not a | b else len(a & b) / len(a | b)
+            assert abs(got[doc_id][name] - (want if want >= spotsigs.LEAST else 0.0)) < 1e-9
+
+
+def test_pruned_jaccard_is_the_plain_one_above_its_threshold():
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        a, b = (sorted({f"{x:010x}" for x in rng.integers(0, 300, rng.integers(1, 400))}) for _ in range(2))
+        want = len({*a} & {*b}) / len({*a} | {*b})
+        for least in (0.05, 0.3, 0.8):
+            assert abs(spotsigs.jaccard(a, b, least) - (want if want >= least else 0.0)) < 1e-12
 
 
 def test_near_pairs_lose_no_pair(spark, docs):
     marks = sorted({spotsigs.fingerprint(r["text"]) for r in docs.collect()} - {""})
     sets = [spotsigs.split(m) for m in marks]
-    want = {(marks[i], marks[j]) for i in range(len(marks)) for j in range(i + 1, len(marks)) if spotsigs.jaccard(sets[i], sets[j]) >= 0.5}
+    want = {(marks[i], marks[j]) for i in range(len(marks)) for j in range(i + 1, len(marks)) if len({*sets[i]} & {*sets[j]}) >= 0.5 * len({*sets[i]} | {*sets[j]})}
     assert {(r["mark_a"], r["mark_b"]) for r in collected(spotsigs.near_pairs(docs, 0.5))} == want
 
 
@@ -227,6 +251,39 @@ def test_main_text():
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""
 
 
+def steps(tree, row):
+    out = []
+    while len(tree) > 1:
+        out.append(html_extract.FEATURES[tree[0]])
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return out
+
+
+def test_words_and_links_stand_on_each_path():
+    tree = html_extract.default_tree()
+    print(html_extract.written(tree))
+    paths = [steps(tree, r[:-1]) for r in html_extract.LABELLED]
+    assert all(set(p[:2]) & set(html_extract.FEATURES[: html_extract.TEXT]) for p in paths)
+    assert np.mean([html_extract.keeps(tree, r[:-1]) == bool(r[-1]) for r in html_extract.LABELLED]) == 1.0
+
+
+def test_pages_without_article_or_names(spark):
+    """Held-out pages whose elements say nothing: words and links of neighbours have to tell the text."""
+    lost = extra = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        page = re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", r["html"]).replace(' class="ad"', "")
+        want = Counter(main_text(r["html"]).split())
+        got = Counter(main_text(page).split())
+        lost, extra, total = lost + (want - got).total(), extra + (got - want).total(), total + want.total()
+    assert lost < 0.05 * total and extra < 0.05 * total, (lost, extra, total)
+
+
+def test_deep_unclosed_tags_take_linear_time():
+    start = time.monotonic()
+    assert main_text("<div><span>" * 30_000 + "a few words that stand here alone in a block" + "</b></i>" * 30_000) in ("", "a few words that stand here alone in a block")
+    assert time.monotonic() - start < 20
+
+
 def test_articles_of_the_pages(spark, sf_dir):
     import html
 
