@@ -6,7 +6,7 @@ A decision tree, trained on the small labelled table below, keeps or drops each
 link densities first; where these leave it open, as for notices and comments, the hint of the markup decides.
 
 Defined results: null or empty html and pages without kept blocks give an empty text; unclosed and
-stray end tags are tolerated; scripts, styles, templates, comments and form controls never give text;
+stray end tags are tolerated; past 512 open elements none is nested any more; scripts, styles, templates, comments and form controls never give text;
 a page may be of any length.  Equal rows give equal results; other columns are ignored.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,6 +39,7 @@ HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-?body|post-?content|entry\w*|content|main\w*|story\w*|body-?text|articlebody|prose)(?=$|[\s_-])", re.I)
 ROLES = {"navigation": 1, "banner": 1, "contentinfo": 1, "complementary": 1, "search": 1, "form": 1, "dialog": 1, "alert": 1, "alertdialog": 1, "menu": 1, "menubar": 1, "main": -1, "article": -1}
 
+DEEPEST = 512  # open elements; as in browsers, further ones stand beside each other
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -157,6 +159,8 @@ def blocks(page: str) -> list[list]:
     stack: list[tuple[str, int]] = []  # open elements and their marks
     depth = {"a": 0, "clutter": 0, "article": 0, "silent": 0, "heading": 0, "item": 0, "p": 0}
     state: list[int] = [0, 0, 0]
+    names: Counter[str] = Counter()  # of the open elements
+    beyond: Counter[str] = Counter()  # elements not nested any more
 
     def flush() -> None:
         if text:
@@ -167,6 +171,10 @@ def blocks(page: str) -> list[list]:
             linked.clear()
 
     def open_(name: str, mark: int) -> None:
+        if len(stack) >= DEEPEST:
+            beyond[name] += 1
+            return
+        names[name] += 1
         if mark == 3:
             mark = 0 if depth["article"] else 1
         stack.append((name, mark))
@@ -193,6 +201,7 @@ def blocks(page: str) -> list[list]:
     def close(upto: int) -> None:
         while len(stack) > upto:
             name, mark = stack.pop()
+            names[name] -= 1
             if mark == 1:
                 depth["clutter"] -= 1
             elif mark == 2:
@@ -227,12 +236,18 @@ def blocks(page: str) -> list[list]:
             continue
         if name in BLOCK:
             flush()
+        if end and beyond[name]:
+            beyond[name] -= 1
+            continue
+        if end and not names[name]:
+            continue
         if end:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if place is not None and (name in BLOCK or all(x not in BLOCK for x, _ in stack[place + 1 :])):
                 close(place)
             elif place is not None:
                 inner = stack.pop(place)
+                names[name] -= 1
                 if inner[1] == 1:
                     depth["clutter"] -= 1
                 elif inner[1] == 2:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import resident
+from .common import give_back, resident
 
 DIM = 1024
 GRAM = 3
@@ -192,7 +192,7 @@ def fit(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.n
                     sums[lang].add(s, counted)
         for lang, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(own.settle(s))], ["lang", "i", "v"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     rows = labelled.select("text", "lang").where("text is not null and lang is not null").mapInArrow(part, "lang string, i int, v long")
     got = rows.groupBy("lang", "i").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v")).collect()
@@ -224,7 +224,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                 scores.append(min(1.0, max(0.0, float(cos[best]))))
             own = [c for c, name in zip(b.columns, b.schema.names, strict=True) if keep_text or name != "text"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.mapInArrow(part, schema)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, connected_components, drop_staged, staged, unused
+from .common import batches_of, connected_components, drop_staged, give_back, staged, unused
 
 SHINGLE = 5
 PERCENT = 80
@@ -140,7 +140,7 @@ def _named(docs: DataFrame, width: int) -> DataFrame:
                 others.append(other)
                 sigs.append(signature(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (sizes, nodes, others)), pa.array(sigs, pa.binary())], names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     names = ["doc_id", "key", "n_shingles", "node", "other", "sig"]
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(part, _SKETCH.format(id=docs.schema["doc_id"].dataType.simpleString()))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, drop_staged, key_splits, new_path, parallelism, range_of, resident, staged
+from .common import batches_of, drop_staged, give_back, key_splits, new_path, parallelism, range_of, resident, staged
 
 END = 1
 BLOCK = 1 << 18  # ids after which a block ends with the document
@@ -37,8 +37,9 @@ CHECK = 128  # steps of all lanes between two checkpoints
 BITS = 18  # the frequencies of the table add up to 2 to this power
 LOW = 1 << 31
 MAGIC, HEAD = b"RANS", struct.Struct("<4sHHIIII")
-_ROWS = 1024  # texts that Python gets, and encodes, at once
-_CACHE = 3 << 17  # pieces whose ids a worker keeps; beyond, those met in one batch only go
+_ROWS = 512  # texts that Python gets at once
+_BYTES = 1 << 21  # texts are encoded together up to this size
+_CACHE = 1 << 18  # pieces whose ids a worker keeps; beyond, those met in one batch only go
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
 
 
@@ -89,7 +90,7 @@ def _pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.StringArray, np.ndarr
     starts = np.flatnonzero(cut).astype(np.int32)
     offsets = np.append(starts, np.int32(len(data)))
     found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
-    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(kept)))[ends]
+    upto = np.where(ends > 0, np.cumsum(kept, dtype=np.int32)[ends - 1], 0) if len(raw) else np.zeros(len(ends), np.int32)
     return found, np.diff(np.searchsorted(starts, upto), prepend=0)
 
 
@@ -336,6 +337,17 @@ class Table:
         return lengths, np.concatenate(ids) if ids else np.empty(0, np.uint32)
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with texts of about _BYTES, or one that is longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + _BYTES, "right")))
+        yield b.slice(at, upto - at)
+        at = upto
+
+
 def tokenized(docs: DataFrame, tokenizer: str, parted: bool = True) -> DataFrame:
     """Blocks of plain ids: (part, first, doc_ids, lengths, ids as u32 LE): first counts the ids before, in the part.
 
@@ -354,7 +366,7 @@ def tokenized(docs: DataFrame, tokenizer: str, parted: bool = True) -> DataFrame
             row = ([now], [first], [docs_], [sizes], [np.concatenate(held).astype("<u4").tobytes()])
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
 
-        for b in batches:
+        for b in (part for b in batches for part in _slices(b)):
             parts, doc_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             ids, lengths = enc.encode_all(pc.fill_null(b.column(2), ""))
             ends, cut = np.cumsum(lengths).tolist(), 0
@@ -372,7 +384,7 @@ def tokenized(docs: DataFrame, tokenizer: str, parted: bool = True) -> DataFrame
             held.append(ids[cut:])
         if docs_:
             yield flush()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     names = ["part", "first", "doc_ids", "lengths", "ids"]
     types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
