@@ -41,14 +41,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corpusweave/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not the stages before the table.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

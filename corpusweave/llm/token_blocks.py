@@ -38,8 +38,10 @@ BITS = 18  # the frequencies of the table add up to 2 to this power
 LOW = 1 << 31
 MAGIC, HEAD = b"RANS", struct.Struct("<4sHHIIII")
 _ROWS = 512  # texts that Python gets at once
-_BYTES = 1 << 21  # texts are encoded together up to this size
-_CACHE = 1 << 18  # pieces whose ids a worker keeps; beyond, those met in one batch only go
+_BYTES = 1 << 20  # texts are encoded together up to this size
+_CACHE = 3 << 16  # pieces whose ids a worker keeps; beyond, those met in one batch only go
+_PAGES = {"parquet.page.size.row.check.min": "1"}  # rows are large: a page, and the buffers that code it, hold one or few
+_BLOCKS = 8  # rows of ids or blocks that Python gets at once
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
 
 
@@ -395,7 +397,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, parted: bool = True) -> No
     """Writes ``docs`` (doc_id, text): path/table has the shared frequencies, path/blocks the coded blocks."""
     spark = docs.sparkSession
     with batches_of(spark, _ROWS):
-        plain = staged(tokenized(docs, tokenizer, parted), "ids")
+        plain = staged(tokenized(docs, tokenizer, parted), "ids", _PAGES)
+    with batches_of(spark, _BLOCKS):
+        _write(plain, path)
+    drop_staged(plain)
+
+
+def _write(plain: DataFrame, path: str) -> None:
+    spark = plain.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << 16, np.int64)
@@ -427,8 +436,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, parted: bool = True) -> No
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start[part] + first], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([zlib.crc32(block)], pa.int64()), pa.array([block], pa.binary())], ["part", "start", "doc_ids", "crc32", "block"])
 
     coded = plain.select("part", "first", "doc_ids", "lengths", "ids").mapInArrow(code, "part int, start long, doc_ids array<long>, crc32 long, block binary")
-    coded.write.option("compression", "none").parquet(f"{path}/blocks")
-    drop_staged(plain)
+    coded.write.options(**_PAGES, compression="none").parquet(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -436,7 +444,7 @@ def read_table(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in rows], np.uint32), np.array([r[1] for r in rows], np.uint64)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files of ``write``; ids as u32 LE."""
     table_args = read_table(spark, path)
 
@@ -450,16 +458,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 little, ends = ids.astype("<u4"), np.cumsum(lengths, dtype=np.int64)
                 each = [little[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(x) for x in each], pa.int64()), pa.array(each, pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+                    [pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(x) for x in each], pa.int64()), *([pa.array(each, pa.binary())] if with_ids else [])],
+                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 5 if with_ids else 4],
                 )
 
     blocks = spark.read.schema("part int, start long, doc_ids array<long>, crc32 long, block binary").parquet(f"{path}/blocks")
-    return blocks.select("start", "doc_ids", "crc32", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return blocks.select("start", "doc_ids", "crc32", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, parted: bool = True) -> DataFrame:
     """Writes ``docs`` into the shared folder and reads the files back, without the ids themselves."""
     path = new_path(docs.sparkSession, "tokens")
     write(docs, path, tokenizer, parted)
-    return read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(docs.sparkSession, path, with_ids=False)
