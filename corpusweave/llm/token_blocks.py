@@ -39,7 +39,7 @@ LOW = 1 << 31
 MAGIC, HEAD = b"RANS", struct.Struct("<4sHHIIII")
 _ROWS = 512  # texts that Python gets at once
 _BYTES = 1 << 20  # texts are encoded together up to this size
-_CACHE = 3 << 16  # pieces whose ids a worker keeps; beyond, those met in one batch only go
+_CACHE = 5 << 16  # pieces whose ids a worker keeps; beyond, those met in one batch only go
 _PAGES = {"parquet.page.size.row.check.min": "1"}  # rows are large: a page, and the buffers that code it, hold one or few
 _BLOCKS = 8  # rows of ids or blocks that Python gets at once
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
