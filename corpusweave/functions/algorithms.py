@@ -195,7 +195,7 @@ def corruptions(docs: DataFrame) -> DataFrame:
         t = text or ""
         return [(doc_id, name, len(detected(t, f(t)))) for name, f in (("clean", lambda x: x), *_MUTATIONS)]
 
-    return flat_map(docs.where("n_chars between 1 and 2000"), ["doc_id", "text"], "doc_id long, mutation string, n_checks long", rows)
+    return flat_map(docs, ["doc_id", "text"], "doc_id long, mutation string, n_checks long", rows)
 
 
 def heaviest_chain(values: list[float], weights: list[int]) -> int:
@@ -348,45 +348,60 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     return flat_map(pages, ["page_id", "html"], "page_id long, pos long, kind string, text string", rows)
 
 
-def greedy_cover(events: DataFrame, cap: int = 12, pool: int = 10_000) -> DataFrame:
-    """Users that together cover the tags, the one with most uncovered tags first; a planner over a small pool,
-    whose size is checked."""
-    spark = events.sparkSession
-    tags = F.concat("event_type", F.lit("-"), (F.col("event_id") % 13).cast("string"))
-    sets = events.where("value > 80").groupBy("user_id").agg(F.sort_array(F.collect_set(tags)).alias("tags"))
-    rows = sets.orderBy("user_id").limit(pool + 1).collect()
-    if len(rows) > pool:
-        raise ValueError(f"the pool has more than {pool} members")
-    left, free, picked = {t for r in rows for t in r["tags"]}, {r["user_id"]: set(r["tags"]) for r in rows}, []
-    while left and free and len(picked) < cap:
-        best = max(free, key=lambda u: (len(free[u] & left), -u))
-        if not (gain := len(free.pop(best) & left)):
+def greedy_cover(events: DataFrame, cap: int = 12, floor: int = 2) -> DataFrame:
+    """At most ``cap`` users whose tags cover as many tags as they can: ``floor`` users with the most tags, then
+    the user with most uncovered tags until all are covered, then the users with the rarest tags (the sum over a
+    user's tags of one over its count).  Ties go to the smaller user.
+
+    Each pick is a top-1 aggregation over all users; only the tags, which are few, come to the driver."""
+    tag = F.concat("event_type", F.lit("-"), (F.col("event_id") % 13).cast("string"))
+    pairs = events.where("value > 80").select("user_id", tag.alias("tag")).distinct().persist()
+    left, picked = {r["tag"] for r in pairs.select("tag").distinct().collect()}, []
+    free = lambda: pairs.where(~F.col("user_id").isin([p[1] for p in picked])) if picked else pairs
+
+    def take(best: list, step: str) -> None:
+        for r in best:
+            own = {x["tag"] for x in pairs.where(F.col("user_id") == r["user_id"]).select("tag").collect()}
+            picked.append((len(picked) + 1, r["user_id"], step, len(own & left)))
+            left.difference_update(own)
+
+    order = [F.desc("n"), "user_id"]
+    take(free().groupBy("user_id").agg(F.count("*").alias("n")).orderBy(*order).limit(min(floor, cap)).collect(), "floor")
+    while left and len(picked) < cap:
+        best = free().where(F.col("tag").isin(sorted(left))).groupBy("user_id").agg(F.count("*").alias("n")).orderBy(*order).limit(1).collect()
+        if not best:
             break
-        picked.append((len(picked) + 1, best, gain))
-        left -= {t for r in rows if r["user_id"] == best for t in r["tags"]}
-    return spark.createDataFrame(picked, "pos long, user_id long, gain long")
+        take(best, "cover")
+    if len(picked) < cap:
+        rare = pairs.groupBy("tag").agg((1 / F.count("*")).alias("r"))
+        score = free().join(rare, "tag").groupBy("user_id").agg(F.round(F.sum("r"), 9).alias("n"))
+        take(score.orderBy(*order).limit(cap - len(picked)).collect(), "rarity")
+    pairs.unpersist()
+    return events.sparkSession.createDataFrame(picked, "pos long, user_id long, step string, gain long")
 
 
-def expand_fixpoint(docs: DataFrame, rounds: int = 8) -> DataFrame:
-    """Expands doubled decoration marks until nothing changes: (doc_id, rounds, n_chars)."""
+def expand_fixpoint(docs: DataFrame) -> DataFrame:
+    """Expands doubled decoration marks until nothing changes, which it must, as each round shortens the text: (doc_id, rounds, n_chars)."""
     rule = re.compile(r"([*#$%&!])\1")
 
     def rows(doc_id, text):
         t, n = text or "", 0
-        while n < rounds and (new := rule.sub(r"\1", t)) != t:
+        while (new := rule.sub(r"\1", t)) != t:
             t, n = new, n + 1
         return [(doc_id, n, len(t))]
 
     return flat_map(docs, ["doc_id", "text"], "doc_id long, rounds long, n_chars long", rows)
 
 
-def reachable_files(files: DataFrame, roots: DataFrame, rounds: int = 32) -> DataFrame:
+def reachable_files(files: DataFrame, roots: DataFrame) -> DataFrame:
     """(file, depth): files that an include graph reaches from its roots; cycles end, as each file counts once.
 
     The fixture's graph: a region's root file includes the nations with its number, and each nation the next."""
     edges = files.selectExpr("concat('r', n_regionkey) AS a", "concat('n', n_nationkey) AS b").unionByName(files.where("n_nationkey % 3 = 0").selectExpr("concat('n', n_nationkey) AS a", "concat('n', n_nationkey + 1) AS b"))
     found = front = roots.where("r_regionkey < 2").selectExpr("concat('r', r_regionkey) AS file", "0 AS depth")
-    for depth in range(1, rounds):
+    depth = 0
+    while True:
+        depth += 1
         front = front.join(edges, front["file"] == edges["a"]).select(F.col("b").alias("file")).distinct().join(found.select("file"), "file", "left_anti").withColumn("depth", F.lit(depth))
         if front.isEmpty():
             break

@@ -87,7 +87,7 @@ STATEMENTS = {
         SELECT (SELECT count(*) FROM pool) AS pool, (SELECT count(*) FROM (SELECT * FROM pool EXCEPT SELECT * FROM man) AS a) AS unlisted, (SELECT count(*) FROM (SELECT * FROM man EXCEPT SELECT * FROM pool) AS b) AS unbacked"""
     ),
     "agg_window_balance": S(
-        """WITH w AS (SELECT CAST(n_nationkey * 400 AS BIGINT) AS t0, n_nationkey AS k FROM nation) SELECT w.k, count(*) AS calls, CAST(floor(percentile(e.value, 5e-1)) AS BIGINT) AS median, max(e.value) AS top, count(*) FILTER (WHERE e.value > 50) AS hits, count(*) = 400 AS balanced FROM w JOIN events e ON e.event_id >= w.t0 AND e.event_id < w.t0 + 400 GROUP BY w.k"""
+        """WITH e AS (SELECT CAST(floor(event_id / 4e2) AS BIGINT) AS k, value FROM events) SELECT e.k, count(*) AS calls, CAST(floor(percentile(e.value, 5e-1)) AS BIGINT) AS median, max(e.value) AS top, count(*) FILTER (WHERE e.value > 50) AS hits, count(*) = 400 AS balanced FROM e GROUP BY e.k"""
     ),
     "agg_recent_window": S("""SELECT count(*) FILTER (WHERE event_type = 'view') AS n200, count(*) FILTER (WHERE event_type = 'error') AS n429, round(coalesce(sum(value), 0) / 600e0, 6) AS per_second FROM events WHERE ts > TIMESTAMP '2024-01-30 12:00:00' AND ts <= TIMESTAMP '2024-01-30 18:00:00'"""),
     "agg_status_mix": S("""SELECT s, count(*) AS n FROM (SELECT idc, stage, max_by(status, seq) AS s FROM cells GROUP BY idc, stage) AS x GROUP BY s"""),

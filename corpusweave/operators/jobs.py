@@ -27,23 +27,27 @@ STATEMENTS = {
     "imp_conservative_order": S(
         """SELECT idc, stage, CASE WHEN stage = 'purchase' THEN max_by(status, CASE WHEN status = 'ok' THEN 1000000 ELSE 0 END + seq) ELSE max_by(status, CASE WHEN status = 'ok' THEN 0 ELSE 1000000 END + seq) END AS last_status FROM cells GROUP BY idc, stage"""
     ),
-    "imp_known_filter": S("""SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id < 5000 AND sha2(k.event_type || CAST(k.value AS STRING), 256) = sha2(e.event_type || CAST(e.value AS STRING), 256)) AND event_id >= 5000"""),
+    "imp_known_filter": S("""SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id < (SELECT max(event_id) / 2e0 FROM events) AND sha2(k.event_type || CAST(k.value AS STRING), 256) = sha2(e.event_type || CAST(e.value AS STRING), 256)) AND event_id >= (SELECT max(event_id) / 2e0 FROM events)"""),
     "imp_redact": S(
         """SELECT doc_id, regexp_replace(regexp_replace(text, '[0-9A-Za-z._]+@[0-9A-Za-z.]+', '<mail>'), 'token = "[0-9a-fA-F]+"', 'token = "<secret>"') AS body FROM documents""",
         """SELECT doc_id, regexp_replace(regexp_replace(text, '[0-9A-Za-z._]+@[0-9A-Za-z.]+', '<mail>', 'g'), 'token = "[0-9a-fA-F]+"', 'token = "<secret>"', 'g') AS body FROM documents""",
     ),
     "imp_status_map": S("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'quarantine' END AS status FROM orders"""),
-    "cas_gc_candidates": S("""SELECT sha, first_id FROM (SELECT sha2(text, 256) AS sha, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1) AS x WHERE n = 1 AND first_id < 500"""),
+    "cas_gc_candidates": S("""SELECT sha, first_id FROM (SELECT sha2(text, 256) AS sha, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1) AS x WHERE n = 1 AND first_id < (SELECT max(doc_id) / 2e0 FROM documents)"""),
     "never_passed_clusters": S(
         """WITH t AS (SELECT idc, stage, max(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS done, max_by(status, seq) AS last_status FROM cells WHERE value > 15 GROUP BY idc, stage) SELECT stage, last_status, count(*) AS n FROM t WHERE done = 0 GROUP BY stage, last_status"""
     ),
     "verb_rundiff": S(
-        """WITH a AS (SELECT idc, stage, max_by(status, seq) AS s FROM cells WHERE run = 'r0' GROUP BY idc, stage), b AS (SELECT idc, stage, max_by(status, seq) AS s FROM cells WHERE run = 'r1' GROUP BY idc, stage)
-        SELECT coalesce(a.stage, b.stage) AS stage, count(*) FILTER (WHERE a.s = b.s) AS same, count(*) FILTER (WHERE a.s <> b.s) AS changed, count(*) FILTER (WHERE a.s IS NULL) AS added, count(*) FILTER (WHERE b.s IS NULL) AS gone FROM a FULL OUTER JOIN b ON a.idc = b.idc AND a.stage = b.stage GROUP BY 1"""
+        # each run against the next
+        """WITH s AS (SELECT run_seq, idc, stage, max_by(status, seq) AS s FROM cells GROUP BY run_seq, idc, stage),
+        a AS (SELECT run_seq AS pair, idc, stage, s FROM s WHERE run_seq < (SELECT max(run_seq) FROM s)), b AS (SELECT run_seq - 1 AS pair, idc, stage, s FROM s WHERE run_seq > (SELECT min(run_seq) FROM s))
+        SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.stage, b.stage) AS stage, count(*) FILTER (WHERE a.s = b.s) AS same, count(*) FILTER (WHERE a.s <> b.s) AS changed, count(*) FILTER (WHERE a.s IS NULL) AS added, count(*) FILTER (WHERE b.s IS NULL) AS gone FROM a FULL OUTER JOIN b ON a.pair = b.pair AND a.idc = b.idc AND a.stage = b.stage GROUP BY 1, 2"""
     ),
     "verb_triage": S("""SELECT run, stage, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS ok, count(DISTINCT CASE WHEN status IN ('fail', 'lost') THEN idc END) AS bad_ids FROM cells GROUP BY run, stage"""),
     "verb_booster_report": S("""SELECT source, count(*) AS n, round(avg(CAST(l.quality AS DOUBLE)), 6) AS quality, count(*) FILTER (WHERE l.toxic = 1) AS toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY source"""),
-    "verb_dossier": S("""SELECT run, stage, status, seq, value FROM cells WHERE idc = 7"""),
+    "verb_dossier": S(
+        """SELECT idc, run, stage, count(*) AS attempts, max_by(status, seq) AS last_status, coalesce(min(seq) FILTER (WHERE status IN ('fail', 'lost')), -1) AS first_bad, round(sum(value), 2) AS value FROM cells GROUP BY idc, run, stage"""
+    ),
     "st_sealed_check": S("""SELECT run, max(seq) AS watermark, count(*) AS n, max(seq) >= 9990 AS covered FROM cells GROUP BY run"""),
 }
 
@@ -87,7 +91,7 @@ def scan_bib_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_docx_epub_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where("n_chars < 2000").selectExpr("doc_id", "text")
+    d = read(spark, sf_dir, "documents").selectExpr("doc_id", "text")
     return files.zipped_units(files.as_docx(d))
 
 

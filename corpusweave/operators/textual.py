@@ -42,8 +42,8 @@ SCALARS = {
     "fn_member_parse": S("""SELECT page_id, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1) AS lang, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2) AS num, regexp_extract(url, '[0-9]+[.]([a-z]+)', 1) AS ext FROM pages"""),
     "fn_escape_component": S("""SELECT page_id, replace(replace(replace(url, '%', '%25'), '/', '%2F'), ':', '%3A') AS escaped FROM pages"""),
     "fn_strip_comments": S(
-        """SELECT doc_id, regexp_replace(text, '%[^\\n]*', '') AS body FROM documents WHERE n_chars < 2000""",
-        """SELECT doc_id, regexp_replace(text, '%[^\\n]*', '', 'g') AS body FROM documents WHERE n_chars < 2000""",
+        """SELECT doc_id, regexp_replace(text, '(^|[^\\\\\\\\])%[^\\n]*', '$1') AS body FROM documents""",
+        """SELECT doc_id, regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g') AS body FROM documents""",
     ),
     "fn_detex_words": S(
         """SELECT doc_id, CAST(size(regexp_extract_all(text, '([A-Za-z]+)', 1)) AS BIGINT) AS words FROM documents""",
@@ -106,11 +106,11 @@ TEXTS = {
         """WITH v AS (SELECT lower(p_name) AS k, p_brand AS t, count(*) AS n FROM part GROUP BY 1, 2) SELECT k, t, n FROM (SELECT k, t, n, row_number() OVER (PARTITION BY k ORDER BY n DESC, t) AS r FROM v) AS x WHERE r = 1"""
     ),
     "txt_usage_index": S(
-        """SELECT l_partkey, array_join(array_sort(collect_list(lpad(CAST(l_orderkey AS STRING), 8, '0') || '.' || CAST(l_linenumber AS STRING))), ' ') AS sites FROM lineitem WHERE l_partkey < 500 GROUP BY l_partkey""",
-        """SELECT l_partkey, array_to_string(list_sort(list(lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '.' || CAST(l_linenumber AS VARCHAR))), ' ') AS sites FROM lineitem WHERE l_partkey < 500 GROUP BY l_partkey""",
+        """SELECT l_partkey, array_join(array_sort(collect_list(lpad(CAST(l_orderkey AS STRING), 8, '0') || '.' || CAST(l_linenumber AS STRING))), ' ') AS sites FROM lineitem GROUP BY l_partkey""",
+        """SELECT l_partkey, array_to_string(list_sort(list(lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '.' || CAST(l_linenumber AS VARCHAR))), ' ') AS sites FROM lineitem GROUP BY l_partkey""",
     ),
     "txt_src_cut": S(
-        """WITH g AS (SELECT idc, seq, seq - 150 * row_number() OVER (PARTITION BY idc ORDER BY seq) AS island FROM cells WHERE idc < 30), i AS (SELECT idc, island, min(seq) AS s, max(seq) AS e, count(*) AS n FROM g GROUP BY idc, island) SELECT idc, s, e, n FROM i"""
+        """WITH g AS (SELECT idc, seq, seq - 150 * row_number() OVER (PARTITION BY idc ORDER BY seq) AS island FROM cells), i AS (SELECT idc, island, min(seq) AS s, max(seq) AS e, count(*) AS n FROM g GROUP BY idc, island) SELECT idc, s, e, n FROM i"""
     ),
     # word boxes on a page: overlaps by tier
     "txt_layout_findings": S(

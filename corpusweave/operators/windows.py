@@ -17,7 +17,12 @@ WINDOWS = {
     ),
     "win_keep_last_n": S("""SELECT idc, seq FROM (SELECT idc, seq, row_number() OVER (PARTITION BY idc ORDER BY seq DESC) AS n FROM cells) AS x WHERE n <= 20"""),
     "win_round_robin": S(
-        """WITH r AS (SELECT o_orderkey, month(o_orderdate) AS m, row_number() OVER (PARTITION BY month(o_orderdate) ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderkey < 2000) SELECT o_orderkey, CAST(row_number() OVER (ORDER BY rn, m) AS BIGINT) AS pos FROM r"""
+        # a row's place follows from the sizes of the twelve groups, so the whole order is never sorted in one task
+        """WITH r AS (SELECT o_orderkey, month(o_orderdate) AS m, row_number() OVER (PARTITION BY month(o_orderdate) ORDER BY o_orderkey) AS rn FROM orders),
+        g AS (SELECT collect_list(struct(m, n)) AS sizes FROM (SELECT month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1) AS x),
+        j AS (SELECT o_orderkey, m, rn, (SELECT sizes FROM g) AS sizes FROM r)
+        SELECT o_orderkey, CAST(aggregate(sizes, 0L, (a, x) -> a + least(x.n, rn - 1) + CASE WHEN x.m <= m AND x.n >= rn THEN 1 ELSE 0 END) AS BIGINT) AS pos FROM j""",
+        """WITH r AS (SELECT o_orderkey, month(o_orderdate) AS m, row_number() OVER (PARTITION BY month(o_orderdate) ORDER BY o_orderkey) AS rn FROM orders) SELECT o_orderkey, CAST(row_number() OVER (ORDER BY rn, m) AS BIGINT) AS pos FROM r""",
     ),
     "win_pps_systematic": S(
         """WITH m AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS band, CAST(month(o_orderdate) AS BIGINT) AS m, count(*) AS n FROM orders GROUP BY 1, 2), c AS (SELECT band, m, n, sum(n) OVER (PARTITION BY band ORDER BY m) AS hi, sum(n) OVER (PARTITION BY band) AS t FROM m),
@@ -29,7 +34,7 @@ WINDOWS = {
         """WITH e AS (SELECT event_id, epoch_us(ts) AS us FROM events), w AS (SELECT event_id, us, min(us) OVER (ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS u0, count(*) OVER (ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS n FROM e)
         SELECT event_id, round((n - 1) / ((us - u0) / 1e6), 6) AS rate FROM w WHERE n >= 2 AND us - u0 >= 120000000""",
     ),
-    "win_seq_gap": S("""SELECT idc, seq, prev FROM (SELECT idc, seq, lag(seq) OVER (PARTITION BY idc ORDER BY seq) AS prev FROM cells WHERE idc < 40) AS x WHERE prev IS NOT NULL AND seq > prev + 300"""),
+    "win_seq_gap": S("""SELECT idc, seq, prev FROM (SELECT idc, seq, lag(seq) OVER (PARTITION BY idc ORDER BY seq) AS prev FROM cells) AS x WHERE prev IS NOT NULL AND seq > prev + 300"""),
     "win_tiling_check": S(
         """WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS n, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, l_partkey FROM lineitem), t AS (SELECT l_orderkey, a, a + n AS b, lag(a + n) OVER (PARTITION BY l_orderkey ORDER BY a, l_partkey) AS prev FROM s)
         SELECT l_orderkey, min(a) = 0 AS starts, max(CASE WHEN prev IS NOT NULL AND prev <> a THEN 1 ELSE 0 END) = 0 AS contiguous, max(b) AS total FROM t GROUP BY l_orderkey"""

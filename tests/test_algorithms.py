@@ -82,3 +82,27 @@ def test_typos_of_all_words_are_matched(spark):
     src, tgt = " ".join(map(word, range(150))), " ".join(word(i) + "xy" for i in range(150))
     got = al.typo_matching(spark.createDataFrame([(1, 0, src, tgt)], "conv_id long, turn long, src string, tgt string")).collect()
     assert [tuple(r) for r in got] == [(1, 0, 150, 150, 150)]
+
+
+def test_cover_takes_floors_then_gains_then_rare_tags(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tags = {}
+    for r in events.where("value > 80").select("user_id", "event_type", "event_id").collect():
+        tags.setdefault(r["user_id"], set()).add(f"{r['event_type']}-{r['event_id'] % 13}")
+    n = {}
+    for own in tags.values():
+        for t in own:
+            n[t] = n.get(t, 0) + 1
+    left, want, free = set(n), [], dict(tags)
+    for step in ["floor"] * 2 + ["cover"] * 10:
+        if not left:
+            break
+        gain = (lambda u: len(free[u])) if step == "floor" else (lambda u: len(free[u] & left))
+        best = min(free, key=lambda u: (-gain(u), u))
+        own = free.pop(best)
+        want.append((best, step, len(own & left)))
+        left -= own
+    for u in sorted(free, key=lambda u: (-round(sum(1 / n[t] for t in free[u]), 9), u))[: 12 - len(want)]:
+        want.append((u, "rarity", 0))
+    got = [(r["user_id"], r["step"], r["gain"]) for r in al.greedy_cover(events).orderBy("pos").collect()]
+    assert got == want and len(got) == 12
