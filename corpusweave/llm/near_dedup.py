@@ -49,6 +49,7 @@ BROADCAST_IDS = 1 << 20
 SEED = 7919
 MARGIN = 5.0  # standard errors below the threshold at which a signature's estimate rules a pair out
 _CHUNK = 1 << 12
+# the joins with counts and classes are hinted as merges: their sides grow with the input, and a merge can split a hot key
 _ROWS = 1024  # rows that Python gets at once
 _HELD = 1 << 22  # shingles that a cell keeps at a time
 
@@ -198,7 +199,7 @@ def _members(labels: DataFrame) -> DataFrame:
 
     Sizes are counted before the shuffle and staged, so that large regions can be split in the join."""
     sizes = labels.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
-    return staged(labels.join(staged(sizes, "sizes"), "region"), "members")
+    return staged(labels.join(staged(sizes, "sizes").hint("merge"), "region"), "members")
 
 
 def _small_regions(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +248,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("region", "class").agg(F.count("*").alias("n_class"))
     tops = per.groupBy("region").agg(F.max(F.struct("n_class", "class")).alias("top"), F.sum("n_class").alias("size"), F.count("*").alias("n_classes")).where("n_classes > 1")
     tops = staged(tops.select("region", F.col("top.class").alias("main"), F.col("top.n_class").alias("n_main"), "size"), "tops")
-    return staged(rows.join(tops, "region"), "mixed")
+    return staged(rows.join(tops.hint("merge"), "region"), "mixed")
 
 
 def _branches(dense: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
@@ -277,7 +278,7 @@ def _mixed_regions(members: DataFrame, nodes: DataFrame, classes: DataFrame) ->
 
     A cell has a block of members on the left and one of members outside the region's main class on the
     right; together the cells hold each pair of different classes once."""
-    rows = members.select("region", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rows = members.select("region", "node").join(classes.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     here = _mixed(rows)
     tree = F.col("region").bitwiseAND(F.lit(31)).cast("int")
     shallow = here.where(F.col("size") <= DENSE).withColumn("tree", tree)
@@ -291,7 +292,7 @@ def _mixed_regions(members: DataFrame, nodes: DataFrame, classes: DataFrame) ->
         here = _mixed(staged(_branches(dense, nodes, level), "branches"))
         every = every.unionByName(here.where(F.col("size") <= DENSE).withColumn("tree", F.lit(-1)).select(*names))
         dense, level = staged(here.where(F.col("size") > DENSE), "dense"), level + 1
-    deep = first.groupBy("node").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), tree)).alias("deep")) if level else None
+    deep = first.groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), tree)).alias("deep")) if level else None
     at = every.join(staged(deep, "deep"), "node", "left").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long"))) if level else every.withColumn("deep", F.lit(0).cast("long"))
     blocks_main = F.ceil(F.col("n_main") / BLOCK).cast("int")
     blocks_rest = F.ceil((F.col("size") - F.col("n_main")) / BLOCK).cast("int")
@@ -353,7 +354,7 @@ def _cross_candidates(members: DataFrame, nodes: DataFrame, classes: DataFrame,
 def _cross_links(candidates: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links between classes, for each right node and other class one where there is any; all partners
     are compared on full shingle sets until then."""
-    texts = staged(_texts(docs, sketched, candidates.select("node").distinct()), "texts")
+    texts = _texts(docs, sketched, candidates.select("node").distinct())
 
     def cell(_: tuple, table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_pylist()
@@ -393,22 +394,22 @@ def _alike(p: set, q: set, percent: int) -> bool:
 
 
 def _texts(docs: DataFrame, sketched: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of each node in ``wanted``, from one of its documents, which its id and its text's hash name."""
-    rows = sketched.join(wanted, "node", "left_semi").groupBy("node", "doc_id", "key").agg(F.count("*").alias("rows"))
-    one = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "key", "rows")).alias("d")).select("node", F.col("d.doc_id").alias("_id"), F.col("d.key").alias("_key"), F.col("d.rows").alias("rows")), "wanted")
-    size = one.agg(F.count("*").alias("n"), F.max("rows").alias("rows")).first()
-    names = one.select("node", "_id", "_key")
-    if size["n"] <= BROADCAST_IDS:  # the size is checked; beyond it both sides are shuffled
+    """(node, text) of each node in ``wanted``, staged, from one of its documents, which its id and its text's hash name."""
+    per = sketched.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("d"))  # a row for each node before the join
+    one = staged(per.join(wanted, "node", "left_semi").select("node", F.col("d.doc_id").alias("_id"), F.col("d.key").alias("_key")), "wanted")
+    size, names = one.count(), one
+    if size <= BROADCAST_IDS:  # the size is checked; beyond it both sides are shuffled
         names = F.broadcast(names)
     text = docs.select("doc_id", "text").join(names, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
-    text = text.select("node", "text")
-    return text.dropDuplicates(["node"]) if (size["rows"] or 0) > 1 else text
+    found = staged(text.select("node", "text"), "texts")
+    # more only where a row stands in the table several times
+    return found if found.count() == size else staged(found.dropDuplicates(["node"]), "texts")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are alike enough, compared shingle by shingle."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = staged(_texts(docs, sketched, wanted), "texts")
+    texts = _texts(docs, sketched, wanted)
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
@@ -447,10 +448,10 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
         links = links.unionByName(staged(_cross_links(more, docs, sketched, width, percent), "links"))
         classes = staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
     drop_staged(nodes, members, pairs, more)
-    rows = sketched.select("doc_id", "key", "n_shingles", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rows = sketched.select("doc_id", "key", "n_shingles", "node").join(classes.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     # staged, so that the join can split a class of many documents
     first = staged(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first")), "first")
-    out = rows.join(first, "class", "left").withColumn("component_id", F.coalesce("first", "doc_id"))
+    out = rows.join(first.hint("merge"), "class", "left").withColumn("component_id", F.coalesce("first", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key", "class")
 
 

@@ -141,12 +141,20 @@ def test_components(spark, docs):
 
 @pytest.mark.parametrize("levels", [0, 1, 3])
 def test_dense_regions_reach_the_same_classes(spark, docs, monkeypatch, levels):
+    base = "the quick brown fox jumps over a lazy dog while seven wizards watch from afar and cheer loudly for it".split()
+    odd = [(70000 + i, " ".join([*base[: i % 19], f"w{i}", f"v{i}", *base[i % 19 :]])) for i in range(60)]  # one region, several classes
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     want = {r["doc_id"]: r["component_id"] for r in collected(near_dedup.near_duplicates(docs, 2))}
+    deeper = []
+    branches = near_dedup._branches
+    monkeypatch.setattr(near_dedup, "_branches", lambda *a: deeper.append(a[2]) or branches(*a))
+    monkeypatch.setattr(near_dedup, "KEPT", 0)  # no candidate of the first round, so that the second has all to do
     monkeypatch.setattr(near_dedup, "DENSE", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 1)
     monkeypatch.setattr(near_dedup, "LEVELS", levels)
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     assert {r["doc_id"]: r["component_id"] for r in collected(near_dedup.near_duplicates(docs, 2))} == want
+    assert bool(deeper) == bool(levels)
 
 
 def test_sets_that_share_a_name_are_parted(spark, monkeypatch):
