@@ -54,3 +54,26 @@ comp AS (SELECT r.a, bool_or(k.decision = 'block') AND NOT bool_or(k.decision =
 p AS ({_decided("pages")})
 SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.decision, CASE WHEN c.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN comp c ON c.a = regexp_replace(p.url, '#.*', '')
 """
+
+COPIES = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM k
+"""
+
+# Every document walks through all 120 orders on its own.
+AUDIT = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT part, concat(CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+    FROM w LEFT JOIN labels l USING (doc_id)),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+g AS (SELECT part, fails, good, toxic, filter_order, CASE WHEN contains(fails, filter_order[1]) THEN 1 WHEN contains(fails, filter_order[2]) THEN 2 WHEN contains(fails, filter_order[3]) THEN 3
+    WHEN contains(fails, filter_order[4]) THEN 4 WHEN contains(fails, filter_order[5]) THEN 5 ELSE 6 END AS gone FROM f, o),
+s AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter, count(*) FILTER (WHERE gone > step) AS kept, count(*) FILTER (WHERE gone = step) AS removed,
+    count(*) FILTER (WHERE gone < step AND contains(fails, filter_order[step])) AS redundant, count(*) FILTER (WHERE fails = filter_order[step]) AS unique_fails,
+    count(*) FILTER (WHERE gone = step AND good) AS good_lost, count(*) FILTER (WHERE gone = step AND toxic) AS toxic_lost FROM g, range(1, 6) AS r(step) GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM s
+"""

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, licenses, mixing, near_dedup, oracles, pii, spotsigs, token_blocks, url_filter
+from . import align, decontaminate, exact_dedup, filter_audit, html_extract, langid, licenses, mixing, near_dedup, oracles, pii, spotsigs, token_blocks, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = align.with_pair_counts(align.aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True))
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,10 +99,15 @@ QUERIES = {
         op8_language_id,
         op9_license_scan,
         op10_decontaminate,
+        op11_cross_tokenizer,
+        op12_exact_dedup,
+        op13_filter_audit,
     )
 }
 ORACLE_SQL = {
     "op2_mix_sources": oracles.MIX,
     "op6_redirect_filter": oracles.URLS,
     "op10_decontaminate": oracles.CONTAMINATION,
+    "op12_exact_dedup": oracles.COPIES,
+    "op13_filter_audit": oracles.AUDIT,
 }
