@@ -16,18 +16,22 @@ Extra columns are not read but the id, which may repeat or be null; an empty tab
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, give_back, resident, staged
 
-CHUNK = 8_000_000  # characters that a task aligns at once
+CHUNK = 4_000_000  # characters that a task aligns at once
+AT_ONCE = 8192  # segments that the tokenizers get at once
 ROWS = 512  # rows handed to Python at once
 #: White space of any definition, and format characters near it: next to these a space is no certain cut.
 _BLANK = r"\s\x00-\x1f\x85\xa0 ᠎ -‏    ⁠▁　﻿"
@@ -35,6 +39,20 @@ _CUT = re.compile(rf" (?<=[^{_BLANK}] )(?=[^{_BLANK}])")
 _SCHEMA = "doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups string, pair_a array<int>, pair_b array<int>, pair_n array<long>"
 
 
+@dataclass(frozen=True)
+class Ids:
+    """Token ids of many parts end to end, and how many each part has."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    def __add__(self, other: Ids) -> Ids:
+        return Ids(np.concatenate([self.flat, other.flat]), np.concatenate([self.sizes, other.sizes]))
+
+    def of(self, keep: np.ndarray) -> Ids:
+        return Ids(self.flat[np.repeat(keep, self.sizes)], self.sizes[keep])
+
+
 class Pair:
     """The two tokenizers, with the bytes of each token."""
 
@@ -51,21 +69,29 @@ class Pair:
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.bytes_b = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
+        self.sizes_a, self.sizes_b = (np.array([len(t) for t in spelt], np.int64) for spelt in (self.bytes_a, self.bytes_b))
         self.cuts = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))
 
     def segments(self, text: str) -> list[str]:
         """The text in parts that both tokenizers encode on their own; each but the first follows a space."""
         return _CUT.split(text) if self.cuts else [text]
 
-    def encoded(self, parts: list[str]) -> tuple[list, list, np.ndarray]:
-        """Ids of both tokenizers for each part, and whether both give back its bytes."""
-        if not parts:
-            return [], [], np.empty(0, bool)
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        ids_b = self.b.encode(parts, num_threads=1)
-        join, a, b = b"".join, self.bytes_a, self.bytes_b
-        same = [join([a[i] for i in x]) == (raw := b" " + p.encode()) and join([b[i] for i in y]) == raw for p, x, y in zip(parts, ids_a, ids_b, strict=True)]
-        return ids_a, ids_b, np.array(same, bool)
+    def encoded(self, parts: list[str]) -> tuple[Ids, Ids, np.ndarray]:
+        """Ids of both tokenizers for each part, and whether both give back its bytes.
+
+        The libraries' own objects for a part take many times its size, so they see ``AT_ONCE`` parts at a time."""
+        flat, sizes, same = (array("i"), array("i")), ([], []), []
+        join, spelt = b"".join, (self.bytes_a, self.bytes_b)
+        for low in range(0, len(parts), AT_ONCE):
+            some = parts[low : low + AT_ONCE]
+            raws = [b" " + p.encode() for p in some]
+            for side, lists in enumerate(([e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)], self.b.encode(some, num_threads=1))):
+                sizes[side].extend(map(len, lists))
+                flat[side].extend(chain.from_iterable(lists))
+                fine = [join([spelt[side][i] for i in x]) == raw for x, raw in zip(lists, raws, strict=True)]
+                same = same[:low] + [f and g for f, g in zip(same[low:], fine, strict=True)] if side else same + fine
+        a, b = (Ids(np.array(f, np.int32), np.array(n, np.int64)) for f, n in zip(flat, sizes, strict=True))
+        return a, b, np.array(same, bool)
 
     def most_pairs(self) -> int:
         """An upper bound of the pairs of ids that can end together: each suffix of a token, times the tokens that spell it."""
@@ -94,13 +120,12 @@ def _spellings(tokens: list[bytes]) -> dict[bytes, int]:
     return out
 
 
-def _intervals(ids: list[list[int]], spelt: list[bytes]) -> pa.Table:
+def _intervals(ids: Ids, spelt: np.ndarray) -> pa.Table:
     """(n, part, id, s, e): tokens in order, each with the bytes it covers, over all parts end to end."""
-    flat = np.fromiter(chain.from_iterable(ids), np.int32)
-    sizes = np.array([len(b) for b in spelt], np.int64)
-    ends = np.cumsum(sizes[flat])
-    part = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
-    return pa.table({"n": np.arange(len(flat), dtype=np.int64), "part": part, "id": flat, "s": ends - sizes[flat], "e": ends})
+    sizes = spelt[ids.flat]
+    ends = np.cumsum(sizes)
+    part = np.repeat(np.arange(len(ids.sizes), dtype=np.int32), ids.sizes)
+    return pa.table({"n": np.arange(len(sizes), dtype=np.int64), "part": part, "id": ids.flat, "s": ends - sizes, "e": ends})
 
 
 #: Overlapping pairs (an, bn), and whether they end together.  Parts lie end to end, so no pair crosses from one to the next.
@@ -112,12 +137,10 @@ SELECT an, bn, cover.e = b.e AS link FROM cover JOIN b ON b.n = cover.bn"""
 #: Tokens of one side with the number of their group: a new one starts after each token that ends together with one of the other side.
 _GROUPED = """SELECT t.n, t.part, t.id, coalesce(sum(CASE WHEN l.n IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY t.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp
 FROM {side} t LEFT JOIN (SELECT {side}n AS n FROM shared WHERE link) l ON l.n = t.n"""
-_STRINGS = """SELECT part, string_agg(concat(x.ids, '|', y.ids), ';' ORDER BY grp) AS groups, count(*) AS n_groups
-FROM (SELECT part, grp, string_agg(id, ',' ORDER BY n) AS ids FROM ga GROUP BY part, grp) x JOIN (SELECT grp, string_agg(id, ',' ORDER BY n) AS ids FROM gb GROUP BY grp) y USING (grp) GROUP BY part ORDER BY part"""
 
 
 def _duck() -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})  # no files of its own
     con.execute("SET enable_progress_bar = false")
     return con
 
@@ -125,10 +148,10 @@ def _duck() -> duckdb.DuckDBPyConnection:
 class Aligned:
     """The alignment of some parts, as tables of one DuckDB connection."""
 
-    def __init__(self, con: duckdb.DuckDBPyConnection, pair: Pair, ids_a: list, ids_b: list):
-        self.con = con
-        for side, ids, spelt in (("a", ids_a, pair.bytes_a), ("b", ids_b, pair.bytes_b)):
-            con.register("arrow", _intervals(ids, spelt))
+    def __init__(self, con: duckdb.DuckDBPyConnection, pair: Pair, ids_a: Ids, ids_b: Ids):
+        self.con, self.ids = con, {"a": ids_a, "b": ids_b}
+        for side, spelt in (("a", pair.sizes_a), ("b", pair.sizes_b)):
+            con.register("arrow", _intervals(self.ids[side], spelt))
             con.execute(f"CREATE OR REPLACE TEMP TABLE {side} AS SELECT * FROM arrow")
             con.unregister("arrow")
         con.execute(_OVERLAPS)
@@ -136,20 +159,33 @@ class Aligned:
             con.execute(f"CREATE OR REPLACE TEMP TABLE g{side} AS {_GROUPED.format(side=side)}")
         con.execute("CREATE OR REPLACE TEMP TABLE links AS SELECT a.part, a.id AS a, b.id AS b, count(*) AS n FROM shared o JOIN a ON a.n = o.an JOIN b ON b.n = o.bn WHERE o.link GROUP BY ALL")
 
-    def strings(self) -> tuple[list[str], np.ndarray]:
-        got = self.con.execute(_STRINGS).to_arrow_table()
-        return got["groups"].to_pylist(), got["n_groups"].to_numpy()
+    def strings(self) -> tuple[pa.Array, np.ndarray]:
+        """The groups of each part as one string, and how many it has."""
+        sides, first = [], None
+        for side in "ab":
+            grp = self.con.sql(f"SELECT CAST(grp AS BIGINT) AS grp FROM g{side} ORDER BY n").fetchnumpy()["grp"]
+            starts = np.flatnonzero(np.diff(grp, prepend=-1))
+            sides.append(_joined(pc.cast(pa.array(self.ids[side].flat), pa.string()), np.append(starts, len(grp)), ","))
+            first = starts if side == "a" else first
+        part = np.repeat(np.arange(len(self.ids["a"].sizes)), self.ids["a"].sizes)[first]
+        counts = np.bincount(part, minlength=len(self.ids["a"].sizes))
+        return _joined(pc.binary_join_element_wise(*sides, "|"), np.append(0, np.cumsum(counts)), ";"), counts
 
     def pairs_of(self, docs: np.ndarray, parts: np.ndarray) -> pa.Table:
         """(doc, a, b, n): how often each linked pair of ids occurs in each document of the occurrences (doc, part)."""
         self.con.register("occurrences", pa.table({"doc": docs, "part": parts}))
-        got = self.con.execute(
+        got = self.con.sql(
             "SELECT doc, a, b, CAST(sum(k * n) AS BIGINT) AS n FROM (SELECT doc, part, count(*) AS k FROM occurrences GROUP BY doc, part) JOIN links USING (part) GROUP BY doc, a, b ORDER BY doc, b, a"
         ).to_arrow_table()
         self.con.unregister("occurrences")
         return got
 
 
+def _joined(words: pa.Array, cuts: np.ndarray, between: str) -> pa.Array:
+    """The strings between neighbouring cuts joined to one each."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), words), between)
+
+
 class _Chunk:
     """Documents that one task aligns together: their distinct segments, and which document holds which."""
 
@@ -158,21 +194,16 @@ class _Chunk:
         cut = [pair.segments(t) if t else [] for t in texts]
         known: dict[str, int] = {}
         codes = [[known.setdefault(s, len(known)) for s in segments] for segments in cut]
-        self.parts = list(known)
-        ids_a, ids_b, same = pair.encoded(self.parts)
+        ids_a, ids_b, same = pair.encoded(list(known))
         if not same.all():  # bytes are judged on whole texts: those with such a segment are encoded as one
             bad = set(np.flatnonzero(~same).tolist())
             whole = [i for i, c in enumerate(codes) if not bad.isdisjoint(c)]
             more_a, more_b, fine = pair.encoded([texts[i] for i in whole])
             for k, i in enumerate(whole):
-                codes[i] = [len(ids_a) + k] if fine[k] else []
-            self.parts += [texts[i] for i in whole]
+                codes[i] = [len(same) + k] if fine[k] else []
             ids_a, ids_b, same = ids_a + more_a, ids_b + more_b, np.concatenate([same, fine])
-        keep = np.flatnonzero(same)
-        place = np.full(len(same), -1, np.int64)
-        place[keep] = np.arange(len(keep))
-        self.parts = [self.parts[i] for i in keep]
-        self.ids_a, self.ids_b = [ids_a[i] for i in keep], [ids_b[i] for i in keep]
+        place = np.cumsum(same) - 1
+        self.n_parts, self.a, self.b = int(same.sum()), ids_a.of(same), ids_b.of(same)
         sizes = [len(c) for c in codes]
         self.docs = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         self.codes = place[np.fromiter(chain.from_iterable(codes), np.int64, sum(sizes))].astype(np.int32)
@@ -186,21 +217,19 @@ class _Chunk:
 def _documents(chunk: _Chunk, con: duckdb.DuckDBPyConnection) -> list[pa.Array]:
     """n_a, n_b, n_groups, n_links, groups and the pair lists of each document of the chunk."""
     n = chunk.n
-    if not chunk.parts:
+    if not chunk.n_parts:
         none = pa.array([[]] * n, pa.list_(pa.int32()))
         zeros = pa.array(np.zeros(n, np.int64))
         return [zeros, zeros, zeros, zeros, pa.array([""] * n), none, none, pa.array([[]] * n, pa.list_(pa.int64()))]
-    table = Aligned(con, chunk.pair, chunk.ids_a, chunk.ids_b)
+    table = Aligned(con, chunk.pair, chunk.a, chunk.b)
     strings, groups = table.strings()
     pairs = table.pairs_of(chunk.docs, chunk.codes)
-    at = chunk.codes.tolist()
-    texts = [";".join([strings[c] for c in at[low:high]]) for low, high in zip(chunk.starts, chunk.starts[1:], strict=False)]
+    texts = _joined(strings.take(pa.array(chunk.codes)), chunk.starts, ";")
     doc, count = pairs["doc"].to_numpy(), pairs["n"].to_numpy()
     cuts = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(cuts, pairs[c].combine_chunks().cast(t)) for c, t in (("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()))]
     links = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
-    sums = [chunk.total(np.array([len(x) for x in ids], np.int64)) for ids in (chunk.ids_a, chunk.ids_b)]
-    return [pa.array(sums[0]), pa.array(sums[1]), pa.array(chunk.total(groups)), pa.array(links), pa.array(texts), *lists]
+    return [pa.array(chunk.total(chunk.a.sizes)), pa.array(chunk.total(chunk.b.sizes)), pa.array(chunk.total(groups)), pa.array(links), texts, *lists]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
@@ -295,11 +324,11 @@ def overlaps(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         try:
             for ids, texts in _chunks(batches):
                 chunk = _Chunk(pair, texts)
-                if not chunk.parts:
+                if not chunk.n_parts:
                     continue
-                Aligned(con, pair, chunk.ids_a, chunk.ids_b)
+                Aligned(con, pair, chunk.a, chunk.b)
                 con.register("occurrences", pa.table({"k": np.arange(len(chunk.codes)), "doc": chunk.docs, "part": chunk.codes}))
-                got = con.execute(_PLACED).to_arrow_table()
+                got = con.sql(_PLACED).to_arrow_table()
                 con.unregister("occurrences")
                 out = pa.table([ids.take(got["doc"].combine_chunks()), *[got[c] for c in got.schema.names[1:]]], names=["doc_id", *got.schema.names[1:]])
                 yield from out.to_batches(max_chunksize=65_536)

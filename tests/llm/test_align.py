@@ -42,12 +42,16 @@ def brute(pair, texts):
     for text in texts:
         a, b = tokens(pair, text)
         both = sorted({e for *_, e in a} & {e for *_, e in b})
-        links = [(x, y) for x, _, e in a for y, _, f in b if e == f] if len(a) < 4000 else [(dict((e, i) for i, _, e in a)[e], dict((e, i) for i, _, e in b)[e]) for e in both]
+        ids_a, ids_b = ({e: i for i, _, e in side} for side in (a, b))  # tokens have bytes, so no two of a side end together
+        links = [(ids_a[e], ids_b[e]) for e in both]
         counts.update(links)
-        parts, low = [], 0
+        parts, left = [], [list(reversed(a)), list(reversed(b))]
         for e in both:
-            parts.append("|".join(",".join(str(i) for i, s, t in side if s >= low and t <= e) for side in (a, b)))
-            low = e
+            taken = [[], []]
+            for side in (0, 1):
+                while left[side] and left[side][-1][2] <= e:
+                    taken[side].append(str(left[side].pop()[0]))
+            parts.append("|".join(map(",".join, taken)))
         rows.append((len(a), len(b), len(both), links, ";".join(parts)))
     top = Counter()
     for (_, y), n in counts.items():
