@@ -43,10 +43,10 @@ def failures(docs: DataFrame) -> DataFrame:
 
 
 def with_copies(rows: DataFrame) -> DataFrame:
-    """Adds E.  The smallest id of a text that occurs twice is joined to its rows; the counts are taken before
-    the shuffle, and the join of two shuffled tables splits a text that very many rows share."""
-    first = rows.groupBy("sha").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "sha", "left").withColumn("E", F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))).drop("first_id", "sha")
+    """Adds E.  The smallest id of each text is found with counts taken before the shuffle, and looked up by text
+    and id together, so a text that very many rows share is spread like any other: a row that isn't found is a copy."""
+    first = rows.groupBy("sha").agg(F.min("id").alias("id")).where("id is not null").withColumn("own", F.lit(True))
+    return rows.join(first, ["sha", "id"], "left").withColumn("E", F.col("own").isNull() & F.col("id").isNotNull()).drop("own", "sha")
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
