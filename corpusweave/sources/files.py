@@ -37,9 +37,23 @@ def classify_blobs(blobs: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of the cluster; on one machine without one, a temporary folder."""
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where a session on this machine alone has none, in a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or 'file://' + tempfile.gettempdir()}/corpusweave/out-{uuid.uuid4().hex}"
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/corpusweave/out-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: the plan starts anew, and a lost executor costs its tasks only."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_and_read(df: DataFrame, kind: str, **options: str) -> DataFrame:

@@ -42,12 +42,17 @@ def latest_state(applied: DataFrame) -> DataFrame:
     return applied.groupBy("idc", "stage").agg(F.max_by("value", "arrival").alias("value"), F.max("arrival").alias("arrival"))
 
 
+def claims_of(applied: DataFrame) -> DataFrame:
+    """Claims (idc, slot, op, at, reap) of ledger events; a row with ``reap`` also clears what its owner held until then."""
+    op = F.when(F.col("seq") % 3 == 1, "release").otherwise("acquire")
+    return applied.select("idc", F.col("stage").alias("slot"), op.alias("op"), F.col("arrival").alias("at"), (F.col("seq") % 11 == 0).alias("reap"))
+
+
 def open_slots(applied: DataFrame) -> DataFrame:
     """Slots whose last operation acquires them and that no later reap of their owner cleared."""
-    op = F.when(F.col("seq") % 3 == 1, "release").otherwise("acquire")
-    marked = applied.withColumns({"op": op, "reap": F.when(F.col("seq") % 11 == 0, F.col("arrival"))})
-    barrier = marked.groupBy("idc").agg(F.max("reap").alias("reaped"))
-    last = marked.groupBy("idc", F.col("stage").alias("slot")).agg(F.max_by("op", "arrival").alias("op"), F.max("arrival").alias("at"))
+    claims = claims_of(applied)
+    barrier = claims.groupBy("idc").agg(F.max(F.when(F.col("reap"), F.col("at"))).alias("reaped"))
+    last = claims.groupBy("idc", "slot").agg(F.max_by("op", "at").alias("op"), F.max("at").alias("at"))
     return last.join(barrier, "idc").where("op = 'acquire' and at > coalesce(reaped, -1)").select("idc", "slot", "at")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.sources.files import scratch
+from corpusweave.sources.files import parse_lines, scratch
 from corpusweave.sources.tables import read
-from corpusweave.streaming import ledger
+from corpusweave.streaming import ledger, state
+from corpusweave.streaming.replay import Log
+from corpusweave.streaming.tail import LedgerTail
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +19,49 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.streamed(spark, raw, folder)
 
 
+def _in_order(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
+    """The ledger as a stream of three parts, written one after the other in the order of their events, and all once more if ``again``."""
+    events = ledger.events_of(read(spark, sf_dir, "events"))
+    folder = scratch(spark)
+    cuts = events.agg(F.percentile_approx("arrival", [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0, 0]
+    part = (F.col("arrival") > cuts[0]).cast("int") + (F.col("arrival") > cuts[1]).cast("int")
+    for i in range(6 if again else 3):
+        events.where(part == i % 3).write.parquet(f"{folder}/part={i}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
 def st_tail_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir).groupBy("run").agg(F.count("*").alias("n"), F.max("arrival").alias("watermark"))
+    """Events written as JSON lines and read by byte offsets; lines that aren't JSON would be left out here."""
+    raw = read(spark, sf_dir, "events")
+    folder, table = scratch(spark), scratch(spark)
+    raw.select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
+    spark.dataSource.register(LedgerTail)
+    lines = spark.readStream.format("ledger_tail").option("path", folder).option("suffix", ".txt").option("chunk", 1 << 20).load()
+    lines.writeStream.format("parquet").option("path", table).option("checkpointLocation", f"{table}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema.fields)
+    parsed = parse_lines(spark.read.schema(lines.schema).parquet(table).select("line"), schema).where("not bad").drop("bad")
+    return ledger.events_of(parsed).groupBy("run").agg(F.count("*").alias("n"), F.max("arrival").alias("watermark"))
 
 
 def st_replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = ledger.events_of(read(spark, sf_dir, "events"))
-    return once.unionByName(once).dropDuplicates(["run", "seq", "sha"]).groupBy("stage").agg(F.count("*").alias("n"))
+    """All events sent twice, applied or refused once."""
+    stream = _in_order(spark, sf_dir, again=True)
+    root = scratch(spark)
+    log = Log(spark, root, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields))
+    log.follow(stream, f"{root}-checkpoint")
+    return log.applied().unionByName(log.quarantined()).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+def st_latest_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoint = scratch(spark)
+    state.follow(state.latest_changes(_in_order(spark, sf_dir)), checkpoint)
+    return state.current(spark, checkpoint, "latest").select("key.idc", "key.stage", "value.value", "value.arrival")
+
+
+def st_slot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoint = scratch(spark)
+    state.follow(state.slot_changes(ledger.claims_of(_in_order(spark, sf_dir))), checkpoint)
+    return state.current(spark, checkpoint, "slots", mapped=True).select("key.idc", "user_map_key.slot", "user_map_value.at")
 
 
 def st_conflict_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +113,7 @@ def st_seal_rotate_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (st_tail_ingest, st_replay_idempotent, st_conflict_quarantine, st_rebuild_equivalence, st_type_projection, st_latest_state_upsert, st_slot_acquire_release, st_publish_replay_live, st_rolling_rate, st_seal_rotate_gc)
+    for f in (st_tail_ingest, st_replay_idempotent, st_conflict_quarantine, st_rebuild_equivalence, st_type_projection, st_latest_state_upsert, st_slot_acquire_release, st_latest_state_stream, st_slot_stream, st_publish_replay_live, st_rolling_rate, st_seal_rotate_gc)
 }
 _E = """WITH e AS (SELECT 'r' || CAST(event_id % 4 AS VARCHAR) AS run, event_id - CASE WHEN event_id % 97 = 5 THEN 4 ELSE 0 END AS seq, event_id AS arrival, user_id AS idc, event_type AS stage, value, event_type || '|' || user_id || '|' || value || '|' || props AS payload FROM events)"""
 ORACLES = {
@@ -88,3 +126,7 @@ ORACLES = {
     "st_publish_replay_live": "SELECT event_id AS arrival, user_id AS idc FROM events",
     "st_rolling_rate": "SELECT CAST(floor(epoch_us(ts) / 1000000 / 1800) AS BIGINT) * 1800 AS start, count(*) AS n FROM events GROUP BY 1",
 }
+ORACLES["st_latest_state_stream"] = ORACLES["st_latest_state_upsert"]
+ORACLES["st_slot_stream"] = ORACLES["st_slot_acquire_release"]
+ORACLES["st_conflict_quarantine"] = f"""{_E}, n AS (SELECT *, row_number() OVER w AS nth, first_value(payload) OVER w AS kept FROM e WINDOW w AS (PARTITION BY run, seq ORDER BY arrival))
+SELECT run, seq, arrival, sha256(payload) AS sha FROM n WHERE nth > 1 AND payload <> kept"""
