@@ -292,18 +292,6 @@ def typo_matching(pairs: DataFrame) -> DataFrame:
     return flat_map(pairs, ["conv_id", "turn", "src", "tgt"], "conv_id long, turn long, n_missing long, n_new long, n_matched long", rows)
 
 
-def gram_anchor(docs: DataFrame, items: DataFrame, width: int = 6) -> DataFrame:
-    """(doc_id, item_id, grams): item and document share so many distinct word n-grams; by an equi-join of hashes."""
-
-    def grams(df: DataFrame, key: str, text: str) -> DataFrame:
-        w = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+")
-        each = df.select(key, w.alias("w")).where(F.size("w") >= width)
-        at = F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " ")))
-        return each.select(key, F.explode(F.array_distinct(at)).alias("gram"))
-
-    return grams(docs, "doc_id", "text").join(grams(items, "item_id", "text"), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("grams"))
-
-
 class _Blocks(HTMLParser):
     KINDS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th figcaption title".split())
     SILENT = frozenset("script style template noscript".split())

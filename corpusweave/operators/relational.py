@@ -87,10 +87,6 @@ JOINS = {
         c AS (SELECT idc, max_by(status, seq) AS s FROM cells WHERE stage = 'signup' AND value > 150 GROUP BY idc)
         SELECT k.idc, coalesce(c.s, b.s, a.s) AS status, CASE WHEN c.idc IS NULL THEN 'no row' WHEN c.s = 'skip' THEN 'true' ELSE 'false' END AS flag FROM k LEFT JOIN a ON a.idc = k.idc LEFT JOIN b ON b.idc = k.idc LEFT JOIN c ON c.idc = k.idc"""
     ),
-    "join_interval_usage": S(
-        """WITH w AS (SELECT n_nationkey AS k, CAST(n_nationkey * 400 AS BIGINT) AS t0, CAST(n_nationkey * 400 + 400 AS BIGINT) AS t1 FROM nation)
-        SELECT w.k, count(*) AS calls, round(sum(e.value), 4) AS total FROM w JOIN events e ON e.event_id BETWEEN w.t0 AND w.t1 GROUP BY w.k"""
-    ),
     "join_nearest_truth": S(
         """WITH d AS (SELECT a.event_id, b.event_id AS other, abs(a.value - b.value) AS dist FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'signup')
         SELECT event_id, other FROM (SELECT event_id, other, row_number() OVER (PARTITION BY event_id ORDER BY dist, other) AS n FROM d) AS x WHERE n = 1"""
@@ -122,23 +118,9 @@ JOINS = {
         """WITH c AS (SELECT idc, max_by(status, seq) AS s, max(seq) AS q FROM cells WHERE stage = 'click' GROUP BY idc), f AS (SELECT idc, max_by(status, seq) AS s, max(seq) AS q FROM cells WHERE stage = 'view' GROUP BY idc)
         SELECT c.idc, CASE WHEN f.idc IS NULL THEN 'no-fix' WHEN f.s = 'lost' THEN 'lost' WHEN f.s = 'skip' THEN 'declined' WHEN f.q < c.q THEN 'stale' WHEN f.s = 'fail' THEN 'failed' ELSE 'taken' END AS reason FROM c LEFT JOIN f ON f.idc = c.idc"""
     ),
-    "join_regex_dictionary": S(
-        """WITH t AS (SELECT DISTINCT w FROM (SELECT 'license' AS w UNION ALL SELECT 'the' UNION ALL SELECT 'version' UNION ALL SELECT 'stupid') AS x) SELECT t.w, count(*) AS n FROM t JOIN documents d ON lower(d.text) LIKE '%' || t.w || '%' AND regexp_like(lower(d.text), '(^|[^a-z])' || t.w || '([^a-z]|$)') GROUP BY t.w""",
-        """WITH t AS (SELECT DISTINCT w FROM (SELECT 'license' AS w UNION ALL SELECT 'the' UNION ALL SELECT 'version' UNION ALL SELECT 'stupid') AS x) SELECT t.w, count(*) AS n FROM t JOIN documents d ON lower(d.text) LIKE '%' || t.w || '%' AND regexp_matches(lower(d.text), '(^|[^a-z])' || t.w || '([^a-z]|$)') GROUP BY t.w""",
-    ),
-    "join_term_consistency": S(
-        """WITH t AS (SELECT 'the' AS term, 'and' AS target UNION ALL SELECT 'der', 'die' UNION ALL SELECT 'que', 'de'), p AS (SELECT * FROM pairs)
-        SELECT t.term, count(*) AS applicable, sum(CASE WHEN p.tgt LIKE '%' || t.target || '%' THEN 1 ELSE 0 END) AS hits FROM t JOIN p ON p.src LIKE '%' || t.term || '%' GROUP BY t.term""",
-        """WITH t AS (SELECT 'the' AS term, 'and' AS target UNION ALL SELECT 'der', 'die' UNION ALL SELECT 'que', 'de'), p AS (SELECT * FROM pairs)
-        SELECT t.term, count(*) AS applicable, CAST(sum(CASE WHEN p.tgt LIKE '%' || t.target || '%' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM t JOIN p ON p.src LIKE '%' || t.term || '%' GROUP BY t.term""",
-    ),
     "join_precedence_merge": S(
         """SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY layer) AS n FROM (SELECT p_partkey AS k, p_name AS v, 1 AS layer FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, p_brand, 2 FROM part) AS u) AS x WHERE n = 1"""
     ),
-    "join_fuzzy_lev2": S(
-        """WITH a AS (SELECT DISTINCT p_name AS n FROM part) SELECT x.n AS a, y.n AS b, levenshtein(x.n, y.n) AS d FROM a x JOIN a y ON x.n < y.n AND abs(length(x.n) - length(y.n)) <= 2 WHERE levenshtein(x.n, y.n) <= 2""",
-        """WITH a AS (SELECT DISTINCT p_name AS n FROM part) SELECT x.n AS a, y.n AS b, CAST(levenshtein(x.n, y.n) AS INTEGER) AS d FROM a x JOIN a y ON x.n < y.n AND abs(length(x.n) - length(y.n)) <= 2 WHERE levenshtein(x.n, y.n) <= 2""",
-    ),
     "join_anchor_name": S(
         """WITH a AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'click' AND value > 60), b AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'view' AND value > 60)
         SELECT count(a.k) AS n_a, count(b.k) AS n_b, sum(CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 1 ELSE 0 END) AS common, sum(CASE WHEN b.k IS NULL THEN 1 ELSE 0 END) AS lost, sum(CASE WHEN a.k IS NULL THEN 1 ELSE 0 END) AS added FROM a FULL OUTER JOIN b ON a.k = b.k""",

@@ -20,7 +20,6 @@ SCALARS = {
     "fn_lev_capped": S(
         """SELECT p_partkey, CAST(CASE WHEN levenshtein(p_name, 'red ring') > 4 THEN 5 ELSE levenshtein(p_name, 'red ring') END AS BIGINT) AS d FROM part"""
     ),
-    "fn_edit_dist_is1": S("""SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) = 1"""),
     "fn_prose_text": S(
         """SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[*#$%&]+', ' '), '[ \\n]+', ' ')) AS prose FROM documents""",
         """SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[*#$%&]+', ' ', 'g'), '[ \\n]+', ' ', 'g')) AS prose FROM documents""",
@@ -167,7 +166,6 @@ QUERIES = {
     "txt_corruption_ops": _of("documents", algorithms.corruptions),
     "win_monotone_chain": _of("events", algorithms.monotone_chain),
     "join_fuzzy_matching": lambda spark, sf_dir: algorithms.typo_matching(_pairs(spark, sf_dir)),
-    "join_gram_anchor": lambda spark, sf_dir: algorithms.gram_anchor(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "scan_html_blocks": _of("pages", algorithms.html_blocks),
     "smp_greedy_cover": _of("events", algorithms.greedy_cover),
     "expansion_fixpoint": _of("documents", algorithms.expand_fixpoint),

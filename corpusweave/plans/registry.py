@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusweave.operators import aggregate, jobs, relational, sampling, textual, windows
+from corpusweave.operators import aggregate, jobs, joined, relational, sampling, textual, windows
 from corpusweave.plans.sql import queries as bound
 from corpusweave.streaming import ledger_queries
 
@@ -18,13 +18,13 @@ def statements() -> dict:
 
 def queries() -> dict:
     out = bound(statements())
-    for m in (*MODULES, ledger_queries):
+    for m in (*MODULES, joined, ledger_queries):
         out |= getattr(m, "QUERIES", {})
     return out
 
 
 def oracle_sql() -> dict:
     out = {name: s.oracle() for name, s in statements().items()}
-    for m in (*MODULES, ledger_queries):
+    for m in (*MODULES, joined, ledger_queries):
         out |= getattr(m, "ORACLES", {})
     return out
