@@ -35,7 +35,6 @@ COMMON = ANCHORS | frozenset(
 )
 CHAIN = 2
 WIDTH = 10  # hexadecimal digits of a signature
-LEAST = 0.05  # likenesses under this are given as 0
 _STEP = 64  # signatures that are compared at once
 _WORD = re.compile(r"[^\W_]+")
 
@@ -70,15 +69,15 @@ def length_partition(n: int, least: float) -> int:
     return int(math.log(n) / -math.log(least) + 1e-9) if n else -1
 
 
-def jaccard(a: list[str], b: list[str], least: float = LEAST) -> float:
-    """Jaccard coefficient of two sets of distinct signatures; 0 where it lies under ``least``.
+def jaccard(a: list[str], b: list[str], least: float = 0.0) -> float:
+    """Jaccard coefficient of two sets of distinct signatures; 0 where it lies under ``least``, exact without one.
 
     Sets more than a length partition apart are not compared, and a comparison ends as soon as what is left of the
     shorter set can't reach ``least`` any more."""
     if not a or not b:
         return 1.0 if not a and not b else 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if length_partition(len(long), least) - length_partition(len(short), least) > 1:
+    if least and length_partition(len(long), least) - length_partition(len(short), least) > 1:
         return 0.0
     other, both, need = set(long), 0, least * (len(a) + len(b)) / (1 + least) - 1e-9
     for i in range(0, len(short), _STEP):
