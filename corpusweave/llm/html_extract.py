@@ -2,11 +2,12 @@
 
 A page is cut into flat text blocks at block-level tags.  Each block has its number of words and its
 link density, those of the block before and after it, its kind, and a hint of the elements around it.
-A decision tree, trained on the small labelled table below, keeps or drops each block.  It splits by words and
-link densities first; where these leave it open, as for notices and comments, the hint of the markup decides.
+A decision tree, trained on the small labelled table below, keeps or drops each block.  All features compete for
+each of its splits; ``without_hint`` is the tree that words, links and kind alone give.  White space is what
+Python's ``str.split`` takes for it, a no-break space included.
 
 Defined results: null or empty html and pages without kept blocks give an empty text; unclosed and
-stray end tags are tolerated; past 512 open elements none is nested any more; scripts, styles, templates, comments and form controls never give text;
+stray end tags are tolerated, and elements may be nested as deep as the page is long; scripts, styles, templates, comments and form controls never give text;
 a page may be of any length.  Equal rows give equal results; other columns are ignored.
 """
 
@@ -14,8 +15,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -39,13 +41,12 @@ HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-?body|post-?content|entry\w*|content|main\w*|story\w*|body-?text|articlebody|prose)(?=$|[\s_-])", re.I)
 ROLES = {"navigation": 1, "banner": 1, "contentinfo": 1, "complementary": 1, "search": 1, "form": 1, "dialog": 1, "alert": 1, "alertdialog": 1, "menu": 1, "menubar": 1, "main": -1, "article": -1}
 
-DEEPEST = 512  # open elements; as in browsers, further ones stand beside each other
+#: What counts as a link, a heading and so on while it is open.
+KINDS = {"a": "a", "p": "p"} | dict.fromkeys(SILENT, "silent") | dict.fromkeys(HEADING, "heading") | dict.fromkeys(("li", "dd", "dt", "td", "th"), "item")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "heading", "item", "hint")
-TEXT = 6  # the first features: words and link densities
-TEXT_LEVELS = 2  # levels of the tree that split by these alone
 #: The labelled table: one row for each block, its FEATURES and whether an editor counted it as main text.  hint: 1
 #: in an element of the article, -1 in one of clutter, else 0.  Invented after pages of news sites, blogs and forums.
 LABELLED = (
@@ -83,32 +84,27 @@ LABELLED = (
 )
 
 
-def train(table: np.ndarray, depth: int = 8, text_levels: int = TEXT_LEVELS, least: int = 12) -> tuple:
-    """A CART tree by Gini impurity: a leaf (keep,) or (feature, threshold, below, above).  Ties go to the first split.
-
-    The first ``text_levels`` levels split by words and link densities into parts of ``least`` rows or more; what
-    these leave open, all features decide."""
+def train(table: np.ndarray, depth: int = 8, features: int = len(FEATURES)) -> tuple:
+    """A CART tree by Gini impurity over the first ``features``: a leaf (keep,) or (feature, threshold, below, above).
+    Ties go to the first split."""
     x, y = table[:, :-1], table[:, -1]
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0):
         return (bool(share >= 0.5),)
     best = None
-    for f in range(TEXT if text_levels else x.shape[1]):
+    for f in range(features):
         values = np.unique(x[:, f])
         for t in (values[:-1] + values[1:]) / 2:
             low = x[:, f] <= t
             n = low.sum()
-            if min(n, len(y) - n) < (least if text_levels else 1):
-                continue
             p, q = y[low].mean(), y[~low].mean()
             gini = n * p * (1 - p) + (len(y) - n) * q * (1 - q)
             if best is None or gini < best[0] - 1e-12:
                 best = (gini, f, float(t), low)
     if best is None:
-        return train(table, depth, 0, least) if text_levels else (bool(share >= 0.5),)
+        return (bool(share >= 0.5),)
     _, f, t, low = best
-    deeper = max(0, text_levels - 1)
-    return (f, t, train(table[low], depth - 1, deeper, least), train(table[~low], depth - 1, deeper, least))
+    return (f, t, train(table[low], depth - 1, features), train(table[~low], depth - 1, features))
 
 
 def written(tree: tuple, indent: str = "") -> str:
@@ -124,6 +120,12 @@ def default_tree() -> tuple:
     return train(np.array(LABELLED, float))
 
 
+@cache
+def without_hint() -> tuple:
+    """The tree of all features but the hint of the markup."""
+    return train(np.array(LABELLED, float), features=FEATURES.index("hint"))
+
+
 def keeps(tree: tuple, row: tuple) -> bool:
     while len(tree) > 1:
         tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
@@ -151,16 +153,26 @@ def _mark(name: str, attrs: dict[str, str]) -> int:
     return -1 if name in ARTICLE or CONTENT.search(names) else 0
 
 
+@dataclass(slots=True, eq=False)
+class Open:
+    """An open element; ``serial`` grows from the outermost inwards."""
+
+    name: str
+    mark: int
+    serial: int
+    alive: bool = True
+
+
 def blocks(page: str) -> list[list]:
     """Flat text blocks in page order: [text, words, linked words, heading, item, hint]."""
     out: list[list] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements and their marks
+    stack: list[Open] = []  # closed elements among them go when they come to the top
+    of_name: dict[str, list[Open]] = defaultdict(list)
+    of_blocks: list[Open] = []
     depth = {"a": 0, "clutter": 0, "article": 0, "silent": 0, "heading": 0, "item": 0, "p": 0}
     state: list[int] = [0, 0, 0]
-    names: Counter[str] = Counter()  # of the open elements
-    beyond: Counter[str] = Counter()  # elements not nested any more
 
     def flush() -> None:
         if text:
@@ -171,44 +183,36 @@ def blocks(page: str) -> list[list]:
             linked.clear()
 
     def open_(name: str, mark: int) -> None:
-        if len(stack) >= DEEPEST:
-            beyond[name] += 1
-            return
-        names[name] += 1
         if mark == 3:
             mark = 0 if depth["article"] else 1
-        stack.append((name, mark))
-        if mark == 1:
-            depth["clutter"] += 1
-        elif mark == 2:
-            depth["silent"] += 1
-        elif mark == -1:
-            depth["article"] += 1
-        count(name, 1)
-
-    def count(name: str, by: int) -> None:
-        if name == "a":
-            depth["a"] += by
-        elif name in SILENT:
-            depth["silent"] += by
-        elif name in HEADING:
-            depth["heading"] += by
-        elif name in ("li", "dd", "dt", "td", "th"):
-            depth["item"] += by
-        elif name == "p":
-            depth["p"] += by
-
-    def close(upto: int) -> None:
-        while len(stack) > upto:
-            name, mark = stack.pop()
-            names[name] -= 1
-            if mark == 1:
-                depth["clutter"] -= 1
-            elif mark == 2:
-                depth["silent"] -= 1
-            elif mark == -1:
-                depth["article"] -= 1
-            count(name, -1)
+        e = Open(name, mark, stack[-1].serial + 1 if stack else 0)
+        stack.append(e)
+        of_name[name].append(e)
+        if name in BLOCK:
+            of_blocks.append(e)
+        count(e, 1)
+
+    def count(e: Open, by: int) -> None:
+        if e.mark:
+            depth[{1: "clutter", 2: "silent", -1: "article"}[e.mark]] += by
+        if kind := KINDS.get(e.name):
+            depth[kind] += by
+
+    def top(some: list[Open]) -> Open | None:
+        while some and not some[-1].alive:
+            some.pop()
+        return some[-1] if some else None
+
+    def shut(e: Open) -> None:
+        e.alive = False
+        count(e, -1)
+
+    def close(upto: Open) -> None:
+        """Closes an element and what is open inside it."""
+        while (e := stack.pop()) is not upto:
+            if e.alive:
+                shut(e)
+        shut(upto)
 
     def take(raw: str) -> None:
         if raw and not depth["silent"]:
@@ -236,34 +240,22 @@ def blocks(page: str) -> list[list]:
             continue
         if name in BLOCK:
             flush()
-        if end and beyond[name]:
-            beyond[name] -= 1
-            continue
-        if end and not names[name]:
-            continue
         if end:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if place is not None and (name in BLOCK or all(x not in BLOCK for x, _ in stack[place + 1 :])):
-                close(place)
-            elif place is not None:
-                inner = stack.pop(place)
-                names[name] -= 1
-                if inner[1] == 1:
-                    depth["clutter"] -= 1
-                elif inner[1] == 2:
-                    depth["silent"] -= 1
-                elif inner[1] == -1:
-                    depth["article"] -= 1
-                count(name, -1)
+            if e := top(of_name[name]):
+                block = top(of_blocks)
+                if name in BLOCK or not block or block.serial < e.serial:
+                    close(e)
+                else:  # formatting that ends outside of its block: it alone ends
+                    shut(e)
             continue
         raw = m[3] if m[2] else m[6]
         if name in VOID or raw.endswith("/") and name not in BLOCK:
             continue
         if depth["p"] and name in CLOSES_P:
-            place = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p")
-            close(place)
-        if stack and name == stack[-1][0] and name in ("li", "dd", "dt", "td", "th", "tr", "option"):
-            close(len(stack) - 1)
+            close(top(of_name["p"]))
+        last = top(stack)
+        if last and name == last.name and name in ("li", "dd", "dt", "td", "th", "tr", "option"):
+            close(last)
         if name in RAW:
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = stop.end() if stop else n
