@@ -16,7 +16,6 @@ Extra columns are not read but the id, which may repeat or be null; an empty tab
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -32,9 +31,11 @@ from .common import batches_of, give_back, resident, staged
 
 CHUNK = 4_000_000  # characters that a task aligns at once
 AT_ONCE = 8192  # segments that the tokenizers get at once
+TOGETHER = 64  # neighbouring segments that A encodes as one text
 ROWS = 512  # rows handed to Python at once
 #: White space of any definition, and format characters near it: next to these a space is no certain cut.
 _BLANK = r"\s\x00-\x1f\x85\xa0 ᠎ -‏    ⁠▁　﻿"
+_BLANKS = frozenset(re.findall(f"[{_BLANK}]", "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x10000)))))
 _CUT = re.compile(rf" (?<=[^{_BLANK}] )(?=[^{_BLANK}])")
 _SCHEMA = "doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups string, pair_a array<int>, pair_b array<int>, pair_n array<long>"
 
@@ -46,6 +47,10 @@ class Ids:
     flat: np.ndarray
     sizes: np.ndarray
 
+    @classmethod
+    def none(cls) -> Ids:
+        return cls(np.empty(0, np.int32), np.empty(0, np.int64))
+
     def __add__(self, other: Ids) -> Ids:
         return Ids(np.concatenate([self.flat, other.flat]), np.concatenate([self.sizes, other.sizes]))
 
@@ -53,6 +58,19 @@ class Ids:
         return Ids(self.flat[np.repeat(keep, self.sizes)], self.sizes[keep])
 
 
+def _of_lists(lists: list[list[int]]) -> Ids:
+    return Ids(np.fromiter(chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists], np.int64))
+
+
+def _spell(ids: Ids, spelt: list[bytes], sizes: np.ndarray, raws: list[bytes]) -> np.ndarray:
+    """Whether the tokens of each part spell its bytes: at once where all do, part by part else."""
+    flat, ends = ids.flat.tolist(), np.cumsum(ids.sizes)
+    bytes_at = np.append(0, np.cumsum(sizes[ids.flat]))
+    if np.array_equal(bytes_at[ends], np.cumsum([len(r) for r in raws])) and b"".join([spelt[i] for i in flat]) == b"".join(raws):
+        return np.ones(len(raws), bool)
+    return np.array([b"".join([spelt[i] for i in flat[e - n : e]]) == raw for e, n, raw in zip(ends.tolist(), ids.sizes.tolist(), raws, strict=True)])
+
+
 class Pair:
     """The two tokenizers, with the bytes of each token."""
 
@@ -80,18 +98,36 @@ class Pair:
         """Ids of both tokenizers for each part, and whether both give back its bytes.
 
         The libraries' own objects for a part take many times its size, so they see ``AT_ONCE`` parts at a time."""
-        flat, sizes, same = (array("i"), array("i")), ([], []), []
-        join, spelt = b"".join, (self.bytes_a, self.bytes_b)
+        a, b, same = Ids.none(), Ids.none(), [np.empty(0, bool)]
         for low in range(0, len(parts), AT_ONCE):
             some = parts[low : low + AT_ONCE]
             raws = [b" " + p.encode() for p in some]
-            for side, lists in enumerate(([e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)], self.b.encode(some, num_threads=1))):
-                sizes[side].extend(map(len, lists))
-                flat[side].extend(chain.from_iterable(lists))
-                fine = [join([spelt[side][i] for i in x]) == raw for x, raw in zip(lists, raws, strict=True)]
-                same = same[:low] + [f and g for f, g in zip(same[low:], fine, strict=True)] if side else same + fine
-        a, b = (Ids(np.array(f, np.int32), np.array(n, np.int64)) for f, n in zip(flat, sizes, strict=True))
-        return a, b, np.array(same, bool)
+            more_a, more_b = self._of_a(some, raws), _of_lists(self.b.encode(some, num_threads=1))
+            same.append(_spell(more_a, self.bytes_a, self.sizes_a, raws) & _spell(more_b, self.bytes_b, self.sizes_b, raws))
+            a, b = a + more_a, b + more_b
+        return a, b, np.concatenate(same)
+
+    def _of_a(self, some: list[str], raws: list[bytes]) -> Ids:
+        """A's ids of each part.  Parts between which a cut is certain are encoded together and told apart by their bytes."""
+        units, run = [], []
+        for p in some:
+            plain = p and p[0] not in _BLANKS and p[-1] not in _BLANKS
+            if run and (not plain or len(run) == TOGETHER):
+                units.append(" " + " ".join(run))
+                run = []
+            if plain and self.cuts:
+                run.append(p)
+            else:
+                units.append(" " + p)
+        if run:
+            units.append(" " + " ".join(run))
+        flat = _of_lists([e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]).flat
+        ends = np.cumsum(self.sizes_a[flat])
+        wanted = np.cumsum([len(r) for r in raws])
+        at = np.searchsorted(ends, wanted)
+        if len(ends) and ends[-1] == wanted[-1] and np.array_equal(ends[at], wanted):
+            return Ids(flat, np.diff(at + 1, prepend=0))
+        return _of_lists([e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)])
 
     def most_pairs(self) -> int:
         """An upper bound of the pairs of ids that can end together: each suffix of a token, times the tokens that spell it."""
