@@ -381,22 +381,6 @@ def expand_fixpoint(docs: DataFrame) -> DataFrame:
     return flat_map(docs, ["doc_id", "text"], "doc_id long, rounds long, n_chars long", rows)
 
 
-def reachable_files(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """(file, depth): files that an include graph reaches from its roots; cycles end, as each file counts once.
-
-    The fixture's graph: a region's root file includes the nations with its number, and each nation the next."""
-    edges = files.selectExpr("concat('r', n_regionkey) AS a", "concat('n', n_nationkey) AS b").unionByName(files.where("n_nationkey % 3 = 0").selectExpr("concat('n', n_nationkey) AS a", "concat('n', n_nationkey + 1) AS b"))
-    found = front = roots.where("r_regionkey < 2").selectExpr("concat('r', r_regionkey) AS file", "0 AS depth")
-    depth = 0
-    while True:
-        depth += 1
-        front = front.join(edges, front["file"] == edges["a"]).select(F.col("b").alias("file")).distinct().join(found.select("file"), "file", "left_anti").withColumn("depth", F.lit(depth))
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    return found
-
-
 def bib_entries(texts: DataFrame) -> DataFrame:
     """(doc_id, kind, key, n_fields) of brace-balanced entries; the first of a key wins, string macros stand apart."""
 

@@ -66,7 +66,6 @@ SCALARS = {
     "fn_status_rank": S("""SELECT seq, CAST(CASE status WHEN 'ok' THEN 3 WHEN 'warn' THEN 2 WHEN 'fail' THEN 1 WHEN 'skip' THEN 0 ELSE -1 END AS BIGINT) AS rnk FROM cells"""),
     "fn_errors_sig": S("""SELECT event_id, event_type || ':' || get_json_object(props, '$.k') AS sig FROM events WHERE event_type = 'error'"""),
     "fn_largest_remainder_frac": S("""SELECT doc_id, CAST(floor(n_chars / 7e0) AS BIGINT) AS base, round(n_chars / 7e0 - floor(n_chars / 7e0), 6) AS frac FROM documents"""),
-    "fn_canonical_json": S("""SELECT event_id, '{"k":' || get_json_object(props, '$.k') || ',"type":"' || event_type || '"}' AS canon FROM events"""),
     "fn_text_gates": S("""SELECT doc_id, NOT text RLIKE '[A-Za-z]' AS wordless, text RLIKE '^[0-9 .,;:!?-]*$' AS punct_only FROM documents"""),
     "fn_log_event_parse": S("""SELECT event_type, regexp_extract(props, '"([a-z]+)"', 1) AS field, count(*) AS n FROM events GROUP BY 1, 2"""),
     "map_title_norm": S(
@@ -88,10 +87,6 @@ TEXTS = {
         """SELECT doc_id, replace(replace(text, '~', '~0'), '\\n', '~1') AS enc, replace(replace(replace(replace(text, '~', '~0'), '\\n', '~1'), '~1', '\\n'), '~0', '~') = text AS round_trip FROM documents""",
         """SELECT doc_id, replace(replace(text, '~', '~0'), chr(10), '~1') AS enc, replace(replace(replace(replace(text, '~', '~0'), chr(10), '~1'), '~1', chr(10)), '~0', '~') = text AS round_trip FROM documents""",
     ),
-    "txt_reconstruct": S(
-        """SELECT doc_id, array_join(split(text, '\\n'), '\\n') = text AS same, CAST(size(split(text, '\\n')) AS BIGINT) AS pieces FROM documents""",
-        """SELECT doc_id, true AS same, CAST(len(string_split(text, chr(10))) AS BIGINT) AS pieces FROM documents""",
-    ),
     "txt_batch_parse": S(
         """SELECT event_id, CASE WHEN size(regexp_extract_all(props, '([0-9]+)', 1)) = 1 THEN regexp_extract(props, '([0-9]+)', 1) END AS seg FROM events""",
         """SELECT event_id, CASE WHEN len(regexp_extract_all(props, '([0-9]+)', 1)) = 1 THEN regexp_extract(props, '([0-9]+)', 1) END AS seg FROM events""",
@@ -169,5 +164,4 @@ QUERIES = {
     "scan_html_blocks": _of("pages", algorithms.html_blocks),
     "smp_greedy_cover": _of("events", algorithms.greedy_cover),
     "expansion_fixpoint": _of("documents", algorithms.expand_fixpoint),
-    "txt_tree_scan": lambda spark, sf_dir: algorithms.reachable_files(read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")),
 }
