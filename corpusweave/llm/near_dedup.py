@@ -230,16 +230,41 @@ def _small_regions(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every, none
 
 
-def _neighbours(members: DataFrame) -> DataFrame:
-    """(a, b): for each node the KEPT candidates that it meets in most trees, of its neighbours in the
-    trees' orders and the first nodes of its regions."""
+def _neighbours(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, nth): for each node the KEPT candidates that it meets in most trees, of its neighbours in the
+    trees' orders and the first nodes of its regions; nth is 1 where b is the best candidate of a, or a of b.
+
+    Pairs whose sizes alone keep them apart are left out, which is exact, so no text is sent for them."""
     small, hubs = _small_regions(members)
     w = Window.partitionBy("region").orderBy("order", "node")
     met = small.withColumns({"before": F.lag("node").over(w), "first": F.first("node").over(w)})
     met = met.select("node", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).where("other != node")
     counted = met.unionByName(hubs).groupBy("node", "other").agg(F.count("*").alias("trees"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("trees").desc(), "other"))
-    return counted.withColumn("nth", best).where(F.col("nth") <= KEPT).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    kept = counted.withColumn("nth", best).where(F.col("nth") <= KEPT)
+    pairs = kept.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.min("nth").alias("nth"))
+    sized = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")).hint("merge"), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")).hint("merge"), "b")
+    return sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "nth")
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose nodes aren't in one class yet."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}")).hint("merge")
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
+
+
+def _first_links(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and the classes that they make: each node's best candidate is confirmed first, and of the others only
+    what these links leave apart, so that most texts are sent once."""
+    best = staged(_confirmed(pairs.where("nth = 1"), docs, sketched, width, percent), "links")
+    classes = staged(connected_components(best).select("node", F.col("component").alias("class")), "classes")
+    others = staged(_apart(pairs.where("nth > 1"), classes), "apart")
+    if others.isEmpty():
+        return best, classes
+    links = staged(best.unionByName(_confirmed(others, docs, sketched, width, percent)), "links")
+    drop_staged(best, classes, others)
+    return links, staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -440,9 +465,8 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     labels = staged(_labels(nodes), "labels")
     members = _members(labels)
     drop_staged(labels)
-    pairs = staged(_neighbours(members), "pairs")
-    links = staged(_confirmed(pairs, docs, sketched, width, percent), "links")
-    classes = staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
+    pairs = staged(_neighbours(members, nodes, percent), "pairs")
+    links, classes = _first_links(pairs, docs, sketched, width, percent)
     more = staged(_cross_candidates(members, nodes, classes, percent), "candidates")
     if not more.isEmpty():
         links = links.unionByName(staged(_cross_links(more, docs, sketched, width, percent), "links"))
