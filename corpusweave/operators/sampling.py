@@ -17,7 +17,8 @@ STATEMENTS = {
         """WITH g AS (SELECT f.band, f.grp, count(*) AS n, avg(CAST(1 - l.quality AS DOUBLE)) AS r FROM frame f JOIN labels l ON l.doc_id = f.id GROUP BY f.band, f.grp), o AS (SELECT avg(CAST(1 - quality AS DOUBLE)) AS r FROM labels) SELECT band, grp, round(n * (1 + 5e-1 * (g.r / o.r - 1)), 6) AS weight FROM g CROSS JOIN o"""
     ),
     "smp_old_new_split": S(
-        """WITH r AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS old, row_number() OVER (PARTITION BY l.doc_id IS NOT NULL ORDER BY sha2('3:' || CAST(d.doc_id AS STRING), 256)) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) SELECT doc_id, old FROM r WHERE old AND n <= CAST(floor(25e-2 * 200 + 5e-1) AS BIGINT) OR NOT old AND n <= 200 - CAST(floor(25e-2 * 200 + 5e-1) AS BIGINT)"""
+        """WITH r AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS old, row_number() OVER (PARTITION BY l.doc_id IS NOT NULL ORDER BY sha2('3:' || CAST(d.doc_id AS STRING), 256)) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) SELECT doc_id, old FROM r WHERE n <= 200 AND (old AND n <= CAST(floor(25e-2 * 200 + 5e-1) AS BIGINT) OR NOT old AND n <= 200 - CAST(floor(25e-2 * 200 + 5e-1) AS BIGINT))""",
+        """WITH r AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS old, row_number() OVER (PARTITION BY l.doc_id IS NOT NULL ORDER BY sha2('3:' || CAST(d.doc_id AS STRING), 256)) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) SELECT doc_id, old FROM r WHERE old AND n <= CAST(floor(25e-2 * 200 + 5e-1) AS BIGINT) OR NOT old AND n <= 200 - CAST(floor(25e-2 * 200 + 5e-1) AS BIGINT)""",
     ),
     "smp_flag_priority": S(
         """WITH t AS (SELECT doc_id, CASE WHEN text LIKE '%token = %' THEN 1 WHEN text LIKE '%@%' THEN 2 WHEN text LIKE '%License%' THEN 3 ELSE 4 END AS flag FROM documents), r AS (SELECT doc_id, flag, row_number() OVER (PARTITION BY flag ORDER BY sha2('5:' || CAST(doc_id AS STRING), 256)) AS n FROM t) SELECT doc_id, flag FROM r WHERE n <= 10"""
@@ -42,5 +43,9 @@ STATEMENTS = {
         """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), q AS (SELECT lang, 100 * n / CAST(sum(n) OVER () AS DOUBLE) AS x FROM c), a AS (SELECT lang, floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, lang DESC) <= 100 - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS quota FROM q), r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha2('1:' || CAST(doc_id AS STRING), 256)) AS n FROM documents)
         SELECT r.doc_id, r.lang FROM r JOIN a ON a.lang = r.lang WHERE r.n <= a.quota"""
     ),
-    "items_cluster_rotate": S("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY rn, source) AS k FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha2('2:' || CAST(doc_id AS STRING), 256)) AS rn FROM documents) AS x) AS y WHERE k <= 50"""),
+    # the first 50 turns need the first 50 of each source only, which every task cuts before the shuffle
+    "items_cluster_rotate": S(
+        """SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha2('2:' || CAST(doc_id AS STRING), 256)) AS rn FROM documents) AS x WHERE rn <= 50 ORDER BY rn, source LIMIT 50""",
+        """SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY rn, source) AS k FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha2('2:' || CAST(doc_id AS STRING), 256)) AS rn FROM documents) AS x) AS y WHERE k <= 50""",
+    ),
 }

@@ -29,8 +29,11 @@ WINDOWS = {
         k AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS k FROM region UNION ALL SELECT CAST(6 AS BIGINT)) SELECT DISTINCT c.band, c.m FROM c JOIN k ON (2 * k.k - 1) * c.t > 12 * (c.hi - c.n) AND (2 * k.k - 1) * c.t <= 12 * c.hi"""
     ),
     "win_rolling_rate": S(
-        """WITH e AS (SELECT event_id, unix_micros(CAST(ts AS TIMESTAMP)) AS us FROM events), w AS (SELECT event_id, us, min(us) OVER (ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS u0, count(*) OVER (ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS n FROM e)
-        SELECT event_id, round((n - 1) / ((us - u0) / 1e6), 6) AS rate FROM w WHERE n >= 2 AND us - u0 >= 120000000""",
+        # each half hour is a task's own, with the half hour before it at hand
+        """WITH e AS (SELECT event_id, unix_micros(CAST(ts AS TIMESTAMP)) AS us FROM events),
+        c AS (SELECT event_id, us, us div 1800000000 AS own, explode(array(us div 1800000000, us div 1800000000 + 1)) AS cell FROM e),
+        w AS (SELECT event_id, us, own, cell, min(us) OVER (PARTITION BY cell ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS u0, count(*) OVER (PARTITION BY cell ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS n FROM c)
+        SELECT event_id, round((n - 1) / ((us - u0) / 1e6), 6) AS rate FROM w WHERE own = cell AND n >= 2 AND us - u0 >= 120000000""",
         """WITH e AS (SELECT event_id, epoch_us(ts) AS us FROM events), w AS (SELECT event_id, us, min(us) OVER (ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS u0, count(*) OVER (ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS n FROM e)
         SELECT event_id, round((n - 1) / ((us - u0) / 1e6), 6) AS rate FROM w WHERE n >= 2 AND us - u0 >= 120000000""",
     ),
@@ -59,7 +62,9 @@ DML = {
     "dml_reuse_lookup": S("""SELECT o_custkey, max_by(o_orderkey, (CAST(year(o_orderdate) AS BIGINT) * 100 + month(o_orderdate)) * 10000000 + o_orderkey) AS reuse FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' GROUP BY o_custkey"""),
     "dml_chunk_flush": S("""SELECT o.o_orderkey, count(l.l_linenumber) AS chunks, count(*) FILTER (WHERE l.l_linestatus = 'F') AS done, round(coalesce(sum(l.l_extendedprice), 0), 2) AS counters FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey"""),
     "dml_cache_lru": S(
-        """WITH h AS (SELECT idc, stage, max(seq) AS last_hit, count(*) AS hits FROM cells GROUP BY idc, stage), r AS (SELECT idc, stage, hits, row_number() OVER (ORDER BY last_hit DESC) AS n FROM h) SELECT idc, stage, hits, n <= 300 AS kept FROM r"""
+        # the 300 latest hits by a top-k; hits have numbers of their own
+        """WITH h AS (SELECT idc, stage, max(seq) AS last_hit, count(*) AS hits FROM cells GROUP BY idc, stage) SELECT idc, stage, hits, last_hit >= (SELECT min(last_hit) FROM (SELECT last_hit FROM h ORDER BY last_hit DESC LIMIT 300) AS t) AS kept FROM h""",
+        """WITH h AS (SELECT idc, stage, max(seq) AS last_hit, count(*) AS hits FROM cells GROUP BY idc, stage), r AS (SELECT idc, stage, hits, row_number() OVER (ORDER BY last_hit DESC) AS n FROM h) SELECT idc, stage, hits, n <= 300 AS kept FROM r""",
     ),
     "life_dedup_verdict": S(
         """WITH c AS (SELECT idc, max_by(op, seq) AS op, count(*) FILTER (WHERE reap) AS reaps FROM claims GROUP BY idc), v AS (SELECT idc, count(*) FILTER (WHERE status = 'ok') AS good, count(*) FILTER (WHERE status = 'lost') AS lost, max(seq) AS top FROM cells GROUP BY idc)
