@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions import algorithms
 from corpusweave.plans.sql import Statement as S
-from corpusweave.sources import files
+from corpusweave.sources import files, publish
 from corpusweave.sources.tables import guard, read
 
 STATEMENTS = {
@@ -109,11 +109,11 @@ def sink_append_fsync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_atomic_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table published twice: readers see the second whole, as the committer moves files only when all are there."""
+    """A table published twice; readers follow a pointer that one rename swaps."""
     p, path = read(spark, sf_dir, "part").select("p_partkey", "p_name"), files.scratch(spark)
     for version in (p.limit(10), p):
-        version.write.mode("overwrite").parquet(path)
-    return spark.read.schema(p.schema).parquet(path)
+        publish.publish(version, path)
+    return publish.read_published(spark, path)
 
 
 QUERIES = {
