@@ -42,7 +42,7 @@ def test_ranges(spark):
 
 def test_sql_of_the_queries(spark, sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, text in queries.ORACLE_SQL.items():
         got, want = queries.QUERIES[name](spark, sf_dir).toPandas(), c.execute(text).df()
