@@ -9,12 +9,14 @@ Two rounds find them.  The first takes the neighbours in each tree's order and e
 a number of candidates in proportion to the sets.  Regions whose members then are one class are done.  In
 the others the second round compares each member outside the region's main class with all members of other
 classes, by signatures first.  A mixed region of over DENSE members is not compared as a whole: each member goes
-to BRANCHES longer prefixes, of its region and DEPTH more values each, and so on for LEVELS levels; what is
-dense even then (all but equal texts, in many classes) is compared in blocks.  So no partner is left out for
-the size of a group, and a group of many near copies, already one class, never has its pairs spelt out.
+to BRANCHES longer prefixes, of its region and DEPTH more values each, and so on for LEVELS levels.  Where that
+can't part a region, as over 1 / BRANCHES of it have the next DEPTH values too, it is tight; so is what LEVELS leave.
+Tight regions of all trees that share members are merged, and each merged one is compared once, in blocks, in place of
+once in each tree and branch.  So no partner is left out for the size of a group, and a group of many near
+copies, already one class, never has its pairs spelt out.
 
 Of pairs of likeness s, the forest misses (1 - p) ** TREES, with p = s ** DEPTH in regions that aren't dense: 1e-6 at
-0.8.  Each dense level multiplies p by 1 - (1 - s ** DEPTH) ** BRANCHES, 0.88 at 0.8: 1e-5 where all is dense.
+0.8.  Each branched level multiplies p by 1 - (1 - s ** DEPTH) ** BRANCHES, 0.88 at 0.8: 1e-5 where all branches thrice.
 A signature's estimate rules a pair out MARGIN standard errors below the threshold: 3e-7 of pairs at 0.8.
 
 Defined results: null texts, empty texts and texts without words have no shingle, are linked with nothing
@@ -268,7 +270,7 @@ def _first_links(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """rows (region, node, class) of regions with several classes, and main, n_main, size: the region's largest class,
+    """Those of rows (region, node, class, order) whose region has several classes, and main, n_main, size: the region's largest class,
     its members and all.  Counts are staged, so that large regions can be split in the join."""
     per = rows.groupBy("region", "class").agg(F.count("*").alias("n_class"))
     tops = per.groupBy("region").agg(F.max(F.struct("n_class", "class")).alias("top"), F.sum("n_class").alias("size"), F.count("*").alias("n_classes")).where("n_classes > 1")
@@ -277,23 +279,42 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _branches(dense: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
-    """(region, node, class): each member of a dense region in BRANCHES longer prefixes."""
+    """(region, node, class, order): each member of a dense region in BRANCHES longer prefixes; order is as in _labels."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig, region = _sigs(b.column(3)), b.column(0).to_numpy().view(np.uint64)
             trees = (region & np.uint64(31)).astype(np.int64)
             for branch in range(BRANCHES):
-                at = ((trees + 1 + (level * BRANCHES + branch)) % TREES)[:, None] * DEPTH + np.arange(DEPTH)
-                values = np.take_along_axis(sig, at, axis=1).astype(np.uint64)
+                at = ((trees + 1 + (level * BRANCHES + branch)) % TREES)[:, None] * DEPTH + np.arange(2 * DEPTH)
+                values = np.take_along_axis(sig, at % FUNCTIONS, axis=1).astype(np.uint64)
+                order = ((values[:, DEPTH:] >> np.uint64(16)) << np.array([48, 32, 16, 0], np.uint64)).sum(axis=1, dtype=np.uint64)
                 h = region * _BASE + np.uint64(branch + 1)
                 for i in range(DEPTH):
                     h = _mix64(h * _BASE + values[:, i])
                 deeper = (h & ~np.uint64(31)) | trees.astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(deeper.view(np.int64)), b.column(1), b.column(2)], ["region", "node", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(deeper.view(np.int64)), b.column(1), b.column(2), pa.array(order.view(np.int64))], ["region", "node", "class", "order"])
 
     rows = dense.select("region", "node", "class").join(nodes.select("node", "sig"), "node")
-    return rows.select("region", "node", "class", "sig").mapInArrow(part, "region long, node long, class long")
+    return rows.select("region", "node", "class", "sig").mapInArrow(part, "region long, node long, class long, order long")
+
+
+def _parted(dense: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dense rows of regions that longer prefixes part, and of tight ones, where over 1 / BRANCHES of the members agree in
+    the next values as well, so that branches would copy rows and save no comparison."""
+    per = dense.groupBy("region", "order").agg(F.count("*").alias("n_order"), F.first("size").alias("size"))
+    tight = staged(per.groupBy("region").agg(F.max(BRANCHES * F.col("n_order") > F.col("size")).alias("tight")), "tight")
+    both = staged(dense.join(tight.hint("merge"), "region"), "parted")
+    return both.where("not tight"), both.where("tight").select("region", "node", "class")
+
+
+def _merged(tight: DataFrame) -> DataFrame:
+    """Rows of tight regions (region, node, class) under new regions: each region takes the smallest name of those that
+    any of its members is in.  Members of one region stay together, and the regions that a group of copies
+    has in the trees nearly all become one, so a node stands there once or a few times."""
+    low = staged(tight.groupBy("node").agg(F.min("region").alias("low")), "low")
+    names = staged(tight.join(low.hint("merge"), "node").groupBy("region").agg(F.min("low").alias("name")), "names")
+    return staged(tight.join(names.hint("merge"), "region").select(F.col("name").alias("region"), "node", "class").distinct(), "merged")
 
 
 def _mixed_regions(members: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -303,20 +324,23 @@ def _mixed_regions(members: DataFrame, nodes: DataFrame, classes: DataFrame) ->
 
     A cell has a block of members on the left and one of members outside the region's main class on the
     right; together the cells hold each pair of different classes once."""
-    rows = members.select("region", "node").join(classes.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rows = members.select("region", "node", "order").join(classes.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     here = _mixed(rows)
     tree = F.col("region").bitwiseAND(F.lit(31)).cast("int")
-    shallow = here.where(F.col("size") <= DENSE).withColumn("tree", tree)
-    dense = staged(here.where(F.col("size") > DENSE), "dense")
     names = ["region", "node", "class", "main", "n_main", "size", "tree"]
-    every, level, first = shallow.select(*names), 0, dense
+    every, level = here.where(F.col("size") <= DENSE).withColumn("tree", tree).select(*names), 0
+    first = dense = staged(here.where(F.col("size") > DENSE), "dense")
+    tight = None
     while not dense.isEmpty():
-        if level == LEVELS:
-            every = every.unionByName(dense.withColumn("tree", F.lit(-1)).select(*names))
+        loose, more = _parted(dense) if level < LEVELS else (None, dense.select("region", "node", "class"))
+        tight, level = more if tight is None else tight.unionByName(more), level + 1
+        if loose is None or loose.isEmpty():
             break
-        here = _mixed(staged(_branches(dense, nodes, level), "branches"))
+        here = _mixed(staged(_branches(loose, nodes, level - 1), "branches"))
         every = every.unionByName(here.where(F.col("size") <= DENSE).withColumn("tree", F.lit(-1)).select(*names))
-        dense, level = staged(here.where(F.col("size") > DENSE), "dense"), level + 1
+        dense = staged(here.where(F.col("size") > DENSE), "dense")
+    if level:
+        every = every.unionByName(_mixed(_merged(tight)).withColumn("tree", F.lit(-1)).select(*names))
     deep = first.groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), tree)).alias("deep")) if level else None
     at = every.join(staged(deep, "deep"), "node", "left").withColumn("deep", F.coalesce("deep", F.lit(0).cast("long"))) if level else every.withColumn("deep", F.lit(0).cast("long"))
     blocks_main = F.ceil(F.col("n_main") / BLOCK).cast("int")
@@ -337,12 +361,13 @@ def _mixed_regions(members: DataFrame, nodes: DataFrame, classes: DataFrame) ->
 _CELL = ["tree", "region", "left", "right"]
 
 
-def _cross_candidates(members: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """For each cell the nodes with a partner of another class that signatures and sizes don't rule out, and at
-    each right node its partners, the likeliest first.  A row for each node and cell, not for each pair."""
+def _cross_candidates(members: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int, margin: float | None) -> DataFrame:
+    """For each cell the nodes with a partner of another class that signatures and sizes don't rule out (with no
+    ``margin`` sizes alone, which is exact), and at each right node its partners, the likeliest first.  A row for each
+    node and cell, not for each pair."""
     dealt = _mixed_regions(members, nodes, classes).join(nodes.select("node", "n", "sig"), "node")
     s = percent / 100
-    least = (s - MARGIN * (s * (1 - s) / FUNCTIONS) ** 0.5) * FUNCTIONS
+    least = 0 if margin is None else (s - margin * (s * (1 - s) / FUNCTIONS) ** 0.5) * FUNCTIONS
 
     def cell(key: tuple, table: pa.Table) -> pa.Table:
         tree, left = key[0].as_py(), key[2].as_py()
@@ -452,14 +477,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: in
     return both.mapInArrow(part, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, margin: float | None = MARGIN) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text); and key, a hash of the
-    text, and class, a name of the class that no id can blur."""
+    text, and class, a name of the class that no id can blur.  With ``margin`` None no signature rules a
+    candidate out: all are compared on their full sets."""
     with batches_of(docs.sparkSession, _ROWS):
-        return _near_duplicates(docs, width, percent)
+        return _near_duplicates(docs, width, percent, margin)
 
 
-def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _near_duplicates(docs: DataFrame, width: int, percent: int, margin: float | None) -> DataFrame:
     sketched = sketches(docs, width)
     nodes = staged(sketched.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
     labels = staged(_labels(nodes), "labels")
@@ -467,7 +493,7 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     drop_staged(labels)
     pairs = staged(_neighbours(members, nodes, percent), "pairs")
     links, classes = _first_links(pairs, docs, sketched, width, percent)
-    more = staged(_cross_candidates(members, nodes, classes, percent), "candidates")
+    more = staged(_cross_candidates(members, nodes, classes, percent, margin), "candidates")
     if not more.isEmpty():
         links = links.unionByName(staged(_cross_links(more, docs, sketched, width, percent), "links"))
         classes = staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")

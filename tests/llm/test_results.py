@@ -157,6 +157,41 @@ def test_dense_regions_reach_the_same_classes(spark, docs, monkeypatch, levels):
     assert bool(deeper) == bool(levels)
 
 
+@pytest.mark.parametrize("margin", [near_dedup.MARGIN, None])
+def test_regions_of_over_512_against_all_pairs(spark, monkeypatch, margin):
+    """1,300 edits of one text: regions dense at the real limit, many classes, and pairs on both sides of 0.8."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(1300):
+        words = list(base)
+        for at in rng.choice(160, 4 + i % 7, replace=False):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    code: dict = {}
+    has = np.zeros((len(rows), 30000), np.float32)
+    for i, t in rows:
+        has[i, [code.setdefault(x, len(code)) for x in near_dedup.shingle_set(t, 2)]] = 1
+    size = has.sum(axis=1)
+    both = has @ has.T
+    links = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    top = np.arange(len(rows))
+    while True:
+        low = np.where(links, top[None, :], len(rows)).min(axis=1)
+        if (low == top).all():
+            break
+        top = low
+    merged, before = [], near_dedup._merged
+    monkeypatch.setattr(near_dedup, "_merged", lambda tight: merged.append(before(tight)) or merged[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in collected(near_dedup.near_duplicates(docs, 2, margin=margin))}
+    assert got == dict(enumerate(top.tolist()))
+    assert 50 < len(set(got.values())) < 1250
+    # a node stands in few merged regions, though it is dense in up to 26 trees
+    per = merged[0].groupBy("node").count()
+    assert merged[0].count() > near_dedup.DENSE and per.agg({"count": "avg"}).first()[0] < 2
+
+
 def test_sets_that_share_a_name_are_parted(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "names_of", lambda h: (7, int(h[0] >> np.uint64(1))) if len(h) else (None, None))
     rows = [(i, t) for i, t in enumerate(["a b c d", "e f g h", "a b  c d", "", "i j"])]
