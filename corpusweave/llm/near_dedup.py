@@ -256,17 +256,28 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
 
 
-def _first_links(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and the classes that they make: each node's best candidate is confirmed first, and of the others only
-    what these links leave apart, so that most texts are sent once."""
+def _widened(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (node, class) with further links: components of the classes that these join, so the rounds run over
+    what is new and not over all links again."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}")).hint("merge")
+    both = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    between = both.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).where("a != b")
+    tops = staged(connected_components(between).select(F.col("node").alias("class"), F.col("component").alias("top")), "tops")
+    old = classes.join(tops.hint("merge"), "class", "left").select("node", F.coalesce("top", "class").alias("class"))
+    new = tops.select(F.col("class").alias("node"), F.col("top").alias("class")).join(classes.select("node").hint("merge"), "node", "left_anti")
+    return staged(old.unionByName(new), "classes")
+
+
+def _first_links(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
+    """The classes (node, class) that the links make: each node's best candidate is confirmed first, and of the others
+    only what these links leave apart, so that most texts are sent once."""
     best = staged(_confirmed(pairs.where("nth = 1"), docs, sketched, width, percent), "links")
     classes = staged(connected_components(best).select("node", F.col("component").alias("class")), "classes")
     others = staged(_apart(pairs.where("nth > 1"), classes), "apart")
+    drop_staged(best)
     if others.isEmpty():
-        return best, classes
-    links = staged(best.unionByName(_confirmed(others, docs, sketched, width, percent)), "links")
-    drop_staged(best, classes, others)
-    return links, staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
+        return classes
+    return _widened(classes, staged(_confirmed(others, docs, sketched, width, percent), "links"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -492,11 +503,10 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, margin: float |
     members = _members(labels)
     drop_staged(labels)
     pairs = staged(_neighbours(members, nodes, percent), "pairs")
-    links, classes = _first_links(pairs, docs, sketched, width, percent)
+    classes = _first_links(pairs, docs, sketched, width, percent)
     more = staged(_cross_candidates(members, nodes, classes, percent, margin), "candidates")
     if not more.isEmpty():
-        links = links.unionByName(staged(_cross_links(more, docs, sketched, width, percent), "links"))
-        classes = staged(connected_components(links).select("node", F.col("component").alias("class")), "classes")
+        classes = _widened(classes, staged(_cross_links(more, docs, sketched, width, percent), "links"))
     drop_staged(nodes, members, pairs, more)
     rows = sketched.select("doc_id", "key", "n_shingles", "node").join(classes.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     # staged, so that the join can split a class of many documents
