@@ -7,9 +7,16 @@ split by Spark's skew join, as both sides come from a shuffle; what is verified
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweave.sources.files import staged
+
 # ---------------------------------------------------------------- intervals
 
 
@@ -119,27 +126,81 @@ def _term_pieces(term: Column) -> Column:
     return pieces(F.regexp_replace(F.coalesce(term, F.lit("")), f"^{SEAM}|{SEAM}$", ""))
 
 
-#: The n pieces at each place as one string; glued: a word character stands right before or after them.
-_GRAMS = """transform(sequence(0, size(_p) - n), i -> named_struct('pos', i, 'gram', ltrim(' ', array_join(slice(_p, i + 1, n), '')),
-    'glued', coalesce(get(_p, i - 1) RLIKE '[a-z0-9_]$' AND NOT startswith(_p[i], ' '), false) OR coalesce(get(_p, i + n) RLIKE '^[a-z0-9_]', false)))"""
+BITS = 1 << 22  # of the bitmap of the dictionary that tasks look grams up in: 512 KB, however many terms there are
+SMALL = 100_000  # terms that are sent to all tasks
+
+
+def _bitmap(keys: DataFrame) -> bytes:
+    """Bits crc32(key) mod BITS of the strings ``key``, as one block of bytes; made in tasks, at most 128 parts reach the driver."""
+    bit = (F.crc32("key") % BITS + 1).alias("bit")  # buckets are counted from 1
+    parts = keys.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("nr")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = bytearray(BITS // 8)
+    for nr, bits in parts:
+        out[(nr - 1) * 4096 : nr * 4096] = bits
+    return bytes(out)
+
+
+def term_candidates(docs: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, pos, n, gram): the grams of pieces of ``docs`` (key, text) that may be terms of ``known`` (n, gram, head), whole words only.
+
+    A gram comes out where the bitmaps have its first piece, that with its length, and the gram; so all terms are among them, and few others.
+    """
+    heads, openings, grams = (_bitmap(known.select(c.alias("key"))) for c in (F.col("head"), F.concat_ws(":", "head", "n"), F.col("gram")))
+    piece, seams = re.compile(_PIECE, re.ASCII), "~ \t\n\r\f\v"
+    word = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def has(bits: bytes, s: str) -> bool:
+            bit = zlib.crc32(s.encode()) % BITS
+            return bool(bits[bit >> 3] >> (bit & 7) & 1)
+
+        class Begun(dict):
+            """The lengths of the terms that may begin with a piece."""
+
+            def __missing__(self, p: str) -> tuple[int, ...]:
+                head = p.lstrip(seams)
+                self[p] = got = tuple(n for n in lengths if has(openings, f"{head}:{n}")) if has(heads, head) else ()
+                return got
+
+        begun = Begun()
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                b = whole.slice(low, 256)
+                at, out = [], []
+                for r in range(b.num_rows):
+                    ps = piece.findall((b.column(1)[r].as_py() or "").encode().lower().decode())  # bytes fold ASCII only
+                    if len(begun) > 1 << 18:
+                        begun.clear()
+                    for i in [i for i, p in enumerate(ps) if begun[p]]:
+                        if i and ps[i][0] not in seams and ps[i - 1][-1] in word:
+                            continue
+                        for n in begun[ps[i]]:
+                            if i + n > len(ps) or (i + n < len(ps) and ps[i + n][0] in word):
+                                continue
+                            gram = ps[i].lstrip(seams) + "".join(p if p[0] not in seams else " " + p.lstrip(seams) for p in ps[i + 1 : i + n])
+                            if has(grams, gram):
+                                at.append(r)
+                                out.append((i, n, gram))
+                pos, n, gram = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(gram, pa.string())], ["key", "pos", "n", "gram"])
+
+    return docs.mapInArrow(part, f"key {docs.schema['key'].dataType.simpleString()}, pos int, n int, gram string")
 
 
 def term_places(docs: DataFrame, terms: DataFrame, key: str, text: str, term: str) -> DataFrame:
     """(key, pos, n, term): where terms stand in texts, as whole words in any case, with white space or ties between their words.
 
-    ``pos`` counts pieces from 0, ``n`` is their number.  Each text gives its n-grams of pieces for the lengths that the
-    dictionary has, and those meet the terms in an equi-join; a term of any kind of characters is found.  Texts
-    and terms that are null or blank give nothing, a term that is given twice counts once.
+    ``pos`` counts pieces from 0, ``n`` is their number.  Each text is read once; of its n-grams of pieces, for the lengths that the
+    dictionary has, those that a bitmap of the dictionary lets through meet the terms in an equi-join; a term of any kind of characters
+    is found.  Texts and terms that are null or blank give nothing, a term that is given twice counts once.
     """
     known = terms.select(F.col(term).alias("term")).distinct().withColumn("_p", _term_pieces(F.col("term"))).where(F.size("_p") > 0)
-    known = known.select("term", F.size("_p").alias("n"), F.array_join("_p", "").alias("gram"))
-    lengths = sorted(r[0] for r in known.select("n").distinct().collect())  # as many numbers as the longest term has pieces
-    if not lengths:
-        lengths = [1]
-    each = docs.select(F.col(key).alias("key"), pieces(F.col(text)).alias("_p"))
-    spots = each.select("key", "_p", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where("size(_p) >= n")
-    grams = spots.select("key", "n", F.inline(F.expr(_GRAMS))).where("not glued").drop("glued")
-    return grams.join(known, ["n", "gram"]).select(F.col("key").alias(key), "pos", "n", "term")
+    known = staged(known.select("term", F.size("_p").alias("n"), F.array_join("_p", "").alias("gram"), F.element_at("_p", 1).alias("head")))
+    sizes = dict(known.groupBy("n").count().collect())  # as many numbers as the longest term has pieces
+    each = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    grams = term_candidates(each, known, sorted(sizes))
+    small = sum(sizes.values()) <= SMALL
+    return grams.join(known.select("term", "n", "gram").hint("broadcast" if small else "merge"), ["n", "gram"]).select(F.col("key").alias(key), "pos", "n", "term")
 
 
 def longest_places(places: DataFrame, key: str) -> DataFrame:

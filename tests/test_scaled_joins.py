@@ -90,6 +90,17 @@ def test_terms_by_patterns(spark):
     assert sum(got.values()) > 30 and not any(t in ("", " ~ ", None) for _, t in got)
 
 
+def test_only_grams_that_may_be_terms_leave_the_texts(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(400))) for i in range(50)], "key long, text string")
+    terms = [f"w{i} w{i + 1} w{i + 2}" for i in range(0, 60, 3)] + ["w7", "w8 w9"]
+    known = spark.createDataFrame([(len(t.split()), t, t.split()[0]) for t in terms], "n int, gram string, head string")
+    got = J.term_candidates(docs, known, [1, 2, 3])
+    n = sum(term_hits(r["text"], t) for r in docs.collect() for t in terms)
+    assert n <= got.count() <= n + 5 and n > 10  # of 60,000 grams
+    assert "transform(" not in planned(J.term_places(docs, known, "key", "text", "gram"))
+
+
 def test_longest_places(spark):
     docs = spark.createDataFrame([(1, "red ring red"), (2, "ring"), (3, "a red ring of x")], "doc_id long, text string")
     terms = spark.createDataFrame([("red",), ("ring",), ("red ring",), ("Red Ring",), ("ring of",)], "term string")
