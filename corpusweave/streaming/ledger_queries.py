@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,19 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.streamed(spark, raw, folder)
 
 
-def _in_order(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
-    """The ledger as a stream of three parts, written one after the other in the order of their events, and all once more if ``again``."""
+def _in_order(spark: SparkSession, sf_dir: str, follow: Callable[[DataFrame], None], again: bool = False) -> None:
+    """Gives the ledger to ``follow`` as a stream that grows by three parts, in the order of their events, and by all once more if ``again``.
+
+    A part is followed to its end before the next is written, as one batch of however many files: files of one
+    write have no order of their own, and batches as small as files would grow in number with the input.
+    """
     events = ledger.events_of(read(spark, sf_dir, "events"))
     folder = scratch(spark)
     cuts = events.agg(F.percentile_approx("arrival", [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0, 0]
     part = (F.col("arrival") > cuts[0]).cast("int") + (F.col("arrival") > cuts[1]).cast("int")
     for i in range(6 if again else 3):
         events.where(part == i % 3).write.parquet(f"{folder}/part={i}")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+        follow(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(folder))
 
 
 def st_tail_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,22 +51,22 @@ def st_tail_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st_replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events sent twice, applied or refused once."""
-    stream = _in_order(spark, sf_dir, again=True)
     root = scratch(spark)
-    log = Log(spark, root, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields))
-    log.follow(stream, f"{root}-checkpoint")
+    schema = ledger.events_of(read(spark, sf_dir, "events")).schema
+    log = Log(spark, root, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields))
+    _in_order(spark, sf_dir, lambda stream: log.follow(stream, f"{root}-checkpoint"), again=True)
     return log.applied().unionByName(log.quarantined()).groupBy("stage").agg(F.count("*").alias("n"))
 
 
 def st_latest_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint = scratch(spark)
-    state.follow(state.latest_changes(_in_order(spark, sf_dir)), checkpoint)
+    _in_order(spark, sf_dir, lambda stream: state.follow(state.latest_changes(stream), checkpoint))
     return state.current(spark, checkpoint, "latest").select("key.idc", "key.stage", "value.value", "value.arrival")
 
 
 def st_slot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint = scratch(spark)
-    state.follow(state.slot_changes(ledger.claims_of(_in_order(spark, sf_dir))), checkpoint)
+    _in_order(spark, sf_dir, lambda stream: state.follow(state.slot_changes(ledger.claims_of(stream)), checkpoint))
     return state.current(spark, checkpoint, "slots", mapped=True).select("key.idc", "user_map_key.slot", "user_map_value.at")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.sources.tables import read
-from corpusweave.streaming import ledger, state
+from corpusweave.streaming import ledger, ledger_queries, state
 from corpusweave.streaming.replay import Log
 from corpusweave.streaming.tail import LedgerTail, TailReader
 
@@ -130,3 +130,25 @@ def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
     log.apply(rows, 5)
     assert log.applied().count() == 40_000 and log.quarantined().count() == 0
     assert log.read_bytes[4] * 5 < log.read_bytes[5]  # ten replays look up one bucket of twenty
+
+
+def test_a_bucket_is_one_file_of_a_batch(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 8).select(F.lit("r0").alias("run"), (F.col("id") * 7919 % 20_000).alias("seq"), F.col("id").alias("arrival"), F.sha2(F.col("id").cast("string"), 256).alias("sha"))
+    Log(spark, str(tmp_path / "log"), "run string, seq long, arrival long, sha string").apply(rows, 0)
+    folders = list((tmp_path / "log" / "applied").glob("bucket=*/batch=0"))
+    assert 1 < len(folders) <= 10 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+
+
+@pytest.mark.parametrize(("query", "want"), [("st_slot_stream", ledger.open_slots), ("st_latest_state_stream", ledger.latest_state)])
+def test_a_part_of_many_files_is_one_batch_in_the_order_of_the_ledger(spark, sf_dir, tmp_path, monkeypatch, query, want):
+    made, events = iter(range(10)), read(spark, sf_dir, "events")
+    events.repartition(6).write.parquet(f"{tmp_path}/sf/events.parquet")
+    monkeypatch.setattr(ledger_queries, "scratch", lambda _: f"file://{tmp_path}/{next(made)}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = ledger_queries.QUERIES[query](spark, f"{tmp_path}/sf").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list(tmp_path.glob("*/part=0/*.parquet"))) > 1
+    assert len([x for x in tmp_path.glob("*/commits/*") if not x.name.startswith(".")]) == 3
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want(ledger.events_of(events)).collect()))
