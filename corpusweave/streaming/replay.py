@@ -58,12 +58,14 @@ class Log:
             once = events.withColumn("_nth", F.row_number().over(Window.partitionBy("run", "seq", "sha").orderBy("arrival"))).where("_nth = 1").drop("_nth")
             key = ["run", "seq"]
             held = once.join(applied.select(*key, F.col("sha").alias("_held")), key, "left")
-            marked = held.withColumn("_first", F.coalesce("_held", F.first("sha").over(Window.partitionBy(*key).orderBy("arrival"))))
+            marked = held.withColumn("_first", F.coalesce("_held", F.first("sha").over(Window.partitionBy(*key).orderBy("arrival")))).persist()
             new = marked.where("_held is null and sha = _first")
             clash = marked.where("sha <> _first").join(refused.select(*key, "sha"), [*key, "sha"], "left_anti")
             for kind, rows in (("quarantine", clash), ("applied", new)):
                 out = rows.drop("_held", "_first").withColumn("batch", F.lit(number)).select(*batch.columns, "bucket", "batch")
+                out = out.repartition("bucket")  # so that a bucket is one file, not one of each task
                 out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.root}/{kind}")
+            marked.unpersist()
         finally:
             events.unpersist()
 
