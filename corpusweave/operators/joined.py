@@ -22,9 +22,9 @@ def join_interval_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = w.select("k", "event_type", "user_id", (F.col("day") + F.col("t0")).alias("low"), (F.col("day") + end).alias("high"))
     seconds = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     events = read(spark, sf_dir, "events").select("event_type", "user_id", "value", seconds.alias("at"))
-    met = joins.interval_join(events, windows, "at", "low", "high", keys=("event_type",), optional=("user_id",))
-    used = met.groupBy("k").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("total"))
-    return windows.select("k").join(used, "k", "left").fillna(0, ["calls", "total"])
+    used = joins.interval_usage(events, windows, "k", "at", "low", "high", "value", keys=("event_type",), optional=("user_id",))
+    calls, total = F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce(F.round("total", 4), F.lit(0.0)).alias("total")
+    return windows.select("k").join(used.hint("merge"), "k", "left").select("k", calls, total)
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ def interval_join(points: DataFrame, windows: DataFrame, at: str, low: str, high
 
     A window lies in cells as wide as itself, rounded up to a power of four, so it touches two of them at most;
     a point is looked up once for each width that occurs, at most 32.  ``optional`` keys match every point where the window's is null.
-    Windows that end before they begin, and nulls in times or keys, match nothing.
+    Windows that end before they begin, and nulls in times or keys, match nothing.  Joins are merges: cells multiply rows
+    unseen by Spark's size estimates, so a broadcast could fill the driver.
     """
     valid = windows.where(F.col(low) <= F.col(high))
     wide = F.ceil(F.log2(F.col(high) - F.col(low) + 1) / 2).cast("int")  # cells of 4 ** wide
@@ -45,11 +46,43 @@ def interval_join(points: DataFrame, windows: DataFrame, at: str, low: str, high
         for k in (*keys, *chosen):
             on = on & (F.col(f"p.{k}") == F.col(f"w.{k}"))
         shared = {*keys, *optional}
-        got = looked.alias("p").join(some.alias("w"), on).select(*[f"p.{c}" for c in points.columns], *[f"w.{c}" for c in windows.columns if c not in shared])
+        got = looked.alias("p").join(some.hint("merge").alias("w"), on).select(*[f"p.{c}" for c in points.columns], *[f"w.{c}" for c in windows.columns if c not in shared])
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def interval_usage(points: DataFrame, windows: DataFrame, of: str, at: str, low: str, high: str, value: str, keys: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> DataFrame:
+    """(of, calls, total): for each window that ``interval_join`` gives a row, the number of its points and the sum of their ``value``.
+
+    No pair is formed, so the work grows with points and windows and not with their product.  Cells are at most as wide as the
+    window, down to a quarter; so it takes the rear of its first cell, the front of its last and up to three whole ones between, which are
+    running counts and sums within cells.  Nothing is subtracted, so values outside a window leave no trace in its sum.
+    """
+    valid = windows.where(F.col(low) <= F.col(high)).withColumn("_w", F.expr(f"(length(bin({high} - {low} + 1)) - 1) div 2").cast("int"))
+    widths = sorted(r[0] for r in valid.select("_w").distinct().collect()) or [0]  # at most 32
+    cell = lambda t: F.expr(f"({t} - pmod({t}, shiftleft(1L, 2 * _w))) div shiftleft(1L, 2 * _w)")
+    out = None
+    for chosen in _subsets(optional):
+        by = [*keys, *chosen]
+        some = valid.where(F.col(of).isNotNull())
+        for k in (*keys, *optional):
+            some = some.where(F.col(k).isNull() if k in optional and k not in chosen else F.col(k).isNotNull())
+        met = points.where(F.col(at).isNotNull()).groupBy(*by, at).agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
+        met = met.withColumn("_w", F.explode(F.array(*[F.lit(w) for w in widths]))).select(*by, "_w", cell(at).alias("_cell"), F.col(at).cast("long").alias("_t"), "_n", "_v")
+        placed = some.withColumns({"_a": cell(low), "_b": cell(high)})
+        ends = F.expr(f"""concat(array(struct(_a AS _cell, CAST({low} AS BIGINT) AS _t, false AS _up)),
+            if(_b > _a, array(struct(_b AS _cell, CAST({high} AS BIGINT) AS _t, true AS _up)), array()),
+            if(_b > _a + 1, transform(sequence(_a + 1, greatest(_b - 1, _a + 1)), c -> struct(c AS _cell, (c + 1) * shiftleft(1L, 2 * _w) - 1 AS _t, true AS _up)), array()))""")
+        asked = placed.select(*by, "_w", of, F.inline(ends))
+        both = met.unionByName(asked, allowMissingColumns=True)
+        group = Window.partitionBy(*by, "_w", "_cell")
+        front, rear = (group.orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow) for t in (F.col("_t"), F.col("_t").desc()))
+        both = both.withColumns({f"{c}{e}": F.sum(c).over(w) for e, w in (("f", front), ("r", rear)) for c in ("_n", "_v")})
+        got = both.where(F.col("_up").isNotNull()).select(of, *[F.when(F.col("_up"), F.col(f"{c}f")).otherwise(F.col(f"{c}r")).alias(c) for c in ("_n", "_v")])
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy(of).agg(F.sum("_n").alias("calls"), F.sum("_v").alias("total")).where("calls > 0")
+
+
 def _subsets(names: tuple[str, ...]) -> list[tuple[str, ...]]:
     out: list[tuple[str, ...]] = [()]
     for n in names:

@@ -42,6 +42,25 @@ def test_intervals_by_all_pairs(spark):
     assert J.interval_join(p, w.limit(0), "at", "low", "high").count() == J.interval_join(p.limit(0), w, "at", "low", "high").count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_usage_by_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    points = [(rng.choice("ab"), rng.choice(["k", "l", None]), rng.choice([None, *range(-50, 900)]), rng.choice([None, 0.25, 7.5, 1e18 * (rng.random() < 0.01)])) for _ in range(800)]
+    windows = [(i, rng.choice(["a", "b", None]), rng.choice(["k", "l", None]), low := rng.randrange(-60, 900), low + rng.choice([0, 1, 2, 3, 4, 14, 15, 16, 63, 64, 255, 300, 900, -3])) for i in range(400)]
+    p = spark.createDataFrame(points, "api string, who string, at long, value double")
+    w = spark.createDataFrame(windows, "j long, api string, who string, low long, high long")
+    used = J.interval_usage(p, w, "j", "at", "low", "high", "value", keys=("api",), optional=("who",))
+    want = {}
+    for j, b, m, lo, hi in windows:
+        if got := [v for a, k, t, v in points if t is not None and a == b and m in (None, k) and lo <= t <= hi]:
+            want[j] = len(got), sum(x or 0 for x in got) if any(x is not None for x in got) else None
+    got = {r["j"]: (r["calls"], r["total"]) for r in used.collect()}
+    assert got.keys() == want.keys() and len(want) > 150
+    assert all(got[j] == (n, v if v is None else pytest.approx(v, rel=1e-12)) for j, (n, v) in want.items())
+    assert "Join" not in planned(used)
+    assert "BroadcastHashJoin" not in planned(J.interval_join(p, w, "at", "low", "high", keys=("api",), optional=("who",)))
+
+
 def test_windows_as_many_as_the_log(spark, sf_dir):
     e = read(spark, sf_dir, "events").selectExpr("event_id", "unix_micros(CAST(ts AS TIMESTAMP)) AS at")
     w = e.selectExpr("event_id AS j", "at AS low", "at + 3600000000 AS high")
