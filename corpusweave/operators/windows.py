@@ -29,11 +29,15 @@ WINDOWS = {
         k AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS k FROM region UNION ALL SELECT CAST(6 AS BIGINT)) SELECT DISTINCT c.band, c.m FROM c JOIN k ON (2 * k.k - 1) * c.t > 12 * (c.hi - c.n) AND (2 * k.k - 1) * c.t <= 12 * c.hi"""
     ),
     "win_rolling_rate": S(
-        # each half hour is a task's own, with the half hour before it at hand
+        # a half hour is a group with the one before it; by the place within the half hour, running counts and minima of both give each
+        # window: the own events up to that place and the earlier ones from it on, so no frame slides over its rows
         """WITH e AS (SELECT event_id, unix_micros(CAST(ts AS TIMESTAMP)) AS us FROM events),
-        c AS (SELECT event_id, us, us div 1800000000 AS own, explode(array(us div 1800000000, us div 1800000000 + 1)) AS cell FROM e),
-        w AS (SELECT event_id, us, own, cell, min(us) OVER (PARTITION BY cell ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS u0, count(*) OVER (PARTITION BY cell ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS n FROM c)
-        SELECT event_id, round((n - 1) / ((us - u0) / 1e6), 6) AS rate FROM w WHERE own = cell AND n >= 2 AND us - u0 >= 120000000""",
+        o AS (SELECT event_id, us, pmod(us, 1800000000) AS place, (us - pmod(us, 1800000000)) div 1800000000 AS own FROM e),
+        c AS (SELECT event_id, us, place, own, explode(array(own, own + 1)) AS cell FROM o),
+        w AS (SELECT event_id, us, own, cell, count_if(own = cell) OVER up AS n1, min(CASE WHEN own = cell THEN us END) OVER up AS u1, count_if(own < cell) OVER down AS n0, min(CASE WHEN own < cell THEN us END) OVER down AS u0 FROM c
+            WINDOW up AS (PARTITION BY cell ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (PARTITION BY cell ORDER BY place DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        x AS (SELECT event_id, us, n1 + n0 AS n, coalesce(u0, u1) AS first FROM w WHERE own = cell)
+        SELECT event_id, round((n - 1) / ((us - first) / 1e6), 6) AS rate FROM x WHERE n >= 2 AND us - first >= 120000000""",
         """WITH e AS (SELECT event_id, epoch_us(ts) AS us FROM events), w AS (SELECT event_id, us, min(us) OVER (ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS u0, count(*) OVER (ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW) AS n FROM e)
         SELECT event_id, round((n - 1) / ((us - u0) / 1e6), 6) AS rate FROM w WHERE n >= 2 AND us - u0 >= 120000000""",
     ),
