@@ -18,12 +18,29 @@ from pyspark.sql import functions as F
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
+PIECE, HELD = 256, 1 << 20
+
+
+def small_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of at most PIECE rows, halved while they hold more than HELD bytes."""
+    for b in batches:
+        todo = [b.slice(low, PIECE) for low in range(0, b.num_rows, PIECE)][::-1]
+        while todo:
+            piece = todo.pop()
+            if piece.num_rows > 1 and piece.nbytes > HELD:
+                half = piece.num_rows // 2
+                todo += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+
+
 def flat_map(df: DataFrame, columns: list[str], schema: str, function: Callable[..., list[tuple]]) -> DataFrame:
-    """The rows that ``function`` gives for the values of ``columns``, batch by batch."""
+    """The rows that ``function`` gives for the values of ``columns``, piece by piece of a batch, so that Python holds the values of at most
+    ``PIECE`` rows and some ``HELD`` bytes (a larger row is alone) beside Arrow's batch, however large the batch is."""
     names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_pieces(batches):
             rows = [row for values in zip(*(c.to_pylist() for c in b.columns), strict=True) for row in function(*values)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _TYPES[t]) for i, t in enumerate(types)], list(names))
 

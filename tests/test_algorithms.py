@@ -1,3 +1,4 @@
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,3 +107,11 @@ def test_cover_takes_floors_then_gains_then_rare_tags(spark, sf_dir):
         want.append((u, "rarity", 0))
     got = [(r["user_id"], r["step"], r["gain"]) for r in al.greedy_cover(events).orderBy("pos").collect()]
     assert got == want and len(got) == 12
+
+
+def test_small_pieces_bound_rows_and_bytes():
+    texts = ["x" * n for n in [10] * 700 + [400_000] * 9 + [3_000_000, 5]]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    got = list(al.small_pieces(iter([whole.slice(0, 0), whole])))
+    assert [t for b in got for t in b.column(0).to_pylist()] == texts
+    assert all(b.num_rows <= al.PIECE and (b.nbytes <= al.HELD or b.num_rows == 1) for b in got)
