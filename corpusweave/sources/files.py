@@ -56,6 +56,18 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """As ``staged``, in buckets of the column, one for each shuffle partition: joins and groups by it don't shuffle these rows again.
+
+    The table's name is dropped at once; its files stay."""
+    spark, name = df.sparkSession, f"corpusweave_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).sortBy(column)
+    writer.option("path", scratch(spark)).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def write_and_read(df: DataFrame, kind: str, **options: str) -> DataFrame:
     """``df`` written in a format and read again with its own schema; Spark's committer publishes whole files only."""
     path = scratch(df.sparkSession)

@@ -87,3 +87,25 @@ def test_canonical_json(spark):
         assert got[i] == want or "." in want, (got[i], want)
     bad = spark.createDataFrame([("{",), ("",), (None,), ('{"a":1,"a":2}',)], "t string").select(canonical_json(F.col("t")).alias("c")).collect()
     assert all(r["c"] is None for r in bad)
+
+
+def records_shuffled(spark, work):
+    """The work's result, and how many rows it wrote to shuffles; every join is a merge meanwhile."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    seen = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for stages in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)] for i in range(stages.size()))}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = seen()
+        out = work().collect()
+        return out, sum(n for k, n in seen().items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rounds_of_reconstruction_do_not_move_waiting_texts_again(spark):
+    pieces = [(f"c{i}", f"{i}[[c{i + 1}]]") for i in range(8)] + [("c8", "end")] + [(f"p{i}", f"<{i}>") for i in range(100)]
+    pieces += [(f"o{i}", "[[c0]]" + "".join(f"[[p{(i + j) % 100}]]" for j in range(30))) for i in range(100)]
+    rows, n = records_shuffled(spark, lambda: reconstructed(spark.createDataFrame(pieces, "key string, body string")))
+    got = {r["key"]: r["text"] for r in rows}
+    assert got["o7"] == "01234567end" + "".join(f"<{(7 + j) % 100}>" for j in range(30)) and len(got) == len(pieces)
+    assert n < 4 * 3100, n  # 3,100 places of names, and ten rounds
