@@ -44,7 +44,8 @@ WINDOWS = {
     "win_seq_gap": S("""SELECT idc, seq, prev FROM (SELECT idc, seq, lag(seq) OVER (PARTITION BY idc ORDER BY seq) AS prev FROM cells) AS x WHERE prev IS NOT NULL AND seq > prev + 300"""),
     "win_tiling_check": S(
         """WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS n, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, l_partkey FROM lineitem), t AS (SELECT l_orderkey, a, a + n AS b, lag(a + n) OVER (PARTITION BY l_orderkey ORDER BY a, l_partkey) AS prev FROM s)
-        SELECT l_orderkey, min(a) = 0 AS starts, max(CASE WHEN prev IS NOT NULL AND prev <> a THEN 1 ELSE 0 END) = 0 AS contiguous, max(b) AS total FROM t GROUP BY l_orderkey"""
+        SELECT l_orderkey, min(a) = 0 AS starts, max(CASE WHEN prev IS NOT NULL AND prev <> a THEN 1 ELSE 0 END) = 0 AS contiguous, max(b) AS total FROM t GROUP BY l_orderkey""",
+        dealt=("lineitem", "l_orderkey"),
     ),
     "win_section_spans": S(
         """WITH m AS (SELECT idc, seq, stage, lead(seq) OVER (PARTITION BY idc ORDER BY seq) AS nxt, max(CASE WHEN stage = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY idc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS appendix FROM cells WHERE value > 40) SELECT idc, seq, nxt - seq AS span, appendix = 1 AS appendix FROM m"""

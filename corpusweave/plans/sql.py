@@ -42,6 +42,9 @@ DIALECT = (
 )
 
 
+ROWS = 500_000  # of a dealt table that a task gets
+
+
 @dataclass(frozen=True)
 class Statement:
     """One registered query.  ``duck``: DuckDB's text where it can't be derived; None: derive it."""
@@ -49,6 +52,9 @@ class Statement:
     spark: str
     duck: str | None = None
     names: tuple[str, ...] = field(default=())
+    #: A table and a key of it: where the table has over ROWS rows for each shuffle partition, it is dealt by the key
+    #: into more partitions first, so that the rows that one task sorts don't grow with the table.
+    dealt: tuple[str, str] | None = None
 
     def used(self, text: str) -> list[str]:
         """Views that the text mentions, those that other views need first."""
@@ -60,7 +66,18 @@ class Statement:
         for view in self.used(text):
             text += VIEWS[view]
         register(spark, sf_dir, tuple(t for t in TABLES if re.search(rf"\b{t}\b", text)))
-        return spark.sql(self._with_views(self.spark))
+        return spark.sql(self._with_views(self._dealt(spark)))
+
+    def _dealt(self, spark: SparkSession) -> str:
+        if not self.dealt:
+            return self.spark
+        table, key = self.dealt
+        parts = -(-spark.table(table).count() // ROWS)  # from the files' footers
+        if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+            return self.spark
+        used = spark.table(table).columns
+        columns = ", ".join(c for c in used if re.search(rf"\b{c}\b", self.spark))
+        return re.sub(rf"\bFROM {table}\b", f"FROM (SELECT /*+ REPARTITION({parts}, {key}) */ {columns} FROM {table})", self.spark)
 
     def oracle(self) -> str:
         text = self.duck or self.spark

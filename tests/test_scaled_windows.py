@@ -1,6 +1,7 @@
 """Window queries on dense and odd tables, against plain loops."""
 
 import random
+import re
 from bisect import bisect_left, bisect_right
 
 from corpusweave.operators import windows
@@ -21,3 +22,17 @@ def test_rolling_rate_without_sliding_frames(spark, tmp_path):
     assert rates.keys() == want.keys() and len(want) > 1000
     assert all(abs(rates[i] - want[i]) < 2e-6 for i in want)
     assert "-1800000000" not in got._jdf.queryExecution().toString()
+
+
+def test_tiling_check_deals_a_large_table_into_more_partitions(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    lines = [(o, n, rng.randrange(50), float(rng.randrange(4))) for o in range(300) for n in range(rng.randrange(1, 9))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    query = windows.WINDOWS["win_tiling_check"]
+    want = sorted(map(tuple, query.run(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr("corpusweave.plans.sql.ROWS", 50)
+    got = query.run(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 300
+    parts, plan = -(-len(lines) // 50), got._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\(l_orderkey[^)]*, (\d+)\)", plan)) == {str(parts)}
+    assert got.rdd.getNumPartitions() == parts  # rows that a task sorts stay alike
