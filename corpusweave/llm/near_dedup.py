@@ -515,6 +515,12 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, margin: float |
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key", "class")
 
 
+def _sent(names: DataFrame) -> DataFrame:
+    """Staged names of rows, broadcast where they are at most BROADCAST_IDS, so that no text is shuffled to meet them; beyond it
+    both sides are."""
+    return F.broadcast(names) if names.count() <= BROADCAST_IDS else names
+
+
 def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each class, that with the smallest doc_id
     (of rows that share it, one text, once), and every document without a word."""
@@ -526,10 +532,11 @@ def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     every = found.select("doc_id", "key").distinct()
     gone = staged(every.join(named(stays), same_id & (F.col("key") == F.col(key_)), "left_anti"), "gone")
     here = same_id & (F.xxhash64("text") == F.col(key_))
-    drop, again = named(gone), named(stays.where("rows > 1")).distinct()
+    drop, again = _sent(named(gone)), staged(named(stays.where("rows > 1")).distinct(), "again")
     left = docs.join(drop, here, "left_anti")
     if again.isEmpty():
         return left
+    again = _sent(again)
     order = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c != "doc_id"]))
     twice = docs.join(again, here, "left_semi").withColumn(nth, order).where(F.col(nth) == 1).drop(nth)
     return left.join(again, here, "left_anti").unionByName(twice)

@@ -84,3 +84,16 @@ def test_tokens_of_capitals_with_combining_marks():
     ids, lengths = own.encode_all(pa.array(texts))
     for text, got in zip(texts, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
         assert np.array_equal(got[:-1], whole.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
+def test_representatives_shuffle_no_text_to_drop_rows(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(20)]
+    docs = spark.createDataFrame([(i, texts[i % 20]) for i in range(50)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the names of dropped rows are beyond it
+    try:
+        left = near_dedup.representatives(docs)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert sorted(r["doc_id"] for r in left.collect()) == list(range(20))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
