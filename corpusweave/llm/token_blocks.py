@@ -20,7 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +57,11 @@ def _byte_classes() -> np.ndarray:
     return kinds
 
 
-_CLASS = _byte_classes()
-_LOWER = np.array([*bytes(range(256)).lower()], np.uint8)
+_CLASS = _byte_classes().tobytes()
+_LOWER = bytes(range(256)).lower()
+_BLANK = b" \t\n\v\f\r"
 _MARKS = re.compile(r"[!-/:-@\[-`{-~]+")
+_LATIN = re.compile("[\0-\u012f\u0131-\u024f]+")  # without the capital i with a dot, which becomes two characters
 
 
 def _odd(text: str) -> bool:
@@ -73,49 +75,38 @@ def _pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.StringArray, np.ndarr
     """The pieces of texts that stand one after another in ``raw`` up to ``ends``, and the number of each text's.
 
     White space parts pieces, and so do changes between letters, ASCII punctuation and single digits."""
-    low = _LOWER[raw]
-    kind = _CLASS[low]
-    kind[1:][(low[:-1] == 0xC3) & ((low[1:] == 0x97) | (low[1:] == 0xB7))] = _OTHER  # the signs among the letters
+    low = raw.tobytes().translate(_LOWER)
+    kind = np.frombuffer(bytearray(low.translate(_CLASS)), np.uint8)
+    for first, second in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)):  # signs among the letters, and the capital i with a dot, which ends in a mark
+        at = np.flatnonzero(raw[:-1] == first) + 1
+        kind[at[raw[at] == second]] = _OTHER
     kept = kind != _SPACE
-    fresh = np.ones(len(raw) + 1, bool)  # bytes that begin a run
+    fresh = np.ones(len(raw) + 1, bool)  # bytes that begin a run, and white space
     np.logical_not(kept[:-1], out=fresh[1:-1])
     fresh[ends] = True
-    fresh, kind, data = fresh[:-1][kept], kind[kept], low[kept]
-    cut = fresh.copy()
+    cut = fresh[:-1] | (kind == _DIGIT)
     cut[1:] |= kind[1:] != kind[:-1]
-    cut |= kind == _DIGIT
+    starts = np.flatnonzero(cut & kept)
     if len(other := np.flatnonzero(kind == _OTHER)):
-        run = np.cumsum(fresh, dtype=np.int32)
+        first = fresh[starts]
+        run = np.cumsum(first, dtype=np.int32)
         whole = np.zeros(int(run[-1]) + 1, bool)
-        whole[run[other]] = True
-        cut &= fresh | ~whole[run]
-    starts = np.flatnonzero(cut).astype(np.int32)
-    offsets = np.append(starts, np.int32(len(data)))
+        whole[run[np.searchsorted(starts, other, "right") - 1]] = True
+        starts = starts[first | ~whole[run]]
+    data = low.translate(None, _BLANK)
+    offsets = np.append(np.cumsum(kept, dtype=np.int32)[starts] - np.int32(1), np.int32(len(data)))
     found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
-    upto = np.where(ends > 0, np.cumsum(kept, dtype=np.int32)[ends - 1], 0) if len(raw) else np.zeros(len(ends), np.int32)
-    return found, np.diff(np.searchsorted(starts, upto), prepend=0)
-
-
-class _Numbers(dict):
-    """Numbers of pieces; asked for a new one, it gives it the next number and lists it."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = n = len(self)
-        return n
+    return found, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 class _Letters(dict):
-    """What normalizing and splitting make of single letters."""
+    """What normalizing and splitting make of single letters, by their code points, as str.translate asks."""
 
     def __init__(self, steps: Callable):
         self.steps = steps
 
-    def __missing__(self, letter: str) -> str:
-        self[letter] = got = "".join(x for x, _ in self.steps(letter))
+    def __missing__(self, letter: int) -> str:
+        self[letter] = got = "".join(x for x, _ in self.steps(chr(letter)))
         return got
 
 
@@ -138,10 +129,10 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Numbers()
+        self.known: dict[str, int] = {}  # numbers of pieces
         self.flat, self.start, self.count, self.met = np.empty(1 << 16, np.uint32), *(np.empty(1 << 14, t) for t in (np.int64, np.int64, np.int32))
         self.used = 0
-        self._keep([self.known[" "]], np.array([1]), np.array([END]))  # a document's end
+        self._keep([" "], np.array([1]), np.array([END]))  # a document's end
 
     def _forget(self) -> None:
         """Keeps the pieces met in several batches, if those are few enough."""
@@ -151,37 +142,38 @@ class Encoder:
         n, ids, met = self.count[stays], self._gather(stays), self.met[stays] // 2
         self._clear()
         if len(stays) < _CACHE // 2:
-            at = [self.known[words[i]] for i in stays.tolist()]
-            self._keep(at, n, ids)
-            self.met[at] = met
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """The library's ids of each piece: from its model alone where normalizing and splitting leave the piece
-        as it is or go letter by letter, else by its steps one after another."""
-        out, tokenize, letter = [], self.model.tokenize, self.letters.__getitem__
+            own = self._keep([words[i] for i in stays.tolist()], n, ids)
+            self.met[own] = met
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many, ids one after another) that the library gives each piece: from its model alone where normalizing
+        and splitting leave the piece as it is or go letter by letter, else by its steps one after another."""
+        n, out, tokenize, letters = [], [], self.model.tokenize, self.letters
         for w in words:
             if w.isascii() and (w.isalnum() or _MARKS.fullmatch(w) and "'" not in w):
-                out.append([t.id for t in tokenize(w)])
-            elif w.isalpha() and max(w) <= "\u024f" and "\u0130" not in w:  # the capital i with a dot becomes two characters
-                out.append([t.id for t in tokenize("".join(map(letter, w)))])
+                got = [t.id for t in tokenize(w)]
+            elif w.isalpha() and _LATIN.fullmatch(w):
+                got = [t.id for t in tokenize(w.translate(letters))]
             else:
-                out.append([t.id for x, _ in self.steps(w) for t in tokenize(x)])
-        return out
-
-    def _keep(self, at: list, n: np.ndarray, ids: np.ndarray) -> None:
-        """Takes the ids, one after another, of the pieces ``at``, the last that got numbers."""
-        self.known.new.clear()
-        k = len(self.known)
+                got = [t.id for x, _ in self.steps(w) for t in tokenize(x)]
+            n.append(len(got))
+            out += got
+        return np.array(n, np.int64), np.array(out, np.uint32)
+
+    def _keep(self, words: list[str], n: np.ndarray, ids: np.ndarray) -> slice:
+        """Takes new pieces and their ids, one after another; the numbers that the pieces get."""
+        own = slice(len(self.known), len(self.known) + len(words))
+        self.known.update(zip(words, range(own.start, own.stop), strict=True))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while k > len(self.start):
+        while own.stop > len(self.start):
             self.start, self.count, self.met = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.count, self.met))
         self.flat[self.used : self.used + len(ids)] = ids
-        own = slice(k - len(at), k)
         self.start[own] = self.used + np.cumsum(n) - n
         self.count[own] = n
         self.met[own] = 0
         self.used += len(ids)
+        return own
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """The ids of known words, one after another."""
@@ -204,13 +196,14 @@ class Encoder:
                 return self._around(plain, odd)
         found, per = _pieces(raw, offsets[1:] - offsets[0])
         coded = found.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
         if len(self.known) + len(words) > _CACHE:
             self._forget()
-        own = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if new := list(self.known.new):
-            ids = self._ids(new)
-            self._keep(new, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32))
+        own = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(own < 0)):
+            fresh = [words[i] for i in new.tolist()]
+            took = self._keep(fresh, *self._ids(fresh))
+            own[new] = np.arange(took.start, took.stop)
         self.met[own] += 1
         at = np.insert(own[np.asarray(coded.indices)] if len(words) else np.empty(0, np.int64), np.cumsum(per), self.known[" "])
         ends = np.cumsum(self.count[at])[np.cumsum(per + 1) - 1]
@@ -218,7 +211,7 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         each = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(each), np.uint32), np.array([len(x) for x in each], np.int64)
+        return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
 
     def _around(self, texts: list[str], odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """As encode_all: the library takes the odd texts as they are."""
@@ -369,7 +362,7 @@ def tokenized(docs: DataFrame, tokenizer: str, parted: bool = True) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
 
         for b in (part for b in batches for part in _slices(b)):
-            parts, doc_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+            parts, doc_ids = b.column(0).to_numpy().tolist(), b.column(1).to_pylist()
             ids, lengths = enc.encode_all(pc.fill_null(b.column(2), ""))
             ends, cut = np.cumsum(lengths).tolist(), 0
             for i, (k, doc_id, size) in enumerate(zip(parts, doc_ids, lengths.tolist(), strict=True)):
@@ -409,8 +402,8 @@ def _write(plain: DataFrame, path: str) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(sums))
+            for raw in b.column(0):
+                n = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(sums))
                 n[: len(sums)] += sums
                 sums = n
         ids = np.flatnonzero(sums)
@@ -431,9 +424,9 @@ def _write(plain: DataFrame, path: str) -> None:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = resident(("table", path), lambda: Table(*table_args))
         for b in batches:
-            for part, first, doc_ids, lengths, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                block = table.encode(np.frombuffer(raw, "<u4"), np.array(lengths, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start[part] + first], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([zlib.crc32(block)], pa.int64()), pa.array([block], pa.binary())], ["part", "start", "doc_ids", "crc32", "block"])
+            for i, (part, first, lengths, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), b.column(4), strict=True)):
+                block = table.encode(np.frombuffer(raw.as_buffer(), "<u4"), lengths.values.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start[part] + first], pa.int64()), b.column(2).slice(i, 1), pa.array([zlib.crc32(block)], pa.int64()), pa.array([block], pa.binary())], ["part", "start", "doc_ids", "crc32", "block"])
 
     coded = plain.select("part", "first", "doc_ids", "lengths", "ids").mapInArrow(code, "part int, start long, doc_ids array<long>, crc32 long, block binary")
     coded.write.options(**_PAGES, compression="none").parquet(f"{path}/blocks")
@@ -451,14 +444,14 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = resident(("table", path), lambda: Table(*table_args))
         for b in batches:
-            for start, doc_ids, crc, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for start, doc_ids, crc, block in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if zlib.crc32(block) != crc:
                     raise ValueError("a block's checksum differs")
                 lengths, ids = table.decode(block)
                 little, ends = ids.astype("<u4"), np.cumsum(lengths, dtype=np.int64)
                 each = [little[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(x) for x in each], pa.int64()), *([pa.array(each, pa.binary())] if with_ids else [])],
+                    [doc_ids.values, pa.array(start + ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(x) for x in each], pa.int64()), *([pa.array(each, pa.binary())] if with_ids else [])],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 5 if with_ids else 4],
                 )
 

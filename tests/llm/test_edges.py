@@ -86,6 +86,28 @@ def test_tokens_of_capitals_with_combining_marks():
         assert np.array_equal(got[:-1], whole.encode(text, add_special_tokens=False).ids), ascii(text)
 
 
+def test_tokens_of_the_dotted_capital_i_before_marks():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(tokenizer_path()), token_blocks.Encoder(tokenizer_path(), True)
+    texts = ["\u0130>", "x\u0130! y", "\u0130STANBUL, (\u0130)", "\u00d7\u00f7a\u00d7 \u00c7\u0130\u00f7 it's\u0130", "", " \t", "plain"]
+    ids, lengths = own.encode_all(pa.array(texts))
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and lengths.tolist() == [len(x) for x in want]
+
+
+def test_known_pieces_cost_less_than_a_list_of_them():
+    from timeit import repeat
+
+    import pyarrow as pa
+
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:06d}") for i in range(60_000)]
+    text, distinct, own = pa.array([" ".join(words)]), pa.array(words), token_blocks.Encoder(tokenizer_path(), True)
+    own.encode_all(text)
+    assert min(repeat(lambda: own.encode_all(text), number=1, repeat=7)) < min(repeat(distinct.to_pylist, number=1, repeat=7))
+
+
 def test_representatives_shuffle_no_text_to_drop_rows(spark):
     texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(20)]
     docs = spark.createDataFrame([(i, texts[i % 20]) for i in range(50)], "doc_id long, text string")
